@@ -68,7 +68,7 @@ def char_models(grams: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("tail").alias("gram"), (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, salts: int = 32, fold: int = 5, bins: int = 200, reach: float = 5.0) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, salts: int = 8, fold: int = 5, bins: int = 200, reach: float = 5.0) -> DataFrame:
     """Judges every url; returns page_id, host, path, rule, verdict and score (the mean log ratio a character).
 
     Null url or none with ``://``: empty host and path, no rule, judged by the models (null counts as empty).
@@ -104,11 +104,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, salts: int = 32,
     seen = scored.filter("held and label is not null").groupBy("label", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()
     cut_at = threshold({(r["label"], r["bin"]): r["n"] for r in seen}, bins, reach)
     verdict = F.coalesce("label", F.when(F.col("score") >= cut_at, "allow").otherwise("block"))
-    # a url that very many pages share joins by itself and a salt
-    known = scored.select("row", "score").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # a url that very many pages share is one row on one side: Spark's skew join splits the other
     return (
-        base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-        .join(known, ["row", "salt"])
+        base.join(scored.select("row", "score"), "row")
         .select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
     )
 
