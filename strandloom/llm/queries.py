@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import sharding, urls
+from strandloom.llm import neardup, sharding, urls
 from strandloom.session import ship, table
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(table(spark, sf_dir, "documents"))
 
@@ -16,5 +20,5 @@ def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op7_histogram_sort, op10_url_models)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_histogram_sort, op10_url_models)}
 ORACLE: dict[str, str] = {}
