@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import neardup, sharding, urls
+from strandloom.llm import neardup, sharding, substrings, urls
 from strandloom.session import ship, table
 
 
@@ -12,6 +12,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op7_histogram_sort, op10_url_models)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_repeated_phrase_automata, op7_histogram_sort, op10_url_models)}
 ORACLE: dict[str, str] = {}
