@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import neardup, sharding, substrings, urls
+from strandloom.llm import neardup, parsing, sharding, substrings, urls
 from strandloom.session import ship, table
 
 
+def op1_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_repeated_phrase_automata, op7_histogram_sort, op10_url_models)}
+QUERIES = {f.__name__: f for f in (op1_locally_consistent_parsing, op3_minhash_near_dedup, op4_repeated_phrase_automata, op7_histogram_sort, op10_url_models)}
 ORACLE: dict[str, str] = {}
