@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import neardup, parsing, sharding, substrings, urls
+from strandloom.llm import language, neardup, parsing, quality, sharding, substrings, urls
 from strandloom.session import ship, table
 
 
@@ -20,13 +20,27 @@ def op4_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language.fold_of("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held)
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
+    field = quality.fit(quality.labelled(docs, labels))
+    return quality.score(docs, field, carry=("doc_id", "held_out"))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.fold_of("doc_id", 4) == 2)
+    model = language.fit(docs.filter("not held_out"))
+    return language.identify(docs, model, carry=("doc_id", "held_out"))
+
+
 def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_locally_consistent_parsing, op3_minhash_near_dedup, op4_repeated_phrase_automata, op7_histogram_sort, op10_url_models)}
+QUERIES = {f.__name__: f for f in (op1_locally_consistent_parsing, op3_minhash_near_dedup, op4_repeated_phrase_automata, op6_line_crf, op7_histogram_sort, op9_nearest_centroids, op10_url_models)}
 ORACLE: dict[str, str] = {}
