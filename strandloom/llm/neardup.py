@@ -8,7 +8,8 @@ equal keys meet. (A pair of likeness 0.85 meets nowhere with a probability of 2e
 
 Equal sets are one class, and only classes are compared. A key's members are first compared with its smallest one and
 united; then, for keys that still hold several components, all members of different components are compared by
-signature inside the key. No pair within a component is made, and nothing is left out.
+signature inside the key, each pair in the first key that it shares; near ones are confirmed in blocks of members with
+their sets, and only links leave a block. No pair within a component is made, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from strandloom.llm.graph import components
 from strandloom.session import cut, ship
 
 SLOTS, CHUNKS, WIDE, FAR = 96, 6, 5, 29
+#: Members of a key whose sets are compared at once.
+BLOCK = 1024
 _rng = np.random.default_rng(20240607)
 _TIMES = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64)
@@ -136,7 +139,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep, comp, sig), all rows of a key together, to pairs of near signatures in different components."""
+    """(key, rep, comp, sig), all rows of a key together, to blocks of pairs of near signatures in different components.
+
+    A row is a member of a block with its partners in it; the partners have rows without partners there.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -147,14 +153,29 @@ def _within_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rep, comp = (b.column(i).to_numpy() for i in range(3))
         sig = _binary(b.column(3), np.uint16, SLOTS)
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        left, right = [], []
+        group, member, partners = [], [], []
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             i, j = close_pairs(sig[s:e], comp[s:e])
-            left.append(rep[s:e][i])
-            right.append(rep[s:e][j])
-        x, y = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([W.int64(both[0]), W.int64(both[1])], ["a", "b"])
+            if not len(i):
+                continue
+            # each pair belongs to the first key that its members share
+            keys = chunk_keys(sig[s:e])
+            first = (keys[i] == keys[j]).argmax(1)
+            own = keys[i, first].view(np.int64) == key[s]
+            i, j = i[own], j[own]
+            block = W.mix(W.mix(key[s : s + 1].view(np.uint64)) + (i // BLOCK * 1_000_003 + j // BLOCK).astype(np.uint64)).view(np.int64)
+            order = np.lexsort((i, block))
+            block, i, j = block[order], i[order], j[order]
+            cut_at = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]), [True]])) if len(i) else [0]
+            for x, y in zip(cut_at[:-1], cut_at[1:], strict=True):
+                group.append(block[x])
+                member.append(rep[s + i[x]])
+                partners.append(rep[s + j[x:y]].astype(np.int64).tobytes())
+            for g, m in np.unique(np.stack([block, rep[s + j]]), axis=1).T:
+                group.append(g)
+                member.append(m)
+                partners.append(b"")
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64()), pa.array(partners, pa.binary())], ["grp", "rep", "partners"])
 
     last = None
     for b in batches:
@@ -188,32 +209,62 @@ def _sets_of(k: int, wanted):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * same >= percent * (len(both) - same)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that their full sets confirm. Sets are made for the documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _confirm_blocks(percent: int):
+    """(grp, rep, partners, body), all rows of a block together, to the links (a, b) among them."""
+
+    def links(rows: list) -> Iterator[tuple[int, int]]:
+        sets = {rep: body for rep, _, body in rows}
+        for rep, partners, body in rows:
+            for other in np.frombuffer(partners, np.int64).tolist():
+                if _linked(body, sets[other], percent):
+                    yield min(rep, other), max(rep, other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for g, rep, partners, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if g != group:
+                    out += links(rows)
+                    group, rows = g, []
+                rows.append((rep, partners, np.frombuffer(body, np.uint64)))
+        out += links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _sets_for(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, body): the sets of the documents in ``ids`` (doc_id, distinct); others are not made, but for a few that a filter lets through."""
 
     def hashed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([W.int64(bloom.id_hash(b.column(0).to_numpy()))], ["h"])
 
     wanted = bloom.build(ids.mapInArrow(hashed, "h long"), F.col("h"), 1 << 24)
-    sets = docs.filter("doc_id is not null").mapInArrow(_sets_of(k, wanted), "doc_id long, body binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(sets)
+    sets = docs.filter("doc_id is not null").mapInArrow(_sets_of(k, wanted), "doc_id long, body binary")
+    return cut(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that their full sets confirm."""
+    sets = _sets_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     x = sets.select(F.col("doc_id").alias("a"), F.col("body").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
@@ -244,9 +295,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     open_keys = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = where.join(open_keys, "key", "left_semi").join(sig, "rep").select("key", "rep", "comp", "sig")
-    more = rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_within_keys, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(more)
-    links = links.unionByName(_checked(docs, more, k, percent))
+    blocks = cut(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_within_keys, "grp long, rep long, partners binary"))
+    bodies = _sets_for(docs, blocks.select(F.col("rep").alias("doc_id")).distinct(), k).withColumnRenamed("doc_id", "rep")
+    more = blocks.join(bodies, "rep").select("grp", "rep", "partners", "body").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_confirm_blocks(percent), "a long, b long")
+    links = links.unionByName(more).distinct()
     label = components(links)
     found = rows.join(classes.select("class", "rep"), "class", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
