@@ -1,16 +1,62 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir). All but the last return the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandloom.llm import decontaminate, language, neardup, pieces, substrings
 from strandloom.session import table, written
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is near some language's centroid; the model learns from the stage's own rows that have a lang."""
+    docs = docs.select(*COLUMNS)
+    return language.accepted(docs, language.fit(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates (rows without a doc_id go)."""
+    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; a document of which nothing is left goes."""
+    done = substrings.substring_dedup(docs, give_text=True, carry=("lang", "source"))
+    return done.filter("n_words > n_removed").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that aligns with an item of benchmark."""
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the ids of the text, with their count and checks."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), give_ids=True)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("encoding", encoded),
+]
+#: Alignment, automata and the tokenizer can't be said in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

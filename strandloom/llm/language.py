@@ -110,6 +110,11 @@ class Model:
     def __init__(self, idf: np.ndarray, centers: np.ndarray, owner: np.ndarray, langs: list[str], least: np.ndarray):
         self.idf, self.centers, self.owner, self.langs, self.least = idf, centers, owner, langs, least
 
+    @classmethod
+    def empty(cls) -> Model:
+        """A model that knows no language."""
+        return cls(np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), [], np.zeros(0))
+
 
 def fit(rows: DataFrame, sample: int = 400, slack: float = 0.5) -> Model | None:
     """Learns from (text, lang) rows; those without text or lang are left out. None if nothing is left.
@@ -153,7 +158,7 @@ def fit(rows: DataFrame, sample: int = 400, slack: float = 0.5) -> Model | None:
     return Model(idf, np.concatenate(centers).astype(np.float32), np.array(owner), langs, np.array(least))
 
 
-def _predict(model):
+def _predict(model, only_accepted: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         best = np.array([m.owner == i for i in range(len(m.langs))])
@@ -173,6 +178,9 @@ def _predict(model):
                 lang.append(m.langs[k])
                 score[i], near[i] = 1 / p.sum(), min(1.0, max(0.0, float(each[k])))
                 ok[i] = each[k] >= m.least[k] * min(1.0, np.sqrt(len(at) / FEW))
+            if only_accepted:
+                yield b.filter(pa.array(ok))
+                continue
             keep = [b.column(i) for i, f in enumerate(b.schema.names) if f != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(ok)], [*(f for f in b.schema.names if f != "text"), "lang_pred", "score", "cosine", "accepted"])
 
@@ -187,12 +195,19 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", carry: tu
     """
     spark = docs.sparkSession
     ship(spark)
-    model = model or Model(np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), [], np.zeros(0))
+    model = model or Model.empty()
     rows = docs.select(*carry, F.col(text).alias("text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
     return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{kinds}, lang_pred string, score double, cosine double, accepted boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose ``text`` is of a known language; null texts and those without a letter go."""
+    spark = docs.sparkSession
+    ship(spark)
+    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model or Model.empty()), True), docs.schema)
+
+
 def fold_of(key: str, folds: int):
     """crc32 of the key as text, modulo folds; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

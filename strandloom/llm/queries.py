@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import language, neardup, parsing, quality, sharding, substrings, urls
+from strandloom.llm import decontaminate, language, neardup, parsing, pieces, quality, sharding, substrings, urls, wavelet
 from strandloom.session import ship, table
 
 
@@ -12,6 +13,10 @@ def op1_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFram
     return parsing.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,10 @@ def op4_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.fold_of("doc_id", 5) == 0
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held)
@@ -32,6 +41,10 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_sort(table(spark, sf_dir, "documents"))
 
 
+def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.fold_of("doc_id", 4) == 2)
     model = language.fit(docs.filter("not held_out"))
@@ -42,5 +55,19 @@ def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_locally_consistent_parsing, op3_minhash_near_dedup, op4_repeated_phrase_automata, op6_line_crf, op7_histogram_sort, op9_nearest_centroids, op10_url_models)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_locally_consistent_parsing,
+        op2_sentencepiece,
+        op3_minhash_near_dedup,
+        op4_repeated_phrase_automata,
+        op5_benchmark_alignment,
+        op6_line_crf,
+        op7_histogram_sort,
+        op8_wavelet_matrix,
+        op9_nearest_centroids,
+        op10_url_models,
+    )
+}
 ORACLE: dict[str, str] = {}

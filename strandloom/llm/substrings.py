@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.llm import bloom
 from strandloom.llm import words as W
@@ -134,7 +135,7 @@ def passages(places: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(p[np.concatenate([[0], cuts + 1])].tolist(), (p[np.concatenate([cuts, [len(p) - 1]])] + n).tolist(), strict=True))
 
 
-def _located(n: int, give_text: bool):
+def _located(n: int, give_text: bool, carried: list):
     """Rows of one document together: its texts, then its places. Groups of texts go through one automaton each."""
 
     def group(docs: list) -> Iterator[tuple]:
@@ -168,13 +169,13 @@ def _located(n: int, give_text: bool):
             kept = b" ".join(base)
             if give_text:
                 body = text if not gone.any() else kept.decode()
-                yield doc, hi - lo, int(gone.sum()), hashlib.sha256(kept).hexdigest(), body, extra
+                yield doc, hi - lo, int(gone.sum()), hashlib.sha256(kept).hexdigest(), body, *extra
             else:
                 yield doc, hi - lo, int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text", "extra"] if give_text else [])]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string(), pa.int64()] if give_text else [])]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text", *(c for c, _ in carried)] if give_text else [])]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string(), *(t for _, t in carried)] if give_text else [])]
 
         def out(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -183,8 +184,9 @@ def _located(n: int, give_text: bool):
         open_: list = []  # of the document being read
         size, places = 0, []
         for b in batches:
-            ids, kinds_, texts, blobs, extras = (b.column(i) for i in range(5))
-            for doc, kind, text, blob, extra in zip(ids.to_pylist(), kinds_.to_pylist(), texts.to_pylist(), blobs, extras.to_pylist(), strict=True):
+            ids, kinds_, texts, blobs = (b.column(i) for i in range(4))
+            extras = zip(*(b.column(i).to_pylist() for i in range(4, b.num_columns)), strict=True) if carried else iter([()] * b.num_rows)
+            for doc, kind, text, blob, extra in zip(ids.to_pylist(), kinds_.to_pylist(), texts.to_pylist(), blobs, extras, strict=True):
                 if kind == 1:
                     if open_ and open_[0][0] == doc:
                         places.append(np.frombuffer(blob.as_buffer(), np.int32))
@@ -217,27 +219,29 @@ def _marks(docs: DataFrame, n: int, bits: int) -> DataFrame:
     return sent.repartition(parts, "window").sortWithinPartitions("window", "doc_id").mapInArrow(_settle, "doc_id long, places binary")
 
 
-def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key: str = "doc_id", text: str = "text", bits: int = 1 << 26) -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bits: int = 1 << 26) -> DataFrame:
     """Removes each word covered by an n-word window that also begins in a document with a smaller key.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space); with ``give_text`` also
-    text: the input text where nothing is removed, else the kept words joined by one space, and extra (a column of that
-    name in ``docs``, integer). Words are runs without ASCII white space. Null and empty texts have no word. A row
+    text: the input text where nothing is removed, else the kept words joined by one space; and the columns ``carry``,
+    whose names are none of those. Words are runs without ASCII white space. Null and empty texts have no word. A row
     without a key removes nothing and loses nothing. Equal rows have equal results, and none is the other's first
     document. Rows with one key and different texts are one document: what recurs in one goes at the same place in all.
     Empty table: no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    extra = F.col("extra").cast("long") if "extra" in docs.columns else F.lit(None).cast("long")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), extra.alias("extra"))
+    carry = tuple(carry) if give_text else ()
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
     marks = _marks(docs.select("doc_id", "text"), n, bits)
-    both = docs.select("doc_id", F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("places"), "extra").unionByName(
-        marks.select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "places", F.lit(None).cast("long").alias("extra"))
+    kinds = [docs.schema[c].dataType for c in carry]
+    both = docs.select("doc_id", F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("places"), *carry).unionByName(
+        marks.select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "places", *(F.lit(None).cast(t).alias(c) for c, t in zip(carry, kinds, strict=True)))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = ", text string, extra long" if give_text else ""
+    more = (", text string" + "".join(f", `{c}` {t.simpleString()}" for c, t in zip(carry, kinds, strict=True))) if give_text else ""
+    carried = [(c, to_arrow_type(t)) for c, t in zip(carry, kinds, strict=True)]
     return (
         both.repartition(parts, F.coalesce("doc_id", F.xxhash64("text")))
         .sortWithinPartitions("doc_id", "kind")
-        .mapInArrow(_located(n, give_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
+        .mapInArrow(_located(n, give_text, carried), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
     )

@@ -143,7 +143,7 @@ def _shards(path: str, bits: int):
         body = WaveletMatrix.of(np.concatenate(ids), bits).tobytes()
         doc = np.array([-1 if d is None else d for d in docs], np.int64)
         null = np.packbits([d is None for d in docs]).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([sum(sizes)]), pa.array([doc.tobytes()]), pa.array([null]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([body])], ["shard", "n", "docs", "nulls", "sizes", "matrix"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([doc.tobytes()]), pa.array([null]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([body])], ["shard", "n", "docs", "nulls", "sizes", "matrix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = T.per_worker(("wavelet", path), lambda: _encoder(path))
