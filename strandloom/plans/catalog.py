@@ -1,4 +1,554 @@
-"""The registered queries, by name, and their SQL."""
+"""The registered queries, by name, and their SQL. Each works on whole given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import codes
+from strandloom.functions import energy as E
+from strandloom.operators import anomaly, folding, intervals, phylogeny, stitching
+from strandloom.plans import inputs as I
+from strandloom.session import table
+from strandloom.sources import maf, newick, regions
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+PAIR_LIST = "('AU','CG','GC','UA','GU','UG')"
+STACKS = "stacks(p, q, e) AS (VALUES " + ", ".join(f"('{p}','{q}',{e})" for p, row in E.STACK.items() for q, e in row.items()) + ")"
+WEAK = "('AU','UA','GU','UG')"
+
+
+def values(rows) -> str:
+    """Rows as SQL text; numbers with a point are doubles."""
+    one = lambda x: repr(x) + "e0" * (isinstance(x, float) and "e" not in repr(x))
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# --- codes and paths --------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {I.PATHS}, e AS (SELECT substr(l, i, 1) AS a, substr(r, i, 1) AS b FROM (SELECT l, r, unnest(range(1, length(l) + 1)) AS i FROM paths)),
+k AS (SELECT a, b, count(*) AS n, CASE WHEN a = '-' THEN 'bulge' WHEN a || b IN {PAIR_LIST} THEN 'pair' ELSE 'mismatch' END AS kind FROM e GROUP BY a, b)
+SELECT a, b, n, kind, b || a AS flipped, CASE WHEN a = '-' THEN 0 ELSE 1 << (instr('ACGU', a) - 1) END AS hot,
+CASE WHEN a = '-' THEN NULL ELSE 4 * (instr('ACGU', a) - 1) + instr('ACGU', b) END AS pair_index, CASE WHEN a = '-' THEN 4 + instr('ACGU', b) END AS bulge_index,
+a || b IN ('AU','GC','GU') AS purine_pyrimidine FROM k""")
+def pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every kind of path element that occurs, and how often it does."""
+    zipped = F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    e = I.paths(spark, sf_dir).select(F.explode(zipped).alias("x")).select("x.a", "x.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    gap = a == "-"
+    return e.select(
+        "a", "b", "n", codes.kind(a, b).alias("kind"), F.concat("b", "a").alias("flipped"), codes.one_hot(a).alias("hot"), F.when(~gap, codes.pair_index(a, b)).alias("pair_index"),
+        F.when(gap, codes.bulge_index(a, b)).alias("bulge_index"), codes.purine_pyrimidine(a, b).alias("purine_pyrimidine"),
+    )
+
+
+@query(f"WITH {I.DNA} SELECT doc_id, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc, md5(reverse(seq)) AS rev, length(seq) - instr(seq, 'G') + 1 AS first_g_from_end FROM dna")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.col("seq")
+    n = F.length(seq)
+    return I.documents_dna(spark, sf_dir).select("doc_id", n.alias("n"), F.md5(codes.reverse_complement(seq)).alias("rc"), F.md5(F.reverse(seq)).alias("rev"), codes.reflect(F.instr(seq, "G"), n).alias("first_g_from_end"))
+
+
+@query(f"""WITH {I.PATHS}, e AS (SELECT seq_id, substr(l, i, 1) AS a, substr(r, i, 1) AS b FROM (SELECT seq_id, l, r, unnest(range(1, length(l) + 1)) AS i FROM paths)),
+c AS (SELECT seq_id, sum(CASE WHEN a || b IN {PAIR_LIST} THEN 1 ELSE 0 END) AS np, sum(CASE WHEN a = '-' THEN 1 ELSE 0 END) AS nb, count(*) AS n FROM e GROUP BY seq_id)
+SELECT seq_id, CAST(np AS BIGINT) AS n_pairs, CAST(nb AS BIGINT) AS n_bulges, CAST(n - np - nb AS BIGINT) AS n_mismatches, replace(l, '-', '') AS arm_l, length(r) AS length_r FROM c JOIN paths USING (seq_id)""")
+def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    count = lambda k: codes.count_kind(l, r, k).cast("long")
+    return I.paths(spark, sf_dir).select("seq_id", count("pair").alias("n_pairs"), count("bulge").alias("n_bulges"), count("mismatch").alias("n_mismatches"), codes.arm(l).alias("arm_l"), F.length(codes.arm(r)).alias("length_r"))
+
+
+@query(f"""WITH {I.PATHS}, e AS (SELECT seq_id, i, substr(l, i, 1) AS a, substr(r, i, 1) AS b FROM (SELECT seq_id, l, r, unnest(range(1, length(l) + 1)) AS i FROM paths))
+SELECT seq_id, string_agg(a, '' ORDER BY i) FILTER (a <> '-') || '&' || string_agg(b, '' ORDER BY i DESC) AS sequence,
+string_agg(CASE WHEN a || b IN {PAIR_LIST} THEN '(' ELSE ' ' END, '' ORDER BY i) FILTER (a <> '-') || '&' || string_agg(CASE WHEN a || b IN {PAIR_LIST} THEN ')' ELSE ' ' END, '' ORDER BY i DESC) AS structure
+FROM e GROUP BY seq_id""")
+def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequence, structure = codes.brackets(F.col("l"), F.col("r"))
+    return I.paths(spark, sf_dir).select("seq_id", sequence.alias("sequence"), structure.alias("structure"))
+
+
+@query(f"WITH {I.IV} SELECT seqname, f_first // 50 * 50 + 1 AS bin, count(*) AS n, min(energy) AS best FROM iv GROUP BY 1, 2")
+def bin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.duplexes(spark, sf_dir).groupBy("seqname", codes.bin_key(F.col("f_first")).alias("bin")).agg(F.count("*").alias("n"), F.min("energy").alias("best"))
+
+
+@query(f"""WITH {I.SEQ}, b AS (SELECT seq_id, pos, substr(seq, pos, 10) AS suffix FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM seqs))
+SELECT seq_id, pos, suffix, row_number() OVER (PARTITION BY seq_id ORDER BY suffix, pos) AS rnk FROM b""")
+def suffix_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffixes of each sequence, ten bases deep, in their order."""
+    s = I.sequences(spark, sf_dir).select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos"))
+    s = s.select("seq_id", "pos", F.substr("seq", F.col("pos"), F.lit(10)).alias("suffix"))
+    return s.withColumn("rnk", F.row_number().over(Window.partitionBy("seq_id").orderBy("suffix", "pos")))
+
+
+@query(f"""WITH {I.SEQ}, b AS (SELECT seq_id, pos, substr(seq, pos, 10) AS suffix FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM seqs)),
+r AS (SELECT seq_id, suffix, row_number() OVER (PARTITION BY seq_id ORDER BY suffix, pos) AS rnk FROM b)
+SELECT seq_id, substr(suffix, 1, 3) AS prefix, min(rnk) AS first_rank, max(rnk) AS last_rank, count(*) AS n FROM r GROUP BY 1, 2""")
+def prefix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_rank(spark, sf_dir).groupBy("seq_id", F.substring("suffix", 1, 3).alias("prefix")).agg(F.min("rnk").alias("first_rank"), F.max("rnk").alias("last_rank"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {I.DNA}, d AS (SELECT doc_id, substr(seq, i, 2) AS d, n FROM (SELECT doc_id, seq, length(seq) - 1 AS n, unnest(range(1, length(seq))) AS i FROM dna)),
+c AS (SELECT doc_id, d, count(*) / max(n) AS p FROM d GROUP BY doc_id, d) SELECT doc_id, round(-sum(p * log2(p)), 4) AS entropy FROM c GROUP BY doc_id""")
+def dinuc_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base-2 entropy of the dinucleotides, counted by grouping, which suits long sequences."""
+    d = I.documents_dna(spark, sf_dir).select("doc_id", (F.length("seq") - 1).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substr("seq", i, F.lit(2)))).alias("d"))
+    p = d.groupBy("doc_id", "d").agg((F.count("*") / F.max("n")).alias("p"))
+    return p.groupBy("doc_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"))
+
+
+# --- alignments -------------------------------------------------------------------------------------------------------
+
+ALN_LONG = f"""{I.ALN}, long AS (SELECT conv_id, chr, pos, 'a' AS name, 0 AS rnk, ref AS seq FROM aln UNION ALL SELECT conv_id, chr, pos, 'b', 1, s1 FROM aln UNION ALL SELECT conv_id, chr, pos, 'c', 2, s2 FROM aln WHERE s2 IS NOT NULL)"""
+CUT = "array_to_string(list_transform(list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> '-'), lambda i: substr(seq, i, 1)), '')"
+
+
+@query(f"WITH {ALN_LONG} SELECT chr, pos AS position, name, '+' AS strand, seq FROM long")
+def maf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAF text made of the alignments, parsed again."""
+    return maf.parse(I.maf_text(spark, sf_dir)).select(F.explode("species").alias("s")).select("s.chr", "s.position", "s.name", "s.strand", "s.seq")
+
+
+@query(f"WITH {ALN_LONG} SELECT l.chr, l.pos AS position, name, {CUT} AS seq FROM long l JOIN aln USING (conv_id) WHERE size >= 18")
+def degap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir), minlength=18))
+    return blocks.select(F.explode("species").alias("s")).select("s.chr", "s.position", "s.name", "s.seq")
+
+
+@query(f"""WITH {ALN_LONG}, cut AS (SELECT l.conv_id, l.chr, l.pos, name, rnk, {CUT} AS seq, size FROM long l JOIN aln USING (conv_id)),
+flag AS (SELECT conv_id, chr, pos, size, CASE WHEN lag(pos + size) OVER (PARTITION BY chr ORDER BY pos) = pos THEN 0 ELSE 1 END AS f FROM aln),
+isl AS (SELECT *, sum(f) OVER (PARTITION BY chr ORDER BY pos) AS island FROM flag),
+have AS (SELECT DISTINCT i.chr, island, name FROM isl i JOIN cut c USING (conv_id)),
+full_ AS (SELECT i.chr, i.island, i.pos, h.name, coalesce(c.seq, repeat('-', i.size)) AS seq FROM isl i JOIN have h ON h.chr = i.chr AND h.island = i.island LEFT JOIN cut c ON c.conv_id = i.conv_id AND c.name = h.name),
+m AS (SELECT chr, island, name, min(pos) AS position, string_agg(seq, '' ORDER BY pos) AS seq FROM full_ GROUP BY chr, island, name)
+SELECT chr, position, name, seq FROM m WHERE length(seq) > 18""")
+def maf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without reference gaps, adjacent ones joined, absent species as gaps."""
+    blocks = maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir)))
+    return maf.merge_adjacent(blocks, I.LEAVES).select("chr", "position", F.explode("species").alias("s")).select("chr", "position", "s.name", "s.seq")
+
+
+@query(f"WITH {I.ALN} SELECT chr, pos AS position, ref AS a, s1 AS b, coalesce(s2, repeat('-', length(ref))) AS c FROM aln")
+def species_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = maf.fill_species(maf.parse(I.maf_text(spark, sf_dir)), I.LEAVES)
+    ref = F.col("species")[0]
+    return blocks.select(ref["chr"].alias("chr"), ref["position"].alias("position"), *(F.col("alignment")[i].alias(x) for i, x in enumerate(I.LEAVES)))
+
+
+def _alignment_duplexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, l, r, alignment): each filled block folded on itself: the left half against the reversed right half."""
+    blocks = maf.fill_species(maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir))), I.LEAVES)
+    ref = F.translate(F.col("alignment")[0], "T", "U")
+    half = F.floor(F.length(F.col("alignment")[0]) / 2).cast("int")
+    b = blocks.select(F.concat_ws(":", F.col("species")[0]["chr"], F.col("species")[0]["position"].cast("string")).alias("key"), ref.alias("ref"), half.alias("half"), "alignment")
+    both = lambda s: F.concat(F.substr(s, F.lit(1), F.col("half")), F.right(s, F.col("half")))
+    return b.select("key", F.substr("ref", F.lit(1), F.col("half")).alias("l"), F.reverse(F.right("ref", F.col("half"))).alias("r"), F.transform("alignment", both).alias("alignment"))
+
+
+HALVES = f"""{I.ALN}, filled AS (SELECT conv_id, chr, pos, ref, s1, coalesce(s2, repeat('-', length(ref))) AS s2 FROM aln),
+cols AS (SELECT chr || ':' || pos AS key, list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> '-') AS k, ref, s1, s2 FROM filled),
+cut AS (SELECT key, array_to_string(list_transform(k, lambda i: substr(ref, i, 1)), '') AS a, array_to_string(list_transform(k, lambda i: substr(s1, i, 1)), '') AS b, array_to_string(list_transform(k, lambda i: substr(s2, i, 1)), '') AS c FROM cols),
+cell AS (SELECT key, i, substr(a, i, 1) || substr(b, i, 1) || substr(c, i, 1) AS first, substr(a, length(a) - i + 1, 1) || substr(b, length(a) - i + 1, 1) || substr(c, length(a) - i + 1, 1) AS last
+  FROM (SELECT *, unnest(range(1, length(a) // 2 + 1)) AS i FROM cut))"""
+
+
+@query(f"WITH {HALVES} SELECT key, CAST(i - 1 AS INTEGER) AS at, first, last FROM cell")
+def duplex_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment's columns under each pair or mismatch of every duplex."""
+    return phylogeny.paired_columns(_alignment_duplexes(spark, sf_dir), "key")
+
+
+def _single_sql() -> str:
+    """Unrolled for the tree ((a,b),c): P applied to either child of the inner node before they are multiplied."""
+    tree = phylogeny.with_probabilities(newick.parse(I.TREE), phylogeny.SINGLE_Q)
+    inner, c = tree.children
+    a, b = inner.children
+    rows = [(leaf, "ACGT"[s], t, float(n.prob[t, s])) for leaf, n in (("a", a), ("b", b), ("c", c)) for s in range(4) for t in range(4)]
+    rows += [(leaf, "-", t, 1.0) for leaf in "abc" for t in range(4)]
+    up = [(x, y, float(inner.prob[x, y])) for x in range(4) for y in range(4)]
+    return f"""leaf(name, base, t, p) AS (VALUES {values(rows)}), up(x, y, p) AS (VALUES {values(up)}),
+lifted AS (SELECT name, base, x AS t, sum(up.p * leaf.p) AS p FROM leaf JOIN up ON up.y = leaf.t GROUP BY name, base, x),
+lik AS (SELECT pattern, sum(la.p * lb.p * lc.p * 0.25e0) AS likelihood FROM pats JOIN lifted la ON la.name = 'a' AND la.base = substr(pattern, 1, 1)
+  JOIN lifted lb ON lb.name = 'b' AND lb.base = substr(pattern, 2, 1) AND lb.t = la.t JOIN leaf lc ON lc.name = 'c' AND lc.base = substr(pattern, 3, 1) AND lc.t = la.t GROUP BY pattern)"""
+
+
+def _paired_sql() -> str:
+    tree = phylogeny.with_probabilities(newick.parse(I.TREE), phylogeny.paired_q())
+    inner, c = tree.children
+    a, b = inner.children
+    rows = [(leaf, "ACGT"[s // 4] + "ACGT"[s % 4], t, float(n.prob[t, s])) for leaf, n in (("a", a), ("b", b), ("c", c)) for s in range(16) for t in range(16)]
+    rows += [(leaf, "-", t, 1.0) for leaf in "abc" for t in range(16)]
+    up = [(x, y, float(inner.prob[x, y])) for x in range(16) for y in range(16)]
+    pi = [(t, float(p)) for t, p in enumerate(phylogeny.PAIRED_PI)]
+    base = lambda i: f"CASE WHEN substr(first, {i}, 1) = '-' OR substr(last, {i}, 1) = '-' THEN '-' ELSE substr(first, {i}, 1) || substr(last, {i}, 1) END"
+    return f"""leaf2(name, base, t, p) AS (VALUES {values(rows)}), up2(x, y, p) AS (VALUES {values(up)}), pi2(t, p) AS (VALUES {values(pi)}),
+lifted2 AS (SELECT name, base, x AS t, sum(up2.p * leaf2.p) AS p FROM leaf2 JOIN up2 ON up2.y = leaf2.t GROUP BY name, base, x),
+two AS (SELECT DISTINCT first, last, {base(1)} AS ba, {base(2)} AS bb, {base(3)} AS bc FROM cell),
+lik2 AS (SELECT first, last, sum(la.p * lb.p * lc.p * pi2.p) AS likelihood FROM two JOIN lifted2 la ON la.name = 'a' AND la.base = ba JOIN lifted2 lb ON lb.name = 'b' AND lb.base = bb AND lb.t = la.t
+  JOIN leaf2 lc ON lc.name = 'c' AND lc.base = bc AND lc.t = la.t JOIN pi2 ON pi2.t = la.t GROUP BY first, last)"""
+
+
+PATTERNS = "pats AS (SELECT DISTINCT first AS pattern FROM cell UNION SELECT last FROM cell)"
+
+
+@query(f"WITH {HALVES}, {PATTERNS}, {_single_sql()} SELECT pattern, round(likelihood, 8) AS likelihood FROM lik")
+def site_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = phylogeny.paired_columns(_alignment_duplexes(spark, sf_dir), "key").select(F.explode(F.array("first", "last")).alias("pattern"))
+    return phylogeny.site_likelihoods(cells, newick.parse(I.TREE)).withColumn("likelihood", F.round("likelihood", 8))
+
+
+@query(f"WITH {HALVES}, {_paired_sql()} SELECT first, last, round(likelihood, 10) AS likelihood FROM lik2")
+def paired_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = phylogeny.paired_columns(_alignment_duplexes(spark, sf_dir), "key")
+    return phylogeny.pair_likelihoods(cells, newick.parse(I.TREE)).withColumn("likelihood", F.round("likelihood", 10))
+
+
+@query(f"""WITH {HALVES}, {PATTERNS}, {_single_sql()}, {_paired_sql()}
+SELECT key, round(sum(log2(lik2.likelihood) - log2(x.likelihood) - log2(y.likelihood)), 3) AS score FROM cell JOIN lik2 USING (first, last) JOIN lik x ON x.pattern = cell.first JOIN lik y ON y.pattern = cell.last GROUP BY key""")
+def phylo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = newick.parse(I.TREE)
+    return phylogeny.duplex_scores(_alignment_duplexes(spark, sf_dir), "key", tree, tree).withColumn("score", F.round("score", 3))
+
+
+def _cov_sql() -> str:
+    p = lambda i: f"(CASE WHEN substr(first, {i}, 1) || substr(last, {i}, 1) IN ('AT','TA','CG','GC','GT','TG') THEN 1 ELSE 0 END)"
+    d = lambda i, j: f"{p(i)} * {p(j)} * ((CASE WHEN substr(first, {i}, 1) <> substr(first, {j}, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(last, {i}, 1) <> substr(last, {j}, 1) THEN 1 ELSE 0 END))"
+    return f"({d(1, 2)} + {d(1, 3)} + {d(2, 3)}) / 3.0 * (({p(1)} + {p(2)} + {p(3)}) / 3.0)"
+
+
+@query(f"WITH {HALVES} SELECT key, round(avg({_cov_sql()}), 6) AS covariance FROM cell GROUP BY key")
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phylogeny.duplex_covariance(_alignment_duplexes(spark, sf_dir), "key").withColumn("covariance", F.round("covariance", 6))
+
+
+# --- intervals --------------------------------------------------------------------------------------------------------
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.duplexes(spark, sf_dir).select("key", "seqname", F.col("f_first").alias("first"), F.col("f_last").alias("last"))
+
+
+@query(f"WITH {I.GENES} SELECT name, seqname, first + 1 - 3 AS first, last + 3 AS last, '+' AS strand FROM genes")
+def bed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BED text made of the genes, parsed again with flanks of three."""
+    text = I.genes(spark, sf_dir).select(F.concat_ws("\t", "seqname", F.col("first").cast("string"), F.col("last").cast("string"), "name", F.lit("0"), F.lit("+")).alias("value"))
+    return regions.bed(text, 3, 3).select("name", "seqname", "first", "last", "strand")
+
+
+@query(f"""WITH {I.GENES}, {I.CONS} SELECT seqname, first + 1 AS first, last, score, count(*) AS n FROM cons c WHERE EXISTS (SELECT 1 FROM genes g WHERE g.seqname = c.seqname AND g.first <= c.last AND c.first + 1 <= g.last) GROUP BY ALL""")
+def bedgraph_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bedGraph text made of the conserved regions, parsed again; those that overlap a gene."""
+    text = I.conserved(spark, sf_dir).select(F.concat_ws(" ", "seqname", F.col("first").cast("string"), F.col("last").cast("string"), F.col("score").cast("string")).alias("value"))
+    rows = regions.bedgraph(text).groupBy("seqname", "first", "last", "score").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("id", F.concat_ws("|", "seqname", F.col("first").cast("string"), F.col("last").cast("string"), F.col("score").cast("string")))
+    return intervals.overlaps(rows, [I.genes(spark, sf_dir)], "id").select("seqname", "first", "last", "score", "n")
+
+
+@query(f"WITH {I.IV}, {I.GENES} SELECT key, name AS gene FROM iv JOIN genes g ON g.seqname = iv.seqname AND g.first <= f_last AND f_first <= g.last")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlap_join(_arms(spark, sf_dir), I.genes(spark, sf_dir), 64).select("key", F.col("b_name").alias("gene"))
+
+
+@query(f"WITH {I.IV}, {I.GENES} SELECT key FROM iv WHERE EXISTS (SELECT 1 FROM genes g WHERE g.seqname = iv.seqname AND g.first <= f_last AND f_first <= g.last)")
+def interval_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps(_arms(spark, sf_dir), [I.genes(spark, sf_dir)], "key", 64).select("key")
+
+
+@query(f"""WITH {I.IV}, {I.GENES}, {I.CONS} SELECT key FROM iv WHERE EXISTS (SELECT 1 FROM genes g WHERE g.seqname = iv.seqname AND g.first <= f_last AND f_first <= g.last)
+AND EXISTS (SELECT 1 FROM cons c WHERE c.seqname = iv.seqname AND c.first <= f_last AND f_first <= c.last)""")
+def interval_semi2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps(_arms(spark, sf_dir), [I.genes(spark, sf_dir), I.conserved(spark, sf_dir)], "key", 64).select("key")
+
+
+def _near(identity: float) -> str:
+    part = lambda x: f"(least(a.{x}_last, b.{x}_last) - greatest(a.{x}_first, b.{x}_first) + 1) / least(a.{x}_last - a.{x}_first + 1, b.{x}_last - b.{x}_first + 1) >= {identity}"
+    return f"a.seqname = b.seqname AND {part('f')} AND {part('l')}"
+
+
+@query(f"WITH {I.IV} SELECT a.key AS key_a, b.key AS key_b FROM iv a JOIN iv b ON {_near(0.9)} AND a.key < b.key AND a.f_first // 50 = b.f_first // 50")
+def overlap_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlapping_pairs(I.duplexes(spark, sf_dir), 0.9, "key")
+
+
+BETTER = "(b.energy < a.energy OR b.energy = a.energy AND b.key < a.key)"
+
+
+@query(f"WITH {I.IV} SELECT key, energy FROM iv a WHERE NOT EXISTS (SELECT 1 FROM iv b WHERE {_near(0.8)} AND a.f_first // 50 = b.f_first // 50 AND {BETTER})")
+def dominance_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.undominated(I.duplexes(spark, sf_dir), "key", 0.8).select("key", "energy")
+
+
+@query(f"WITH {I.IV} SELECT key, energy FROM iv a WHERE NOT EXISTS (SELECT 1 FROM iv b WHERE {_near(0.8)} AND {BETTER})")
+def dominance_dedup_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.undominated(I.duplexes(spark, sf_dir), "key", 0.8, everywhere=True).select("key", "energy")
+
+
+@query(f"WITH {I.IV} SELECT key, l_first - f_first - 1 AS distance, energy FROM iv WHERE n_pairs >= 20 AND energy <= -30 AND l_first - f_first BETWEEN 1 AND 120")
+def duplex_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intervals.collect(I.duplexes(spark, sf_dir), 20, -30.0, 1, 120)
+    return found.select("key", "distance", "energy")
+
+
+@query(f"WITH {I.IV} SELECT seqname, min(energy) AS energy, arg_min(key, (energy, key)) AS key FROM iv WHERE energy < 0 GROUP BY seqname")
+def min_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.best(I.duplexes(spark, sf_dir))
+
+
+@query(f"WITH {I.IV} SELECT seqname, strand, count(*) AS n FROM iv GROUP BY 1, 2")
+def duplex_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.duplexes(spark, sf_dir).groupBy("seqname", "strand").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {I.IV}, p AS (SELECT seqname, f_first // 50 AS bin, f_first, f_last, l_first, l_last, lag((f_first, f_last, l_first, l_last)) OVER (PARTITION BY seqname, f_first // 50 ORDER BY key) AS b FROM iv)
+SELECT seqname, bin, bool_and(coalesce(b <= (f_first, f_last, l_first, l_last), true)) AS ordered FROM p GROUP BY 1, 2""")
+def is_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.duplexes(spark, sf_dir).withColumn("bin", F.floor(F.col("f_first") / 50))
+    return intervals.is_ordered(rows, ("seqname", "bin"), ("f_first", "f_last", "l_first", "l_last"), "key")
+
+
+@query(f"WITH {I.IV} SELECT seqname, count(*) AS n, min(key) AS first_key FROM iv WHERE NOT (energy > -20) GROUP BY seqname")
+def duplex_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.duplexes(spark, sf_dir)
+    return intervals.delete(rows, rows.filter("energy > -20"), "key").groupBy("seqname").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+# --- energy -----------------------------------------------------------------------------------------------------------
+
+STEPS = f"""{I.HELIX}, step AS (SELECT seq_id, i, substr(l, i, 1) || substr(r, i, 1) AS p, CASE WHEN i < length(l) THEN substr(l, i + 1, 1) || substr(r, i + 1, 1) END AS q FROM (SELECT *, unnest(range(1, length(l) + 1)) AS i FROM helix)), {STACKS}"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.concat(F.substr("l", i, F.lit(1)), F.substr("r", i, F.lit(1)))
+    return I.helix_paths(spark, sf_dir).select("seq_id", "l", "r", F.explode(F.sequence(F.lit(1), F.length("l"))).alias("i")).select("seq_id", "i", at(F.col("i")).alias("p"), F.when(F.col("i") < F.length("l"), at(F.col("i") + 1)).alias("q"))
+
+
+@query(f"WITH {STEPS} SELECT p, q, count(*) AS n, round(sum(e), 4) AS total FROM step JOIN stacks USING (p, q) GROUP BY 1, 2")
+def stack_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir).filter("q is not null").groupBy("p", "q").agg(F.count("*").alias("n"), F.round(F.sum(E.stack(F.col("p"), F.col("q"))), 4).alias("total"))
+
+
+@query(f"""WITH {STEPS}, s AS (SELECT seq_id, sum(e) AS e FROM step LEFT JOIN stacks USING (p, q) GROUP BY 1), h AS (SELECT *, length(l) // 2 AS half, length(l) AS n FROM helix)
+SELECT seq_id, round(4.09 + coalesce(e, 0) + CASE WHEN l[1] || r[1] IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN substr(l, n, 1) || substr(r, n, 1) IN {WEAK} THEN 0.45 ELSE 0 END
++ CASE WHEN substr(l, 1, half) = substr(reverse(r), 1, half) AND substr(r, 1, half) = substr(reverse(l), 1, half) THEN 0.43 ELSE 0 END, 4) AS energy FROM h JOIN s USING (seq_id)""")
+def helix_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.helix_paths(spark, sf_dir).select("seq_id", F.round(E.helix_energy(F.col("l"), F.col("r")), 4).alias("energy"))
+
+
+@query(f"""WITH {STEPS}, s AS (SELECT seq_id, i + 1 AS i, e FROM step JOIN stacks USING (p, q) UNION ALL SELECT seq_id, 1, CASE WHEN p IN {WEAK} THEN 0.45 ELSE 0 END FROM step WHERE i = 1)
+SELECT seq_id, CAST(i AS INTEGER) AS i, round(sum(e) OVER (PARTITION BY seq_id ORDER BY i), 4) AS energy FROM s""")
+def running_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The energy after each pair, by a window of prefix sums."""
+    s = _steps(spark, sf_dir)
+    before = F.lag("p").over(Window.partitionBy("seq_id").orderBy("i"))
+    own = s.withColumn("e", F.coalesce(E.stack(before, F.col("p")), E.end_penalty(F.col("p"))))
+    return own.select("seq_id", "i", F.round(F.sum("e").over(Window.partitionBy("seq_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("energy"))
+
+
+def _bulges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, i, p, base, q): each inner base as a left bulge between the pairs of its neighbours."""
+    w = Window.partitionBy("seq_id").orderBy("i")
+    s = _steps(spark, sf_dir).withColumns({"before": F.lag("p").over(w)})
+    return s.filter("before is not null and q is not null").select("seq_id", "i", F.col("before").alias("p"), F.substring("p", 1, 1).alias("base"), "q")
+
+
+BULGED = f"""{STEPS}, b AS (SELECT seq_id, CAST(i AS INTEGER) AS i, lag(p) OVER (PARTITION BY seq_id ORDER BY i) AS p, substr(p, 1, 1) AS base, q FROM step),
+bulged AS (SELECT *, 1 + (CASE WHEN substr(p, 1, 1) = base THEN 1 ELSE 0 END) + (CASE WHEN substr(q, 1, 1) = base THEN 1 ELSE 0 END) AS states FROM b WHERE p IS NOT NULL AND q IS NOT NULL)"""
+
+
+def _states() -> F.Column:
+    return 1 + (F.substring("p", 1, 1) == F.col("base")).cast("int") + (F.substring("q", 1, 1) == F.col("base")).cast("int")
+
+
+@query(f"WITH {BULGED} SELECT p, base, q, states, round(-0.616 * ln(states), 4) AS bonus, count(*) AS n FROM bulged GROUP BY ALL")
+def bulge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bulges(spark, sf_dir).withColumn("states", _states()).groupBy("p", "base", "q", "states").agg(F.count("*").alias("n")).withColumn("bonus", F.round(-E.RT * F.log("states"), 4))
+
+
+@query(f"""WITH {BULGED} SELECT seq_id, i, round(3.8 + e - 0.616 * ln(states) + CASE WHEN base = 'C' AND (p = 'CG' OR q = 'CG') THEN -0.9 ELSE 0 END, 4) AS energy FROM bulged JOIN stacks USING (p, q)""")
+def bulge_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    special = F.when((F.col("base") == "C") & ((F.col("p") == "CG") | (F.col("q") == "CG")), E.BULGE_EXCEPTION).otherwise(0.0)
+    return _bulges(spark, sf_dir).select("seq_id", "i", F.round(E.BULGE_INITIATION[0] + E.stack(F.col("p"), F.col("q")) - E.RT * F.log(_states()) + special, 4).alias("energy"))
+
+
+# Motifs: elements between pairs of each path; their sizes and the energy of loops of mismatches only.
+MOTIFS = f"""{I.PATHS}, e AS (SELECT seq_id, i, substr(l, i, 1) || substr(r, i, 1) AS c, CASE WHEN substr(l, i, 1) = '-' THEN 'B' WHEN substr(l, i, 1) || substr(r, i, 1) IN {PAIR_LIST} THEN 'P' ELSE 'M' END AS k
+  FROM (SELECT *, unnest(range(1, length(l) + 1)) AS i FROM paths)),
+lastp AS (SELECT *, max(CASE WHEN k = 'P' THEN i END) OVER (PARTITION BY seq_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM e),
+motif AS (SELECT x.seq_id, x.open, x.i AS close, o.c AS p, x.c AS q FROM lastp x JOIN e o ON o.seq_id = x.seq_id AND o.i = x.open WHERE x.k = 'P' AND x.i > x.open + 1),
+size AS (SELECT m.seq_id, m.open, m.close, m.p, m.q, sum(CASE WHEN e.k = 'M' THEN 1 ELSE 0 END) AS m, sum(CASE WHEN e.k = 'B' THEN 1 ELSE 0 END) AS b FROM motif m JOIN e ON e.seq_id = m.seq_id AND e.i > m.open AND e.i < m.close GROUP BY ALL)"""
+
+
+def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, open, close, p, q, m, b): the pairs around each loop or bulge, and its mismatches and bulged bases."""
+    cells = F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.struct(F.concat(a, b).alias("c"), codes.kind(a, b).alias("k")))
+    e = I.paths(spark, sf_dir).select("seq_id", F.posexplode(cells).alias("at", "x")).select("seq_id", (F.col("at") + 1).alias("i"), "x.c", "x.k")
+    w = Window.partitionBy("seq_id").orderBy("i")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.last_value(F.when(F.col("k") == "pair", c), ignoreNulls=F.lit(True)).over(before)
+    run = lambda what: F.sum((F.col("k") == what).cast("long")).over(w)
+    e = e.withColumns({"mm": run("mismatch"), "bb": run("bulge")})
+    e = e.withColumns({"open": last(F.col("i")), "p": last(F.col("c")), "m0": last(F.col("mm")), "b0": last(F.col("bb"))})
+    return e.filter((F.col("k") == "pair") & (F.col("i") > F.col("open") + 1)).select("seq_id", "open", F.col("i").alias("close"), "p", F.col("c").alias("q"), (F.col("mm") - F.col("m0")).alias("m"), (F.col("bb") - F.col("b0")).alias("b"))
+
+
+@query(f"WITH {MOTIFS} SELECT seq_id, open, close, p, q, CAST(m AS BIGINT) AS m, CAST(b AS BIGINT) AS b FROM size")
+def motif_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _motifs(spark, sf_dir)
+    return m.withColumns({c: F.col(c).cast("long") for c in ("open", "close")})
+
+
+LOOP_INIT = f"init(n, e) AS (VALUES {values((i + 1, e) for i, e in enumerate(E.LOOP_INITIATION))})"
+
+
+@query(f"""WITH {MOTIFS}, {LOOP_INIT} SELECT seq_id, open, close, round(e + 0.6 * b + CASE WHEN p IN {WEAK} THEN 0.7 ELSE 0 END + CASE WHEN q IN {WEAK} THEN 0.7 ELSE 0 END, 4) AS energy
+FROM size JOIN init ON n = 2 * m + b WHERE m >= 3 AND b = 0 OR m = 1 AND b >= 2""")
+def loop_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the loops that need no table: three mismatches or more, or one with two bulged bases or more; beyond 30 there is none."""
+    n = 2 * F.col("m") + F.col("b")
+    init = F.array(*map(F.lit, E.LOOP_INITIATION))
+    rows = _motifs(spark, sf_dir).filter("m >= 3 and b = 0 or m = 1 and b >= 2").filter(n <= len(E.LOOP_INITIATION))
+    e = F.element_at(init, n.cast("int")) + E.ASYMMETRY * F.col("b") + E.end_penalty(F.col("p"), E.AU_CLOSURE) + E.end_penalty(F.col("q"), E.AU_CLOSURE)
+    return rows.select("seq_id", F.col("open").cast("long").alias("open"), F.col("close").cast("long").alias("close"), F.round(e, 4).alias("energy"))
+
+
+# --- folding ----------------------------------------------------------------------------------------------------------
+
+CELLS = f"""{I.SEQ}, bases AS (SELECT seq_id, conv_id, turn, pos, substr(seq, pos, 1) AS b FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS pos FROM seqs)),
+cells AS (SELECT a.seq_id, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases a JOIN bases k ON a.seq_id = k.seq_id AND k.pos - a.pos - 1 BETWEEN 3 AND 2000 WHERE a.b || k.b IN {PAIR_LIST})"""
+
+
+def islands(cells: str, key: str) -> str:
+    return f"""isl AS (SELECT *, i + k AS d, i - row_number() OVER (PARTITION BY {key}, i + k ORDER BY i) AS island, lead(i) OVER (PARTITION BY {key}, i + k ORDER BY i) AS ni, lead(pair) OVER (PARTITION BY {key}, i + k ORDER BY i) AS nq FROM {cells}),
+runs AS (SELECT {key}, d, island, min(i) AS i, max(k) AS k, count(*) AS n_pairs, sum(CASE WHEN ni = i + 1 THEN e ELSE 0 END) AS s, arg_min(pair, i) AS op, arg_max(pair, i) AS ip FROM isl LEFT JOIN stacks ON p = pair AND q = nq GROUP BY {key}, d, island),
+hel AS (SELECT *, 4.09 + s + CASE WHEN op IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN ip IN {WEAK} THEN 0.45 ELSE 0 END AS energy FROM runs)"""
+
+
+@query(f"WITH {CELLS} SELECT seq_id, pair, count(*) AS n, sum(k - i) AS span FROM cells GROUP BY 1, 2")
+def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complementary cells within each sequence, counted by pair."""
+    b = folding.bases(I.sequences(spark, sf_dir))
+    return folding.pair_join(b, b).groupBy(F.col("key_a").alias("seq_id"), "pair").agg(F.count("*").alias("n"), F.sum((F.col("k") - F.col("i")).cast("long")).alias("span"))
+
+
+@query(f"WITH {CELLS}, {STACKS}, {islands('cells', 'seq_id')} SELECT seq_id, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -1.0")
+def fold_helix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal gap-free helices under -1 kcal/mol within each sequence."""
+    b = folding.bases(I.sequences(spark, sf_dir))
+    found = folding.helices(folding.pair_join(b, b)).filter("energy < -1.0")
+    return found.select(F.col("key_a").alias("seq_id"), F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+
+
+@query(f"""WITH {CELLS}, {STACKS}, two AS (SELECT a.conv_id, a.turn, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases a JOIN bases k ON a.conv_id = k.conv_id AND k.turn = a.turn + 1 WHERE a.turn % 2 = 0 AND a.b || k.b IN {PAIR_LIST}),
+{islands('two', 'conv_id, turn')} SELECT conv_id, turn, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -2.0""")
+def fold_intermolecular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helices between each user turn and the answer to it: two sequences, every distance."""
+    b = folding.bases(I.sequences(spark, sf_dir).withColumn("seq_id", F.struct("conv_id", "turn")))
+    left = b.filter("seq_id.turn % 2 = 0").withColumn("seq_id", F.struct("seq_id.conv_id", "seq_id.turn"))
+    right = b.filter("seq_id.turn % 2 = 1").withColumn("seq_id", F.struct(F.col("seq_id.conv_id").alias("conv_id"), (F.col("seq_id.turn") - 1).alias("turn")))
+    found = folding.helices(folding.pair_join(left, right, lo=-(1 << 30), hi=1 << 30)).filter("energy < -2.0")
+    return found.select("key_a.conv_id", "key_a.turn", F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+
+
+def _benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), codes.rna(codes.dna_only(F.col("text"))).alias("seq")).filter(F.length("seq") >= 8)
+
+
+#: One bulged base or two, two mismatches, and arms of up to 20 bases.
+FOLD = folding.FoldOptions(depth=20, bulge_max=2, mismatch_max=2, minfold=-1.0)
+
+
+@query()
+def fold_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every duplex of the benchmark items' sequences, with bulges and mismatches."""
+    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), FOLD)
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = folding.arms(fold_general(spark, sf_dir)).withColumn("strand", F.lit("+"))
+    d = d.withColumn("key", F.concat_ws("|", "seqname", F.col("i").cast("string"), F.col("k").cast("string"), "l", "r"))
+    return intervals.undominated(d.withColumn("n_pairs", codes.count_kind(F.col("l"), F.col("r"), "pair")), "key")
+
+
+@query()
+def stitch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stitching.stitch_pairs(_folded(spark, sf_dir))
+
+
+@query()
+def stitch_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stitching.stitch_all(_folded(spark, sf_dir))
+
+
+# --- model ------------------------------------------------------------------------------------------------------------
+
+BUCKETS = f"bk(bucket, b_first, b_last, b_mid) AS (VALUES {values(anomaly.buckets())})"
+
+
+@query(f"WITH {I.FEAT} SELECT dist, round(cons, 4) AS cons, round(deltag, 4) AS deltag, npairs, entropy, covariance, count(*) AS n FROM feat GROUP BY ALL")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = I.features(spark, sf_dir)
+    return f.groupBy("dist", F.round("cons", 4).alias("cons"), F.round("deltag", 4).alias("deltag"), "npairs", "entropy", "covariance").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {I.FEAT}, {BUCKETS} SELECT event_id, dist, CAST((SELECT min(bucket) FROM bk WHERE b_mid >= dist) AS INTEGER) AS bucket FROM feat")
+def bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.features(spark, sf_dir).select("event_id", "dist", anomaly.assigned(F.col("dist")).alias("bucket"))
+
+
+MEANS = "means AS (SELECT bucket, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}" for c in anomaly.FEATURES) + " FROM feat JOIN bk ON dist BETWEEN b_first AND b_last GROUP BY bucket)"
+
+
+@query(f"WITH {I.FEAT}, {BUCKETS}, {MEANS} SELECT CAST(bucket AS INTEGER) AS bucket, n, " + ", ".join(f"round(mean_{c}, 4) AS mean_{c}" for c in anomaly.FEATURES) + " FROM means")
+def bucket_train_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = anomaly.bucket_means(I.features(spark, sf_dir))
+    return m.select("bucket", "n", *(F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in anomaly.FEATURES))
+
+
+@query(f"""WITH {I.FEAT}, {BUCKETS}, {MEANS}, own AS (SELECT *, (SELECT min(bucket) FROM bk WHERE b_mid >= dist) AS bucket FROM feat)
+SELECT event_id, CAST(bucket AS INTEGER) AS bucket FROM own JOIN means USING (bucket) WHERE cons > mean_cons AND deltag < mean_deltag AND npairs > mean_npairs AND entropy > mean_entropy AND covariance > mean_covariance""")
+def heuristic_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.features(spark, sf_dir)
+    own = rows.withColumn("bucket", anomaly.assigned(F.col("dist"))).filter("bucket is not null")
+    return anomaly.validated(own, anomaly.bucket_means(rows)).select("event_id", "bucket")
+
+
+@query()
+def iforest_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.outliers(I.features(spark, sf_dir), "event_id")
+
+
+@query(f"""WITH {I.IV}, m AS (SELECT avg(n_pairs) AS mean_pairs FROM iv) SELECT n_pairs, count(*) AS n, round(avg(energy), 4) AS mean_energy, round(stddev_pop(energy), 4) AS sd_energy,
+round(exp(-(SELECT mean_pairs FROM m) + n_pairs * ln((SELECT mean_pairs FROM m)) - lgamma(n_pairs + 1)), 6) AS poisson FROM iv GROUP BY n_pairs""")
+def duplex_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Poisson law of lengths, and for each length a normal law of energies (its moments)."""
+    rows = I.duplexes(spark, sf_dir)
+    mean = rows.agg(F.avg("n_pairs").alias("mean_pairs"))
+    by = rows.groupBy("n_pairs").agg(F.count("*").alias("n"), F.round(F.avg("energy"), 4).alias("mean_energy"), F.round(F.stddev_pop("energy"), 4).alias("sd_energy"))
+    log_factorial = F.aggregate(F.sequence(F.lit(1), F.col("n_pairs").cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    p = F.exp(-F.col("mean_pairs") + F.col("n_pairs") * F.log("mean_pairs") - log_factorial)
+    return by.join(F.broadcast(mean)).select("n_pairs", "n", "mean_energy", "sd_energy", F.round(p, 6).alias("poisson"))
+
+
+@query(f"""WITH {I.IV}, s AS (SELECT *, CASE WHEN energy < 0 THEN greatest(1, least(100, CAST(floor(abs(energy) / 35.0 * 100) AS INTEGER))) ELSE 1 END AS step FROM iv WHERE l_first - f_last <= 100000),
+c AS (SELECT *, CAST(255 - floor((step - 1) * 255 / 99) AS INTEGER) AS fade FROM s)
+SELECT concat_ws(chr(9), seqname, f_first - 1, l_last, 'duplex', CAST(CAST(round(least(1000.0, energy * -250), 2) AS DECIMAL(20,2)) AS VARCHAR), strand, f_first - 1, l_last, concat_ws(',', 255, fade, fade), 2,
+concat_ws(',', f_last - f_first + 1, l_last - l_first + 1), concat_ws(',', 0, l_first - f_first)) AS line FROM c""")
+def bed12_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.bed12(I.duplexes(spark, sf_dir), "duplex")
