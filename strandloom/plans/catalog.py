@@ -515,10 +515,10 @@ def bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEANS = "means AS (SELECT bucket, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}" for c in anomaly.FEATURES) + " FROM feat JOIN bk ON dist BETWEEN b_first AND b_last GROUP BY bucket)"
 
 
-@query(f"WITH {I.FEAT}, {BUCKETS}, {MEANS} SELECT CAST(bucket AS INTEGER) AS bucket, n, " + ", ".join(f"round(mean_{c}, 4) AS mean_{c}" for c in anomaly.FEATURES) + " FROM means")
+@query(f"WITH {I.FEAT}, {BUCKETS}, {MEANS} SELECT CAST(bucket AS INTEGER) AS bucket, n, " + ", ".join(f"round(mean_{c}, 8) AS mean_{c}" for c in anomaly.FEATURES) + " FROM means")
 def bucket_train_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = anomaly.bucket_means(I.features(spark, sf_dir))
-    return m.select("bucket", "n", *(F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in anomaly.FEATURES))
+    return m.select("bucket", "n", *(F.round(f"mean_{c}", 8).alias(f"mean_{c}") for c in anomaly.FEATURES))
 
 
 @query(f"""WITH {I.FEAT}, {BUCKETS}, {MEANS}, own AS (SELECT *, (SELECT min(bucket) FROM bk WHERE b_mid >= dist) AS bucket FROM feat)

@@ -34,7 +34,7 @@ def parse(blocks: DataFrame, minlength: int = 1, minscore: float = float("-inf")
         bits = F.split(name, r"\.")
         return F.struct(
             (name if keepname else bits[0]).alias("name"), F.when(F.size(bits) > 1, F.try_element_at(bits, F.lit(2))).alias("chr"),
-            part(2).cast("bigint").alias("position"), part(4).alias("strand"), F.upper(part(6)).alias("seq"),
+            part(2).try_cast("bigint").alias("position"), part(4).alias("strand"), F.upper(part(6)).alias("seq"),
         )
 
     size = F.regexp_extract(F.try_element_at("lines", F.lit(2)), S_LINE, 3).try_cast("bigint")
