@@ -200,6 +200,17 @@ def end_penalty(pair: Column, penalty: float = AU_END) -> Column:
     return F.when(pair.isin(*sorted(WEAK)), penalty).otherwise(0.0)
 
 
+def one_by_one(p: Column, m: Column, q: Column, tables: Loops | None = None) -> Column:
+    """The energy of a single mismatch between two pairs: the tables' rule and exceptions."""
+    t = tables or Loops()
+    rule = 0.5 + end_penalty(p, AU_CLOSURE) + end_penalty(q, AU_CLOSURE) - F.when(m == "GG", 2.6).otherwise(0.0)
+    key = F.concat_ws(".", p, m, q)
+    for k, e in t.exceptions.items():
+        if k.count(".") == 2 and "+" not in k:
+            rule = F.when(key == k, e).otherwise(rule)
+    return rule
+
+
 def helix_energy(l: Column, r: Column) -> Column:  # noqa: E741
     """Of a path of pairs only, not rounded; stays in generated code."""
     n = F.length(l)

@@ -40,7 +40,7 @@ def members(rows: DataFrame, dist: str = "dist") -> DataFrame:
 
 
 def bucket_means(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    return members(rows).groupBy("bucket").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in features))
+    return members(rows).groupBy("bucket").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("sum", F.sum))))
 
 
 class IsolationForest:

@@ -466,6 +466,32 @@ def fold_intermolecular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key_a.conv_id", "key_a.turn", F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
 
 
+ONE = "single(p, m, q, e) AS (VALUES " + values((*k.split("."), e) for k, e in E.LOOP_EXCEPTIONS.items() if k.count(".") == 2) + ")"
+
+
+@query(f"""WITH {CELLS}, {ONE}, mid AS (SELECT a.seq_id, a.pair AS p, x.b || y.b AS m, c.pair AS q FROM cells a JOIN cells c ON c.seq_id = a.seq_id AND c.i = a.i + 2 AND c.k = a.k - 2
+  JOIN bases x ON x.seq_id = a.seq_id AND x.pos = a.i + 1 JOIN bases y ON y.seq_id = a.seq_id AND y.pos = a.k - 1 WHERE x.b || y.b NOT IN {PAIR_LIST})
+SELECT p, m, q, count(*) AS n, round(any_value(coalesce(e, 0.5 + CASE WHEN p IN {WEAK} THEN 0.7 ELSE 0 END + CASE WHEN q IN {WEAK} THEN 0.7 ELSE 0 END - CASE WHEN m = 'GG' THEN 2.6 ELSE 0 END)), 4) AS energy
+FROM mid LEFT JOIN single USING (p, m, q) GROUP BY p, m, q""")
+def loop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single mismatches between pairs of all sequences, counted, with their energies."""
+    seqs = I.sequences(spark, sf_dir)
+    b = folding.bases(seqs)
+    found = folding.one_by_one_loops(folding.pair_join(b, b), seqs)
+    p, m, q = F.col("outer").alias("p"), F.col("mismatch").alias("m"), F.col("inner").alias("q")
+    by = found.groupBy(p, m, q).agg(F.count("*").alias("n"))
+    return by.withColumn("energy", F.round(E.one_by_one(F.col("p"), F.col("m"), F.col("q")), 4))
+
+
+@query(f"""WITH {CELLS}, {STACKS}, two AS (SELECT a.conv_id, a.turn AS ta, k.turn AS tb, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases a JOIN bases k ON a.conv_id = k.conv_id AND a.turn < k.turn WHERE a.b || k.b IN {PAIR_LIST}),
+{islands('two', 'conv_id, ta, tb')} SELECT conv_id, ta, tb, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -3.0""")
+def fold_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helices between every two turns of a conversation."""
+    b = folding.bases(I.sequences(spark, sf_dir).withColumn("seq_id", F.struct("conv_id", "turn")))
+    found = folding.helices(folding.pair_join(b, b, group="conv_id")).filter("energy < -3.0")
+    return found.select("key_a.conv_id", F.col("key_a.turn").alias("ta"), F.col("key_b.turn").alias("tb"), F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+
+
 def _benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), codes.rna(codes.dna_only(F.col("text"))).alias("seq")).filter(F.length("seq") >= 8)
 
@@ -480,6 +506,18 @@ def fold_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), FOLD)
 
 
+@query()
+def fold_bulge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every duplex of the benchmark items' sequences with at most a bulge of up to three bases and no mismatch."""
+    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), folding.FoldOptions(depth=20, bulge_max=3, mismatch_max=0, minfold=-1.0))
+
+
+@query()
+def fold_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every duplex of the benchmark items' sequences with at most three mismatches in a row and no bulge."""
+    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), folding.FoldOptions(depth=20, bulge_max=0, mismatch_max=3, minfold=-1.0))
+
+
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = folding.arms(fold_general(spark, sf_dir)).withColumn("strand", F.lit("+"))
     d = d.withColumn("key", F.concat_ws("|", "seqname", F.col("i").cast("string"), F.col("k").cast("string"), "l", "r"))
@@ -512,13 +550,13 @@ def bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.features(spark, sf_dir).select("event_id", "dist", anomaly.assigned(F.col("dist")).alias("bucket"))
 
 
-MEANS = "means AS (SELECT bucket, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}" for c in anomaly.FEATURES) + " FROM feat JOIN bk ON dist BETWEEN b_first AND b_last GROUP BY bucket)"
+MEANS = "means AS (SELECT bucket, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}, sum({c}) AS sum_{c}" for c in anomaly.FEATURES) + " FROM feat JOIN bk ON dist BETWEEN b_first AND b_last GROUP BY bucket)"
 
 
-@query(f"WITH {I.FEAT}, {BUCKETS}, {MEANS} SELECT CAST(bucket AS INTEGER) AS bucket, n, " + ", ".join(f"round(mean_{c}, 8) AS mean_{c}" for c in anomaly.FEATURES) + " FROM means")
+@query(f"WITH {I.FEAT}, {BUCKETS}, {MEANS} SELECT CAST(bucket AS INTEGER) AS bucket, n, " + ", ".join(f"round(sum_{c}, 6) / n AS mean_{c}" for c in anomaly.FEATURES) + " FROM means")
 def bucket_train_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = anomaly.bucket_means(I.features(spark, sf_dir))
-    return m.select("bucket", "n", *(F.round(f"mean_{c}", 8).alias(f"mean_{c}") for c in anomaly.FEATURES))
+    return m.select("bucket", "n", *((F.round(f"sum_{c}", 6) / F.col("n")).alias(f"mean_{c}") for c in anomaly.FEATURES))
 
 
 @query(f"""WITH {I.FEAT}, {BUCKETS}, {MEANS}, own AS (SELECT *, (SELECT min(bucket) FROM bk WHERE b_mid >= dist) AS bucket FROM feat)
