@@ -30,6 +30,8 @@ from strandloom.llm import words as W
 from strandloom.session import cut, ship
 
 ANCHOR = 6
+#: Places that a task gathers before it tells the documents.
+GATHER = 2_000_000
 
 
 def _window_hashes(b: pa.RecordBatch, n: int):
@@ -59,12 +61,12 @@ def _anchors(n: int):
         for b in W.pieces(batches, "text", 4 << 20):
             at, _, anchor, (_, _, _, ptr, _) = _window_hashes(b, n)
             doc = b.column(0).to_numpy(zero_copy_only=False)[W.owners(ptr)[at]]
-            # one row for each anchor of the batch, with its least and greatest document
+            # one row for each anchor of the batch, with its least document and how far the greatest is from it
             order = np.lexsort((doc, anchor))
             a, d = anchor[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
             last = np.concatenate([first[1:], [len(a)]]) - 1 if len(a) else first
-            yield pa.RecordBatch.from_arrays([W.int64(a[first]), W.int64(d[first]), W.int64(d[last])], ["anchor", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([W.int64(a[first]), W.int64(d[first]), W.int64(d[last] - d[first])], ["anchor", "lo", "more"])
 
     return run
 
@@ -104,11 +106,18 @@ def _packed(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (window, doc_id): every document but a window's first learns that it recurs."""
+    """Rows in order of (window, doc_id): every document but a window's first learns that it recurs.
+
+    What is told is gathered over many windows, so that a document gets few rows.
+    """
     last_window, first_doc = None, None
+    docs, places, held = [], [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for p in _packed(np.concatenate(docs), np.concatenate(places)) if docs else ():
+            yield p.select(["doc_id", "places"])
+
     for b in batches:
-        if not b.num_rows:
-            continue
         packed = b.filter(b.column(3).is_valid())
         if packed.num_rows:
             yield packed.select(["doc_id", "places"])
@@ -117,13 +126,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(window):
             continue
         head = np.concatenate([[window[0] != last_window], window[1:] != window[:-1]])
-        group = np.cumsum(head)
         starts = np.concatenate([[first_doc if first_doc is not None else 0], doc[head]])
-        least = starts[group]
+        least = starts[np.cumsum(head)]
         late = doc > least
-        for p in _packed(doc[late], pos[late]):
-            yield p.select(["doc_id", "places"])
+        docs.append(doc[late])
+        places.append(pos[late].astype(np.int32))
+        held += len(docs[-1])
         last_window, first_doc = window[-1], least[-1]
+        if held > GATHER:
+            yield from told()
+            docs, places, held = [], [], 0
+    yield from told()
 
 
 def passages(places: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -212,7 +225,7 @@ def _located(n: int, give_text: bool, carried: list):
 def _marks(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """(doc_id, places): where the windows begin that a document with a smaller doc_id has too."""
     docs = docs.filter("doc_id is not null")
-    met = docs.mapInArrow(_anchors(n), "anchor long, lo long, hi long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    met = docs.mapInArrow(_anchors(n), "anchor long, lo long, more long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("more")).alias("hi")).filter("lo < hi")
     shared = bloom.build(met, F.col("anchor"), bits)
     sent = docs.mapInArrow(_windows(n, shared), "window long, doc_id long, pos int, places binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
