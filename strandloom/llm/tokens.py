@@ -7,12 +7,15 @@ whole texts.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
+from strandloom.llm.words import LOWER
+
 
 class Memory:
     """The ids of chunks: numbers of chunks by their text, and the ids of all, one after another."""
@@ -69,9 +72,65 @@ def per_worker(key, make: Callable):
     return _kept[key]
 
 
-def words_apart(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(data, cuts, ptr) of texts cut at spaces and line feeds, which are dropped."""
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in ".,;:!?#$%&*"]] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+
+
+def words_apart(data: np.ndarray, offs: np.ndarray, stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, cuts, ptr) of texts cut at spaces and line feeds, which are dropped; with ``stops`` also between a small
+    letter of ASCII and a sign after it."""
     white = (data == 32) | (data == 10)
     before = np.concatenate([[0], np.cumsum(~white)])
-    ends = np.unique(np.concatenate([before[np.flatnonzero(white)], before[offs]]))
+    cuts = [before[np.flatnonzero(white)], before[offs]]
+    if stops and len(data):
+        cuts.append(before[np.flatnonzero(_SMALL[data[:-1]] & _STOPS[data[1:]]) + 1])
+    ends = np.unique(np.concatenate(cuts))
     return data[~white], ends, np.searchsorted(ends, before[offs])
+
+
+class WordEncoder:
+    """Ids of texts by a tokenizers file, as encoding whole texts without special tokens gives them.
+
+    For the word BPE with lower case (its normaliser and its pattern are known) texts are lower-cased and cut where the
+    pattern always cuts, and a chunk of small letters is one word that the library's model takes as it is. Any other
+    tokenizer gets whole texts.
+    """
+
+    #: Fixed value: the pattern of word BPE files that drop white space.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        spec = json.loads(self.tok.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and splits == [self.PATTERN, None] and all("<|" in x["content"] for x in spec["added_tokens"])
+        self.model = self.tok.model
+        self.memory = Memory(self._encode)
+
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        out: list = [None] * len(chunks)
+        rest = []
+        for i, c in enumerate(chunks):
+            if self.known and c.isascii() and c.isalpha() and c.islower():
+                out[i] = [t.id for t in self.model.tokenize(c)]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tok.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of texts in ids)."""
+        if not self.known:
+            cuts = np.unique(offs)
+            return self.memory.ids(data, cuts, np.searchsorted(cuts, offs))
+        # what looks like a special token is left as it is: those are found before anything is lower-cased
+        plain = b"<|" not in data.tobytes()
+        return self.memory.ids(*words_apart(LOWER[data] if plain else data, offs, plain))

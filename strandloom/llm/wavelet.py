@@ -129,13 +129,6 @@ class WaveletMatrix:
         return ids
 
 
-def _encoder(path: str) -> T.Memory:
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    return T.Memory(lambda words: [e.ids for e in tok.encode_batch(words, add_special_tokens=False)])
-
-
 def _shards(path: str, bits: int):
     """Rows of (shard, doc_id) in order to one record a shard."""
 
@@ -146,10 +139,10 @@ def _shards(path: str, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([doc.tobytes()]), pa.array([null]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([body])], ["shard", "n", "docs", "nulls", "sizes", "matrix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = T.per_worker(("wavelet", path), lambda: _encoder(path))
+        encoder = T.per_worker(("wavelet", path), lambda: T.WordEncoder(path))
         shard, docs, ids, sizes = None, [], [], []
         for b in W.pieces(batches, "text", 2 << 20):
-            flat, at = memory.ids(*T.words_apart(*W.text_arrays(b.column(2))))
+            flat, at = encoder.ids(*W.text_arrays(b.column(2)))
             n = len(at) - 1
             flat = np.insert(flat, at[1:], END)  # the end of each document
             at = at + np.arange(n + 1)

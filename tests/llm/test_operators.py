@@ -116,6 +116,23 @@ def test_wavelet_shards(spark, small, which):
     assert wavelet.read_shards(wavelet.write_shards(df.limit(0), path)).count() == 0
 
 
+def test_chunks_encode_as_whole_texts(spark, small):
+    """Every tokenizer file, and texts that could tell chunks from whole texts."""
+    from tokenizers import Tokenizer
+
+    from strandloom.llm import tokens
+
+    odd_texts = ["don't it's we'LL 're", "a.'s b,'t x.y!?z #a$b%c&d*e", "<|startoftext|> The <|ENDOFTEXT|>. a<|endoftext|>b", "É e\u0301 \u0130 ﬁ Ⅷ x\u0301. a\u0301,b", "x\x1cy\u2028z \u00a0.", "3.14,15 a1b2.c3", "", " \n ", "Ω ΑΣ. ΑΣ"]
+    texts = [t for _, t in documents(spark, small)[1]][:60] + odd_texts
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for part in (slice(0, None), slice(0, 60), *(slice(i, i + 1) for i in range(60, len(texts)))):
+            enc = tokens.WordEncoder(path)
+            ids, at = enc.ids(*W.text_arrays(pa.array(texts[part], pa.large_string())))
+            assert [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:], strict=True)] == want[part]
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(3).integers(0, 60, 5000).astype(np.uint32) * 700
     m = wavelet.WaveletMatrix.frombytes(wavelet.WaveletMatrix.of(ids).tobytes())
