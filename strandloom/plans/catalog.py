@@ -440,6 +440,14 @@ runs AS (SELECT {key}, d, island, min(i) AS i, max(k) AS k, count(*) AS n_pairs,
 hel AS (SELECT *, 4.09 + s + CASE WHEN op IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN ip IN {WEAK} THEN 0.45 ELSE 0 END AS energy FROM runs)"""
 
 
+@query(f"WITH {CELLS}, {STACKS}, {islands('cells', 'seq_id')} SELECT seq_id, n_pairs, count(*) AS n, round(min(energy), 4) AS best FROM hel GROUP BY 1, 2")
+def helix_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many maximal helices of each length, and the best: by joins and windows alone."""
+    b = folding.bases(I.sequences(spark, sf_dir))
+    found = folding.helices(folding.pair_join(b, b))
+    return found.groupBy(F.col("key_a").alias("seq_id"), "n_pairs").agg(F.count("*").alias("n"), F.round(F.min("energy"), 4).alias("best"))
+
+
 @query(f"WITH {CELLS} SELECT seq_id, pair, count(*) AS n, sum(k - i) AS span FROM cells GROUP BY 1, 2")
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complementary cells within each sequence, counted by pair."""
@@ -450,20 +458,18 @@ def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CELLS}, {STACKS}, {islands('cells', 'seq_id')} SELECT seq_id, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -1.0")
 def fold_helix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal gap-free helices under -1 kcal/mol within each sequence."""
-    b = folding.bases(I.sequences(spark, sf_dir))
-    found = folding.helices(folding.pair_join(b, b)).filter("energy < -1.0")
-    return found.select(F.col("key_a").alias("seq_id"), F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+    found = folding.helices_of(I.sequences(spark, sf_dir), ["seq_id"], below=-1.0)
+    return found.withColumn("energy", F.round("energy", 4))
 
 
 @query(f"""WITH {CELLS}, {STACKS}, two AS (SELECT a.conv_id, a.turn, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases a JOIN bases k ON a.conv_id = k.conv_id AND k.turn = a.turn + 1 WHERE a.turn % 2 = 0 AND a.b || k.b IN {PAIR_LIST}),
 {islands('two', 'conv_id, turn')} SELECT conv_id, turn, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -2.0""")
 def fold_intermolecular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Helices between each user turn and the answer to it: two sequences, every distance."""
-    b = folding.bases(I.sequences(spark, sf_dir).withColumn("seq_id", F.struct("conv_id", "turn")))
-    left = b.filter("seq_id.turn % 2 = 0").withColumn("seq_id", F.struct("seq_id.conv_id", "seq_id.turn"))
-    right = b.filter("seq_id.turn % 2 = 1").withColumn("seq_id", F.struct(F.col("seq_id.conv_id").alias("conv_id"), (F.col("seq_id.turn") - 1).alias("turn")))
-    found = folding.helices(folding.pair_join(left, right, lo=-(1 << 30), hi=1 << 30)).filter("energy < -2.0")
-    return found.select("key_a.conv_id", "key_a.turn", F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+    seqs = I.sequences(spark, sf_dir)
+    left = seqs.filter("turn % 2 = 0").select("conv_id", "turn", "seq")
+    right = seqs.filter("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("seq").alias("other"))
+    return folding.helices_of(left.join(right, ["conv_id", "turn"]), ["conv_id", "turn"], other="other", below=-2.0).withColumn("energy", F.round("energy", 4))
 
 
 ONE = "single(p, m, q, e) AS (VALUES " + values((*k.split("."), e) for k, e in E.LOOP_EXCEPTIONS.items() if k.count(".") == 2) + ")"
@@ -487,9 +493,11 @@ def loop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 {islands('two', 'conv_id, ta, tb')} SELECT conv_id, ta, tb, i, k, n_pairs, round(energy, 4) AS energy FROM hel WHERE energy < -3.0""")
 def fold_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Helices between every two turns of a conversation."""
-    b = folding.bases(I.sequences(spark, sf_dir).withColumn("seq_id", F.struct("conv_id", "turn")))
-    found = folding.helices(folding.pair_join(b, b, group="conv_id")).filter("energy < -3.0")
-    return found.select("key_a.conv_id", F.col("key_a.turn").alias("ta"), F.col("key_b.turn").alias("tb"), F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), "n_pairs", F.round("energy", 4).alias("energy"))
+    seqs = I.sequences(spark, sf_dir)
+    left = seqs.select("conv_id", F.col("turn").alias("ta"), "seq")
+    right = seqs.select("conv_id", F.col("turn").alias("tb"), F.col("seq").alias("other"))
+    pairs = left.join(right, "conv_id").filter("ta < tb")
+    return folding.helices_of(pairs, ["conv_id", "ta", "tb"], other="other", below=-3.0).withColumn("energy", F.round("energy", 4))
 
 
 def _benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,19 +511,19 @@ FOLD = folding.FoldOptions(depth=20, bulge_max=2, mismatch_max=2, minfold=-1.0)
 @query()
 def fold_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every duplex of the benchmark items' sequences, with bulges and mismatches."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), FOLD)
+    return folding.fold(_benchmark_sequences(spark, sf_dir), FOLD)
 
 
 @query()
 def fold_bulge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every duplex of the benchmark items' sequences with at most a bulge of up to three bases and no mismatch."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), folding.FoldOptions(depth=20, bulge_max=3, mismatch_max=0, minfold=-1.0))
+    return folding.fold(_benchmark_sequences(spark, sf_dir), folding.FoldOptions(depth=20, bulge_max=3, mismatch_max=0, minfold=-1.0))
 
 
 @query()
 def fold_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every duplex of the benchmark items' sequences with at most three mismatches in a row and no bulge."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir).repartition(16, "seq_id"), folding.FoldOptions(depth=20, bulge_max=0, mismatch_max=3, minfold=-1.0))
+    return folding.fold(_benchmark_sequences(spark, sf_dir), folding.FoldOptions(depth=20, bulge_max=0, mismatch_max=3, minfold=-1.0))
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:

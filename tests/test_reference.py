@@ -255,3 +255,15 @@ def test_pipeline(spark, tmp_path):
         assert arms == want
     f = pipeline.feature_rows(found, c)
     assert f.count() == found.count() and f.filter("dist < 3").count() == 0
+
+
+def test_helix_rows_equal_the_window_path(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "".join(rng.choice(list("ACGUN"), n))) for i, n in enumerate((0, 1, 5, 40, 90))]
+    seqs = spark.createDataFrame([*rows, (9, None)], "seq_id long, seq string")
+    got = sorted((r["seq_id"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in folding.helices_of(seqs, ["seq_id"], below=9.9).collect())
+    b = folding.bases(seqs.filter("seq is not null"))
+    want = sorted((r["key_a"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in folding.helices(folding.pair_join(b, b)).collect())
+    assert got == want and got
+    small = [np.concatenate(c) for c in zip(*folding._helix_rows(folding._CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], folding._CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], True, 3, 2000, 9.9, block=300), strict=True)]
+    assert len(small[0]) == sum(r[0] == 4 for r in want)
