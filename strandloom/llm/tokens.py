@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from strandloom.llm.words import LOWER
+from strandloom.llm.words import LOWER, kept
 
 
 class Memory:
@@ -60,16 +60,14 @@ class Memory:
         return self.flat[at], np.concatenate([[0], ends])[ptr]
 
 
-_kept: dict = {}
-
-
 def per_worker(key, make: Callable):
-    """What ``make`` gives, made once in each Python worker."""
-    if key not in _kept:
+    """What ``make`` gives, made once in each Python worker and kept until a task of another operator begins there."""
+    if key not in kept:
+        kept.clear()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        _kept[key] = make()
-    return _kept[key]
+        kept[key] = make()
+    return kept[key]
 
 
 _STOPS = np.zeros(256, bool)

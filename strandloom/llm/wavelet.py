@@ -141,7 +141,7 @@ def _shards(path: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = T.per_worker(("wavelet", path), lambda: T.WordEncoder(path))
         shard, docs, ids, sizes = None, [], [], []
-        for b in W.pieces(batches, "text", 2 << 20):
+        for b in W.pieces(batches, "text", 2 << 20, keep=True):
             flat, at = encoder.ids(*W.text_arrays(b.column(2)))
             n = len(at) - 1
             flat = np.insert(flat, at[1:], END)  # the end of each document

@@ -27,7 +27,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, n at least."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         both = []
         for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             out = np.full(size, base, np.uint64)
@@ -64,8 +64,17 @@ def text_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches between rows so that each has about ``most`` bytes of text; a longer text stands alone, whole."""
+#: What a worker keeps from one task of an operator to the next, as the memory of a tokenizer.
+kept: dict = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts batches between rows so that each has about ``most`` bytes of text; a longer text stands alone, whole.
+
+    Without ``keep`` the worker first drops what another operator's tasks have kept.
+    """
+    if not keep:
+        kept.clear()
     for b in batches:
         n = b.num_rows
         if not n:
