@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -30,6 +32,9 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(_PACKAGE.parent))
     sc.addPyFile(target)
     sc._strandloom_shipped = True
+    # long texts: batches to Python are bounded by bytes, not by rows alone, unless the session says otherwise
+    if not any(k == BATCH_BYTES for k, _ in sc.getConf().getAll()):
+        spark.conf.set(BATCH_BYTES, "4194304")
 
 
 def shared_dir(spark: SparkSession) -> str:
