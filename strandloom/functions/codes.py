@@ -83,6 +83,12 @@ def brackets(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
     return F.concat(arm(l), F.lit("&"), F.reverse(arm(r))), F.concat(side("a", "("), F.lit("&"), F.reverse(side("b", ")")))
 
 
+def alignment_brackets(l: Column, r: Column) -> Column:  # noqa: E741
+    """The structure over an alignment's columns, left arm and then right arm 5' to 3': brackets for pairs and mismatches, points for bulges."""
+    side = lambda own, other, mark: F.array_join(F.zip_with(F.split(own, ""), F.split(other, ""), lambda a, b: F.when(a == "-", "").when(b == "-", ".").otherwise(mark)), "")
+    return F.concat(side(l, r, "("), F.reverse(side(r, l, ")")))
+
+
 def bin_key(value: Column, size: int = 50) -> Column:
     return F.floor(value / size) * size + 1
 

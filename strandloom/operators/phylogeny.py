@@ -175,3 +175,11 @@ def duplex_scores(duplexes: DataFrame, key: str, single: Node, paired: Node) ->
 
 def duplex_covariance(duplexes: DataFrame, key: str) -> DataFrame:
     return paired_columns(duplexes, key).groupBy(key).agg(F.avg(column_covariance(F.col("first"), F.col("last"))).alias("covariance"))
+
+
+def unstructured_scores(duplexes: DataFrame, key: str, single: Node, gapdenom: float = 1.0) -> DataFrame:
+    """(key, score): the sum of log2 likelihoods of all columns of the alignment, each as a single site."""
+    total = F.length(F.element_at("alignment", 1))
+    cols = duplexes.select(key, F.explode(F.transform(F.sequence(F.lit(1), total), lambda i: F.array_join(F.transform("alignment", lambda s: F.substr(s, i, F.lit(1))), ""))).alias("pattern"))
+    one = site_likelihoods(cols, single, gapdenom=gapdenom)
+    return cols.join(one, "pattern").groupBy(key).agg(F.sum(F.log2("likelihood")).alias("score"))

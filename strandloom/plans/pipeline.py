@@ -17,7 +17,8 @@ from strandloom.sources import maf, newick, regions
 class PipelineConfig:
     """The command line's options. Trees: Newick text; ``conserved_scale`` multiplies the conserved and paired trees' branches.
 
-    ``maf_base``: 0 takes block positions as they are (as the published pipeline does), 1 adds one.
+    ``conserved_single``: unpaired columns are held against the conserved tree (for conserved regions). ``supported_only``: duplexes
+    whose paired model is less likely than two single ones go. ``maf_base``: 0 takes block positions as they are (as the published pipeline does), 1 adds one.
     """
 
     tree: str
@@ -36,6 +37,8 @@ class PipelineConfig:
     dedup_identity: float = 0.99
     name: str = "duplexes"
     maf_base: int = 0
+    conserved_single: bool = False
+    supported_only: bool = False
     heuristic: tuple = field(default=anomaly.HEURISTIC)
 
 
@@ -82,7 +85,10 @@ def duplexes(rows: DataFrame, c: PipelineConfig) -> DataFrame:
 def feature_rows(found: DataFrame, c: PipelineConfig) -> DataFrame:
     """duplex_id with dist, cons, deltag, npairs, entropy and covariance."""
     tree = newick.parse(c.tree)
-    scores = phylogeny.duplex_scores(found, "duplex_id", tree, tree.scaled(c.conserved_scale))
+    paired = tree.scaled(c.conserved_scale)
+    scores = phylogeny.duplex_scores(found, "duplex_id", paired if c.conserved_single else tree, paired)
+    if c.supported_only:
+        scores = scores.filter("score >= 0")
     cov = phylogeny.duplex_covariance(found, "duplex_id")
     arm = codes.arm(F.col("l"))
     n = F.col("n_pairs")

@@ -214,6 +214,11 @@ def test_buckets_and_codes(spark):
     r = spark.createDataFrame([("AC-GU", "UGAAA")], "l string, r string")
     row = r.select(*codes.brackets(F.col("l"), F.col("r")), codes.count_kind(F.col("l"), F.col("r"), "bulge").alias("n")).first()
     assert tuple(row) == ("ACGU&AAAGU", "(( (&)  ))", 1)
+    assert r.select(codes.alignment_brackets(F.col("l"), F.col("r"))).first()[0] == "((((" + ")).))"
+    tree = newick.parse("((a:0.1,b:0.2):0.05,c:0.3);")
+    d = spark.createDataFrame([(1, ["AC", "A-", "AG"])], "id int, alignment array<string>")
+    one = phylogeny.likelihoods(phylogeny.with_probabilities(tree, phylogeny.SINGLE_Q), np.array([[0, 0, 0], [1, -1, 2]]), phylogeny.SINGLE_PI)
+    assert phylogeny.unstructured_scores(d, "id", tree).first()["score"] == pytest.approx(np.log2(one).sum())
     e = spark.createDataFrame([("AACC",), ("A",), ("",)], "s string").select(F.round(phylogeny.dinucleotide_entropy(F.col("s")), 6)).collect()
     assert [x[0] for x in e] == [round(math.log2(3), 6), 0.0, 0.0]
     v = spark.createDataFrame([(0.0,), (123456.7,), (-0.00123456,)], "x double").select(codes.signif(F.col("x"))).collect()
@@ -254,6 +259,10 @@ def test_pipeline(spark, tmp_path):
         want = (left, right) if r["strand"] == "+" else tuple(x[::-1].translate(str.maketrans("ACGU", "UGCA")) for x in (right, left))
         assert arms == want
     f = pipeline.feature_rows(found, c)
+    import dataclasses
+
+    some = pipeline.feature_rows(found, dataclasses.replace(c, supported_only=True, conserved_single=True))
+    assert some.filter("cons < 0").count() == 0 and some.count() <= found.count()
     assert f.count() == found.count() and f.filter("dist < 3").count() == 0
 
 
