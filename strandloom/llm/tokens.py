@@ -79,13 +79,18 @@ _SMALL[97:123] = True
 def words_apart(data: np.ndarray, offs: np.ndarray, stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(data, cuts, ptr) of texts cut at spaces and line feeds, which are dropped; with ``stops`` also between a small
     letter of ASCII and a sign after it."""
-    white = (data == 32) | (data == 10)
-    before = np.concatenate([[0], np.cumsum(~white)])
-    cuts = [before[np.flatnonzero(white)], before[offs]]
-    if stops and len(data):
-        cuts.append(before[np.flatnonzero(_SMALL[data[:-1]] & _STOPS[data[1:]]) + 1])
-    ends = np.unique(np.concatenate(cuts))
-    return data[~white], ends, np.searchsorted(ends, before[offs])
+    if not len(data):
+        return data, np.zeros(1, np.int64), np.zeros(len(offs), np.int64)
+    black = (data != 32) & (data != 10)
+    start = np.empty(len(data), bool)
+    start[0] = True
+    np.logical_not(black[:-1], out=start[1:])
+    if stops:
+        start[1:] |= _SMALL[data[:-1]] & _STOPS[data[1:]]
+    start[offs[:-1][offs[:-1] < len(data)]] = True
+    start &= black
+    kept_data = data[black]
+    return kept_data, np.append(np.flatnonzero(start[black]), len(kept_data)), np.searchsorted(np.flatnonzero(start), offs)
 
 
 class WordEncoder:
