@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -30,8 +31,6 @@ from strandloom.llm import words as W
 from strandloom.session import cut, ship
 
 ANCHOR = 6
-#: Places that a task gathers before it tells the documents.
-GATHER = 2_000_000
 
 
 def _window_hashes(b: pa.RecordBatch, n: int):
@@ -108,19 +107,13 @@ def _packed(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (window, doc_id): every document but a window's first learns that it recurs.
 
-    What is told is gathered over many windows, so that a document gets few rows.
+    kind is 1 for a row with many places, or else a place plus 2.
     """
     last_window, first_doc = None, None
-    docs, places, held = [], [], 0
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for p in _packed(np.concatenate(docs), np.concatenate(places)) if docs else ():
-            yield p.select(["doc_id", "places"])
-
     for b in batches:
         packed = b.filter(b.column(3).is_valid())
         if packed.num_rows:
-            yield packed.select(["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([packed.column(1), pa.array(np.ones(packed.num_rows, np.int32)), packed.column(3)], ["doc_id", "kind", "places"])
         b = b.filter(b.column(3).is_null())
         window, doc, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(window):
@@ -129,14 +122,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[first_doc if first_doc is not None else 0], doc[head]])
         least = starts[np.cumsum(head)]
         late = doc > least
-        docs.append(doc[late])
-        places.append(pos[late].astype(np.int32))
-        held += len(docs[-1])
+        yield pa.RecordBatch.from_arrays([W.int64(doc[late]), pa.array(pos[late].astype(np.int32) + np.int32(2)), pa.nulls(int(late.sum()), pa.binary())], ["doc_id", "kind", "places"])
         last_window, first_doc = window[-1], least[-1]
-        if held > GATHER:
-            yield from told()
-            docs, places, held = [], [], 0
-    yield from told()
 
 
 def passages(places: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -194,28 +181,43 @@ def _located(n: int, give_text: bool, carried: list):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         held: list = []  # (doc, text, places, extra) of texts whose places have all come
-        open_: list = []  # of the document being read
-        size, places = 0, []
+        texts: list = []  # of the document being read
+        places: list = []
+        here, size = None, 0
+
+        def close() -> int:
+            own = np.concatenate(places) if places else np.zeros(0, np.int32)
+            held.extend((d, t, own, x) for d, t, x in texts)
+            more = sum(len(t or "") for _, t, _ in texts)
+            texts.clear()
+            places.clear()
+            return more
+
         for b in batches:
-            ids, kinds_, texts, blobs = (b.column(i) for i in range(4))
-            extras = zip(*(b.column(i).to_pylist() for i in range(4, b.num_columns)), strict=True) if carried else iter([()] * b.num_rows)
-            for doc, kind, text, blob, extra in zip(ids.to_pylist(), kinds_.to_pylist(), texts.to_pylist(), blobs, extras, strict=True):
-                if kind == 1:
-                    if open_ and open_[0][0] == doc:
-                        places.append(np.frombuffer(blob.as_buffer(), np.int32))
-                    continue
-                if open_ and (doc is None or open_[0][0] != doc):
-                    own = np.concatenate(places) if places else np.zeros(0, np.int32)
-                    held += [(d, t, own, x) for d, t, x in open_]
-                    open_, places = [], []
+            if not b.num_rows:
+                continue
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc, kind = pc.fill_null(b.column(0), 0).to_numpy(), b.column(1).to_numpy()
+            # rows without a document number are documents of their own
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | null[1:]])
+            cuts = np.append(np.flatnonzero(new), b.num_rows).tolist()
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                own = None if null[s] else int(doc[s])
+                if own is None or own != here:
+                    size += close()
+                    here = own
                     if size > 2 << 20:
                         yield out(list(group(held)))
                         held, size = [], 0
-                open_.append((doc, text, extra))
-                size += len(text or "")
-        if open_:
-            own = np.concatenate(places) if places else np.zeros(0, np.int32)
-            held += [(d, t, own, x) for d, t, x in open_]
+                single = s + int(np.searchsorted(kind[s:e], 2))
+                for i in range(s, single):
+                    if kind[i] == 0:
+                        texts.append((own, b.column(2)[i].as_py(), tuple(b.column(c)[i].as_py() for c in range(4, b.num_columns))))
+                    else:
+                        places.append(np.frombuffer(b.column(3)[i].as_buffer(), np.int32))
+                if e > single:
+                    places.append(kind[single:e] - 2)
+        close()
         if held:
             yield out(list(group(held)))
 
@@ -223,13 +225,13 @@ def _located(n: int, give_text: bool, carried: list):
 
 
 def _marks(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """(doc_id, places): where the windows begin that a document with a smaller doc_id has too."""
+    """(doc_id, kind, places): where the windows begin that a document with a smaller doc_id has too."""
     docs = docs.filter("doc_id is not null")
     met = docs.mapInArrow(_anchors(n), "anchor long, lo long, more long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("more")).alias("hi")).filter("lo < hi")
     shared = bloom.build(met, F.col("anchor"), bits)
     sent = docs.mapInArrow(_windows(n, shared), "window long, doc_id long, pos int, places binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "window").sortWithinPartitions("window", "doc_id").mapInArrow(_settle, "doc_id long, places binary")
+    return sent.repartition(parts, "window").sortWithinPartitions("window", "doc_id").mapInArrow(_settle, "doc_id long, kind int, places binary")
 
 
 def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bits: int = 1 << 26) -> DataFrame:
@@ -248,7 +250,7 @@ def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key:
     marks = _marks(docs.select("doc_id", "text"), n, bits)
     kinds = [docs.schema[c].dataType for c in carry]
     both = docs.select("doc_id", F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("places"), *carry).unionByName(
-        marks.select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "places", *(F.lit(None).cast(t).alias(c) for c, t in zip(carry, kinds, strict=True)))
+        marks.select("doc_id", "kind", F.lit(None).cast("string").alias("text"), "places", *(F.lit(None).cast(t).alias(c) for c, t in zip(carry, kinds, strict=True)))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = (", text string" + "".join(f", `{c}` {t.simpleString()}" for c, t in zip(carry, kinds, strict=True))) if give_text else ""
