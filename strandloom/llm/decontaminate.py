@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-Seeds are runs of ``SEED`` lower-cased words of a test item. How many documents have each seed is counted over all of
-them; an item's rare seeds are those that are not far commoner than its median one, so that a passage that very many
-documents leak keeps its seeds. A document with two rare seeds of an item near one diagonal is aligned with it there,
-word by word; the score is the alignment's, as a share of the item's own.
+Seeds are runs of ``SEED`` lower-cased words of a test item, and all of them count, however many documents have them: a
+leak makes its own seeds common. A document with two seeds of an item near one diagonal is aligned with it there, word
+by word; the score is the alignment's, as a share of the item's own. A place that has too few of the item's words to
+reach the least score is not aligned, and equal places are aligned once.
 
 Items come in blocks of a fixed number, each broadcast and held against all documents.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from strandloom.llm import words as W
 from strandloom.session import ship
 
-SEED, ALWAYS, TIMES = 3, 50, 2.0
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Places of seeds that are looked at together, and alignments that a task remembers.
+PLACES, KNOWN = 1 << 20, 1 << 14
 
 
 class Items:
@@ -49,15 +51,6 @@ class Items:
         self.item, self.pos, number = item[order], pos[order], number[order]
         self.first = np.searchsorted(number, np.arange(len(self.seeds) + 1))
         self.number = number
-        self.rare = np.ones(len(number), bool)
-
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """counts: of documents, for each seed."""
-        have = counts[self.number]
-        for i in range(len(self.ids)):
-            own = self.item == i
-            if own.any():
-                self.rare[own] = have[own] <= max(ALWAYS, TIMES * float(np.median(have[own])))
 
     def found(self, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, seed number) of each seed in texts with words h."""
@@ -109,22 +102,17 @@ def regions(doc_pos: np.ndarray, item_pos: np.ndarray, n: int, total: int, need:
     return out
 
 
-def _counted(block):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = block.value
-        n = np.zeros(len(items.seeds), np.int64)
-        for b in W.pieces(batches, "text"):
-            data, offs = W.text_arrays(b.column(0))
-            data = W.LOWER[data]
-            start, end, ptr = W.word_spans(data, offs)
-            at, seed = items.found(W.span_hashes(data, start, end), ptr)
-            own = W.owners(ptr)[at]
-            pairs = np.unique(own * len(items.seeds) + seed)
-            n += np.bincount(pairs % len(items.seeds), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([W.int64(at), W.int64(n[at])], ["seed", "n"])
-
-    return run
+def parts(many: np.ndarray, own: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of seeds found with about ``most`` places together, each with whole texts; own ascends."""
+    ends, at = np.cumsum(many), 0
+    while at < len(many):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        to = int(np.searchsorted(own, own[to], "left")) if to < len(own) else to
+        if to <= at:
+            to = int(np.searchsorted(own, own[at], "right"))
+        yield at, to
+        at = to
 
 
 def _aligned(block, least: float):
@@ -133,37 +121,52 @@ def _aligned(block, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = block.value
+        known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+
+        def scored(k: int, words: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
+            name = (k, text.tobytes())
+            if name not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                # no alignment matches more words than those that the text has
+                able = np.isin(words, text).sum() / len(words) >= least
+                known[name] = align(words, text) if able else (0.0, 0, 0)
+            return known[name]
+
         for b in W.pieces(batches, "text"):
             data, offs = W.text_arrays(b.column(1))
             data = W.LOWER[data]
             start, end, ptr = W.word_spans(data, offs)
             h = W.span_hashes(data, start, end)
-            at, seed = items.found(h, ptr)
-            # each occurrence of a seed, for each item that has it
-            many = items.first[seed + 1] - items.first[seed]
-            entry = np.repeat(items.first[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            at = np.repeat(at, many)
-            keep = items.rare[entry]
-            at, entry = at[keep], entry[keep]
-            own, item = W.owners(ptr)[at], items.item[entry]
-            order = np.lexsort((item, own))
-            at, entry, own, item = at[order], entry[order], own[order], item[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (item[1:] != item[:-1]), [True]])) if len(own) else [0]
+            hits, seeds = items.found(h, ptr)
+            order = np.argsort(hits, kind="stable")
+            hits, seeds = hits[order], seeds[order]
+            owner = W.owners(ptr)
             rows = []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                i, k = int(own[s]), int(item[s])
-                words = items.h[items.ptr[k] : items.ptr[k + 1]]
-                need = 2 if len(words) > SEED else 1
-                if e - s < need:
-                    continue
-                text = h[ptr[i] : ptr[i + 1]]
-                best = None
-                for lo, hi, n in regions(at[s:e] - ptr[i], items.pos[entry[s:e]], len(words), len(text), need):
-                    score, x, y = align(words, text[lo:hi])
-                    if best is None or score > best[0]:
-                        best = (score, n, lo + x, lo + y)
-                if best and best[0] >= least:
-                    rows.append((b.column(0)[i].as_py(), items.ids[k], *best))
+            for x0, x1 in parts(items.first[seeds + 1] - items.first[seeds], owner[hits], PLACES):
+                at, seed = hits[x0:x1], seeds[x0:x1]
+                # each occurrence of a seed, for each item that has it
+                many = items.first[seed + 1] - items.first[seed]
+                entry = np.repeat(items.first[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                at = np.repeat(at, many)
+                own, item = owner[at], items.item[entry]
+                order = np.lexsort((item, own))
+                at, entry, own, item = at[order], entry[order], own[order], item[order]
+                cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (item[1:] != item[:-1]), [True]]))
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    i, k = int(own[s]), int(item[s])
+                    words = items.h[items.ptr[k] : items.ptr[k + 1]]
+                    need = 2 if len(words) > SEED else 1
+                    if e - s < need:
+                        continue
+                    text = h[ptr[i] : ptr[i + 1]]
+                    best = None
+                    for lo, hi, n in regions(at[s:e] - ptr[i], items.pos[entry[s:e]], len(words), len(text), need):
+                        score, x, y = scored(k, words, text[lo:hi])
+                        if best is None or score > best[0]:
+                            best = (score, n, lo + x, lo + y)
+                    if best and best[0] >= least:
+                        rows.append((b.column(0)[i].as_py(), items.ids[k], *best))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -187,11 +190,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, bloc
         items = Items(part)
         if not len(items.seeds):
             return None
-        shared = spark.sparkContext.broadcast(items)
-        counts = np.zeros(len(items.seeds), np.int64)
-        for r in rows.select("text").mapInArrow(_counted(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            counts[r["seed"]] = r["n"]
-        items.keep_rare(counts)
         return rows.mapInArrow(_aligned(spark.sparkContext.broadcast(items), least), schema)
 
     for r in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).toLocalIterator():

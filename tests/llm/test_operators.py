@@ -178,6 +178,25 @@ def test_contaminated(spark, small):
     assert whole <= found and len(found) <= len(whole) + 3
 
 
+def test_common_leaks_are_found(spark):
+    """A leak's seeds are common where many documents have it; fewer than half of the item's seeds are in the leak."""
+    item = [f"q{i}" for i in range(40)]
+    edited = " ".join(x if i % 4 != 3 else "zzz" for i, x in enumerate(item))
+    part = " ".join(item[:18])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for leak, score in ((edited, 0.6375), (part, 0.45)):
+        rows = [(i, f"lead {i} in {leak} out {i}") for i in range(200)]
+        got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert sorted((r["doc_id"], r["score"]) for r in got) == [(i, score) for i in range(200)]
+
+
+def test_seeds_in_parts_hold_whole_texts():
+    own = np.repeat(np.arange(5), [3, 1, 4, 2, 1])
+    got = list(decontaminate.parts(np.full(11, 2), own, 6))
+    assert [x for p in got for x in range(*p)] == list(range(11))
+    assert all(e == 11 or own[e] != own[e - 1] for _, e in got) and max(e - s for s, e in got) == 4
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(5)
     for _ in range(40):
