@@ -1,10 +1,11 @@
 """Near-duplicates by MinHash: a multi-index Hamming join of b-bit signatures, confirmed on full shingle sets.
 
 A document's signature has ``SLOTS`` minima of its shingle hashes, 16 bits of each. Two sets with likeness 0.85
-differ in 15 % of the slots; a pair is a candidate if its signatures differ in at most ``FAR`` of them. Candidates are
-found by pigeonhole: the first 30 slots are cut into six chunks of five, so that signatures that differ there in up to
-eleven slots have a chunk with at most one error; every chunk is indexed five times, each time without one slot, and
-equal keys meet. (A pair of likeness 0.85 meets nowhere with a probability of 2e-5.)
+differ in 15 % of the slots; a pair is a candidate if its signatures differ in at most ``far`` of them. Candidates are
+found by pigeonhole: the first slots are cut into chunks of five, and every chunk is indexed five times, each time
+without one slot, so that signatures with at most one error in a chunk have equal keys there and meet. ``far`` and the
+number of chunks follow from the asked likeness (``index_for``): 29 and six for 0.85, where a pair meets nowhere with a
+probability of 2e-5; a likeness for which the slots don't suffice is refused.
 
 Equal sets are one class, and only classes are compared. A key's members are first compared with its smallest one and
 united; then, for keys that still hold several components, all members of different components are compared by
@@ -15,6 +16,9 @@ their sets, and only links leave a block. No pair within a component is made, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,9 @@ from strandloom.llm import words as W
 from strandloom.llm.graph import components
 from strandloom.session import cut, ship
 
-SLOTS, CHUNKS, WIDE, FAR = 96, 6, 5, 29
+SLOTS, WIDE = 96, 5
+#: The most that a pair of exactly the asked likeness may have of a chance to exceed ``far``, and to meet in no key.
+LOSS_FAR, LOSS_MET = 5e-5, 2.5e-5
 #: Members of a key whose sets are compared at once.
 BLOCK = 1024
 _rng = np.random.default_rng(20240607)
@@ -34,6 +40,28 @@ _TIMES = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64) *
 _PLUS = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64)
 
 
+class Index(NamedTuple):
+    """Slots in which a candidate's signatures may differ, and the chunks that are indexed."""
+
+    far: int
+    chunks: int
+
+
+@cache
+def index_for(percent: int) -> Index:
+    """The index for a likeness of ``percent`` hundredths; ValueError if the slots can't hold it."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be over 0 and at most 100, not {percent}")
+    same = percent / 100
+    off = [comb(SLOTS, i) * (1 - same) ** i * same ** (SLOTS - i) for i in range(SLOTS + 1)]
+    far = next(f for f in range(SLOTS + 1) if sum(off[f + 1 :]) <= LOSS_FAR)
+    apart = 1 - same**WIDE - WIDE * (1 - same) * same ** (WIDE - 1)
+    for chunks in range(1, SLOTS // WIDE + 1):
+        if apart**chunks <= LOSS_MET:
+            return Index(far, chunks)
+    raise ValueError(f"{SLOTS} slots are too few to find pairs of likeness {same}")
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     """For each text its distinct shingles' hashes, sorted; a text with fewer than k words has one, of all its words."""
     data = W.LOWER[data]
@@ -68,10 +96,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """CHUNKS * WIDE keys for each signature: each chunk without each of its slots."""
-    out = np.empty((len(sig), CHUNKS * WIDE), np.uint64)
-    for c in range(CHUNKS):
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
+    """chunks * WIDE keys for each signature: each chunk without each of its slots."""
+    out = np.empty((len(sig), chunks * WIDE), np.uint64)
+    for c in range(chunks):
         own = sig[:, c * WIDE : (c + 1) * WIDE].astype(np.uint64)
         for d in range(WIDE):
             rest = [j for j in range(WIDE) if j != d]
@@ -82,8 +110,8 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(sig: np.ndarray, comp: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j, of different components whose signatures differ in FAR slots at most; block by block."""
+def close_pairs(sig: np.ndarray, comp: np.ndarray, far: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of different components whose signatures differ in far slots at most; block by block."""
     left, right = [], []
     for i in range(0, len(sig), block):
         for j in range(i, len(sig), block):
@@ -91,7 +119,7 @@ def close_pairs(sig: np.ndarray, comp: np.ndarray, block: int = 256) -> tuple[np
             other = comp[i : i + block, None] != comp[None, j : j + block]
             if not other.any():
                 continue
-            near = other & ((a[:, None, :] != b[None, :, :]).sum(-1, dtype=np.uint8) <= FAR)
+            near = other & ((a[:, None, :] != b[None, :, :]).sum(-1, dtype=np.uint8) <= far)
             x, y = np.nonzero(near)
             keep = x + i < y + j
             left.append(x[keep] + i)
@@ -124,76 +152,87 @@ def _sketch(k: int):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = chunk_keys(_binary(b.column(1), np.uint16, SLOTS))
-        rep = np.repeat(b.column(0).to_numpy(), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([W.int64(keys.reshape(-1)), W.int64(rep)], ["key", "rep"])
+def _keyed(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = chunk_keys(_binary(b.column(1), np.uint16, SLOTS), chunks)
+            rep = np.repeat(b.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([W.int64(keys.reshape(-1)), W.int64(rep)], ["key", "rep"])
 
+    return run
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _near(far: int):
     """(a, b, sig_a, sig_b) to the pairs (a, b) whose signatures are near enough."""
-    for b in batches:
-        off = (_binary(b.column(2), np.uint16, SLOTS) != _binary(b.column(3), np.uint16, SLOTS)).sum(1)
-        yield b.select(["a", "b"]).filter(pa.array(off <= FAR))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off = (_binary(b.column(2), np.uint16, SLOTS) != _binary(b.column(3), np.uint16, SLOTS)).sum(1)
+            yield b.select(["a", "b"]).filter(pa.array(off <= far))
+
+    return run
 
-def _within_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _within_keys(index: Index):
     """(key, rep, comp, sig), all rows of a key together, to blocks of pairs of near signatures in different components.
 
     A row is a member of a block with its partners in it; the partners have rows without partners there.
     """
-    held: list[pa.RecordBatch] = []
-
-    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        if not t.num_rows:
-            return None
-        b = t.to_batches()[0]
-        key, rep, comp = (b.column(i).to_numpy() for i in range(3))
-        sig = _binary(b.column(3), np.uint16, SLOTS)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        group, member, partners = [], [], []
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            i, j = close_pairs(sig[s:e], comp[s:e])
-            if not len(i):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            if not t.num_rows:
+                return None
+            b = t.to_batches()[0]
+            key, rep, comp = (b.column(i).to_numpy() for i in range(3))
+            sig = _binary(b.column(3), np.uint16, SLOTS)
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            group, member, partners = [], [], []
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                i, j = close_pairs(sig[s:e], comp[s:e], index.far)
+                if not len(i):
+                    continue
+                # each pair belongs to the first key that its members share
+                keys = chunk_keys(sig[s:e], index.chunks)
+                first = (keys[i] == keys[j]).argmax(1)
+                own = keys[i, first].view(np.int64) == key[s]
+                i, j = i[own], j[own]
+                block = W.mix(W.mix(key[s : s + 1].view(np.uint64)) + (i // BLOCK * 1_000_003 + j // BLOCK).astype(np.uint64)).view(np.int64)
+                order = np.lexsort((i, block))
+                block, i, j = block[order], i[order], j[order]
+                cut_at = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]), [True]])) if len(i) else [0]
+                for x, y in zip(cut_at[:-1], cut_at[1:], strict=True):
+                    group.append(block[x])
+                    member.append(rep[s + i[x]])
+                    partners.append(rep[s + j[x:y]].astype(np.int64).tobytes())
+                for g, m in np.unique(np.stack([block, rep[s + j]]), axis=1).T:
+                    group.append(g)
+                    member.append(m)
+                    partners.append(b"")
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64()), pa.array(partners, pa.binary())], ["grp", "rep", "partners"])
+
+        last = None
+        for b in batches:
+            key = b.column(0).to_numpy()
+            if not len(key):
                 continue
-            # each pair belongs to the first key that its members share
-            keys = chunk_keys(sig[s:e])
-            first = (keys[i] == keys[j]).argmax(1)
-            own = keys[i, first].view(np.int64) == key[s]
-            i, j = i[own], j[own]
-            block = W.mix(W.mix(key[s : s + 1].view(np.uint64)) + (i // BLOCK * 1_000_003 + j // BLOCK).astype(np.uint64)).view(np.int64)
-            order = np.lexsort((i, block))
-            block, i, j = block[order], i[order], j[order]
-            cut_at = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]), [True]])) if len(i) else [0]
-            for x, y in zip(cut_at[:-1], cut_at[1:], strict=True):
-                group.append(block[x])
-                member.append(rep[s + i[x]])
-                partners.append(rep[s + j[x:y]].astype(np.int64).tobytes())
-            for g, m in np.unique(np.stack([block, rep[s + j]]), axis=1).T:
-                group.append(g)
-                member.append(m)
-                partners.append(b"")
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64()), pa.array(partners, pa.binary())], ["grp", "rep", "partners"])
-
-    last = None
-    for b in batches:
-        key = b.column(0).to_numpy()
-        if not len(key):
-            continue
-        cuts = np.flatnonzero(np.concatenate([[last is not None and key[0] != last], key[1:] != key[:-1]]))
-        if len(cuts):  # all keys before the last one in this batch are whole
-            whole = cuts[-1]
-            out = pairs([*held, b.slice(0, whole)])
-            if out is not None:
-                yield out
-            held = [b.slice(whole)]
-        else:
-            held.append(b)
-        last = key[-1]
-    if held and (out := pairs(held)) is not None:
-        yield out
+            cuts = np.flatnonzero(np.concatenate([[last is not None and key[0] != last], key[1:] != key[:-1]]))
+            if len(cuts):  # all keys before the last one in this batch are whole
+                whole = cuts[-1]
+                out = pairs([*held, b.slice(0, whole)])
+                if out is not None:
+                    yield out
+                held = [b.slice(whole)]
+            else:
+                held.append(b)
+            last = key[-1]
+        if held and (out := pairs(held)) is not None:
+            yield out
+
+    return run
 
 
 def _sets_of(k: int, wanted):
@@ -276,18 +315,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     Returns doc_id, n_shingles, component_id, kept for each row. Words are runs without ASCII white space, A-Z
     lower-cased. Null, empty and wordless texts have no shingle and are linked with nothing. A row without a doc_id is
     never kept, and its component is its own null or that of an equal text. Rows with the same doc_id are judged each by
-    its own text; equal ones are all kept or none. Empty table: no rows. Other columns are ignored.
+    its own text; equal ones are all kept or none. Empty table: no rows. Other columns are ignored. A ``percent`` for
+    which the signatures are too short is refused (ValueError).
     """
+    index = index_for(percent)
     ship(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = cut(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, class long, sig binary"))
     classes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("class", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig")))
     sig = classes.select("rep", "sig")
-    keys = sig.mapInArrow(_keyed, "key long, rep long")
+    keys = sig.mapInArrow(_keyed(index.chunks), "key long, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).filter("n > 1")
     met = cut(keys.join(shared.select("key", "center"), "key"))
     star = met.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = cut(_with_signatures(star, sig).mapInArrow(_near, "a long, b long"))
+    tried = cut(_with_signatures(star, sig).mapInArrow(_near(index.far), "a long, b long"))
     links = cut(_checked(docs, tried, k, percent))
     label = components(links)
     # keys whose members are not all united yet
@@ -295,7 +336,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     open_keys = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = where.join(open_keys, "key", "left_semi").join(sig, "rep").select("key", "rep", "comp", "sig")
-    blocks = cut(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_within_keys, "grp long, rep long, partners binary"))
+    blocks = cut(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_within_keys(index), "grp long, rep long, partners binary"))
     bodies = _sets_for(docs, blocks.select(F.col("rep").alias("doc_id")).distinct(), k).withColumnRenamed("doc_id", "rep")
     more = blocks.join(bodies, "rep").select("grp", "rep", "partners", "body").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_confirm_blocks(percent), "a long, b long")
     links = links.unionByName(more).distinct()

@@ -41,6 +41,27 @@ def test_near_duplicates(spark, small, which):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_lower_likeness(spark):
+    """Pairs with a likeness from 0.80 to 0.85, whose signatures often differ in more than 29 slots."""
+    rows = []
+    for i in range(600):
+        w = [f"d{i}w{j}" for j in range(200)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:178], *(f"e{i}w{j}" for j in range(21))]))]
+    want = {(i, *v) for i, v in brute.near_duplicates(rows, percent=80).items()}
+    assert sum(kept for *_, kept in want) == 600 and all(kept for *_, kept in brute.near_duplicates(rows).values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(df, percent=80).collect()} == want
+
+
+def test_index_follows_from_likeness():
+    assert neardup.index_for(85) == (29, 6)
+    far, chunks = zip(*(neardup.index_for(p) for p in range(65, 101)), strict=True)
+    assert list(far) == sorted(far, reverse=True) and list(chunks) == sorted(chunks, reverse=True) and chunks[15] == 8
+    for p in (0, 50, 101):
+        with pytest.raises(ValueError):
+            neardup.index_for(p)
+
+
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_substring_dedup(spark, small, which):
     df, rows = documents(spark, small) if which == "small" else (odd(spark), [r for r in dict.fromkeys(ROWS) if r[0] is not None])
