@@ -8,9 +8,10 @@ number of chunks follow from the asked likeness (``index_for``): 29 and six for
 probability of 2e-5; a likeness for which the slots don't suffice is refused.
 
 Equal sets are one class, and only classes are compared. A key's members are first compared with its smallest one and
-united; then, for keys that still hold several components, all members of different components are compared by
-signature inside the key, each pair in the first key that it shares; near ones are confirmed in blocks of members with
-their sets, and only links leave a block. No pair within a component is made, and nothing is left out.
+united; then the members of each key that still holds several components are dealt into blocks, and every two blocks
+(and each with itself) are a group, in which members of different components are compared by signature, each pair in
+the first key that it shares; near ones are confirmed there with their sets, and only links leave a group. No task
+holds more than a group, no pair within a component is made, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from strandloom.session import cut, ship
 SLOTS, WIDE = 96, 5
 #: The most that a pair of exactly the asked likeness may have of a chance to exceed ``far``, and to meet in no key.
 LOSS_FAR, LOSS_MET = 5e-5, 2.5e-5
-#: Members of a key whose sets are compared at once.
+#: Members in a block of a key, on average; at most two blocks are compared at once.
 BLOCK = 1024
+#: Near pairs that a task keeps before it gives them out.
+PAIRS = 1 << 17
 _rng = np.random.default_rng(20240607)
 _TIMES = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(1 << 62, size=SLOTS, dtype=np.int64).astype(np.uint64)
@@ -110,13 +113,14 @@ def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     return out
 
 
-def close_pairs(sig: np.ndarray, comp: np.ndarray, far: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j, of different components whose signatures differ in far slots at most; block by block."""
+def close_pairs(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, far: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of different components and sides whose signatures differ in far slots at most; within side 2 as well."""
     left, right = [], []
     for i in range(0, len(sig), block):
         for j in range(i, len(sig), block):
             a, b = sig[i : i + block], sig[j : j + block]
-            other = comp[i : i + block, None] != comp[None, j : j + block]
+            p, q = side[i : i + block, None], side[None, j : j + block]
+            other = (comp[i : i + block, None] != comp[None, j : j + block]) & ((p != q) | (p == 2))
             if not other.any():
                 continue
             near = other & ((a[:, None, :] != b[None, :, :]).sum(-1, dtype=np.uint8) <= far)
@@ -173,64 +177,87 @@ def _near(far: int):
     return run
 
 
-def _within_keys(index: Index):
-    """(key, rep, comp, sig), all rows of a key together, to blocks of pairs of near signatures in different components.
+def grouped(where: DataFrame, sig: DataFrame) -> DataFrame:
+    """(key, rep, comp) to (grp, key, rep, comp, side, sig): a key's members in each of the groups that their block is in.
 
-    A row is a member of a block with its partners in it; the partners have rows without partners there.
+    Blocks have BLOCK members or so, by the hash of the member. side: 0 or 1, the blocks of the group; 2, a block with itself.
+    Keys whose members all have one component are left out.
     """
+    many = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    many = many.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("m"))
+    rows = where.join(many, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "m"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    grp = F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select(grp.alias("grp"), "key", "rep", "comp", side.alias("side")).join(sig, "rep").select("grp", "key", "rep", "comp", "side", "sig")
+
+
+def _within_groups(index: Index):
+    """(grp, key, rep, comp, side, sig), all rows of a group together, to (grp, rep, partners): near ones in different components.
+
+    A row is a member of a group with its partners in it; the partners have rows without partners there.
+    """
+
+    def pairs(grp: int, key: int, rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray) -> tuple[list[tuple[int, int, bytes]], int]:
+        i, j = close_pairs(sig, comp, side, index.far)
+        if not len(i):
+            return [], 0
+        # each pair belongs to the first key that its members share
+        keys = chunk_keys(sig, index.chunks)
+        own = np.zeros(len(i), bool)
+        for s in range(0, len(i), PAIRS):
+            a, b = i[s : s + PAIRS], j[s : s + PAIRS]
+            own[s : s + PAIRS] = keys[a, (keys[a] == keys[b]).argmax(1)].view(np.int64) == key
+        i, j = i[own], j[own]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else [0]
+        out = [(grp, int(rep[i[x]]), rep[j[x:y]].astype(np.int64).tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return out + [(grp, int(m), b"") for m in np.unique(rep[j])], len(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows: list[tuple[int, int, bytes]] = []
+        n = 0
+
+        def given() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "rep", "partners"])
 
-        def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        def all_pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal n
             t = pa.Table.from_batches(parts).combine_chunks()
             if not t.num_rows:
-                return None
+                return
             b = t.to_batches()[0]
-            key, rep, comp = (b.column(i).to_numpy() for i in range(3))
-            sig = _binary(b.column(3), np.uint16, SLOTS)
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            group, member, partners = [], [], []
+            grp, key, rep, comp, side = (b.column(i).to_numpy() for i in range(5))
+            sig = _binary(b.column(5), np.uint16, SLOTS)
+            edge = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (key[1:] != key[:-1]), [True]]))
             for s, e in zip(edge[:-1], edge[1:], strict=True):
-                i, j = close_pairs(sig[s:e], comp[s:e], index.far)
-                if not len(i):
-                    continue
-                # each pair belongs to the first key that its members share
-                keys = chunk_keys(sig[s:e], index.chunks)
-                first = (keys[i] == keys[j]).argmax(1)
-                own = keys[i, first].view(np.int64) == key[s]
-                i, j = i[own], j[own]
-                block = W.mix(W.mix(key[s : s + 1].view(np.uint64)) + (i // BLOCK * 1_000_003 + j // BLOCK).astype(np.uint64)).view(np.int64)
-                order = np.lexsort((i, block))
-                block, i, j = block[order], i[order], j[order]
-                cut_at = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]), [True]])) if len(i) else [0]
-                for x, y in zip(cut_at[:-1], cut_at[1:], strict=True):
-                    group.append(block[x])
-                    member.append(rep[s + i[x]])
-                    partners.append(rep[s + j[x:y]].astype(np.int64).tobytes())
-                for g, m in np.unique(np.stack([block, rep[s + j]]), axis=1).T:
-                    group.append(g)
-                    member.append(m)
-                    partners.append(b"")
-            return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64()), pa.array(partners, pa.binary())], ["grp", "rep", "partners"])
+                new, more = pairs(int(grp[s]), int(key[s]), rep[s:e], comp[s:e], side[s:e], sig[s:e])
+                rows.extend(new)
+                n += more
+                if n >= PAIRS:
+                    yield given()
+                    n = 0
 
         last = None
         for b in batches:
-            key = b.column(0).to_numpy()
-            if not len(key):
+            grp = b.column(0).to_numpy()
+            if not len(grp):
                 continue
-            cuts = np.flatnonzero(np.concatenate([[last is not None and key[0] != last], key[1:] != key[:-1]]))
-            if len(cuts):  # all keys before the last one in this batch are whole
+            cuts = np.flatnonzero(np.concatenate([[last is not None and grp[0] != last], grp[1:] != grp[:-1]]))
+            if len(cuts):  # all groups before the last one in this batch are whole
                 whole = cuts[-1]
-                out = pairs([*held, b.slice(0, whole)])
-                if out is not None:
-                    yield out
+                yield from all_pairs([*held, b.slice(0, whole)])
                 held = [b.slice(whole)]
             else:
                 held.append(b)
-            last = key[-1]
-        if held and (out := pairs(held)) is not None:
-            yield out
+            last = grp[-1]
+        if held:
+            yield from all_pairs(held)
+        yield given()
 
     return run
 
@@ -265,26 +292,37 @@ def _confirm(percent: int):
 
 
 def _confirm_blocks(percent: int):
-    """(grp, rep, partners, body), all rows of a block together, to the links (a, b) among them."""
+    """(grp, rep, partners, body), all rows of a group together, to links (a, b) that unite all that are linked in it."""
 
-    def links(rows: list) -> Iterator[tuple[int, int]]:
+    def links(rows: list) -> pa.RecordBatch:
         sets = {rep: body for rep, _, body in rows}
+        root = {rep: rep for rep in sets}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
         for rep, partners, body in rows:
             for other in np.frombuffer(partners, np.int64).tolist():
-                if _linked(body, sets[other], percent):
-                    yield min(rep, other), max(rep, other)
+                x, y = find(rep), find(other)
+                if x != y and _linked(body, sets[other], percent):
+                    root[x] = y
+                    out.append((min(rep, other), max(rep, other)))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-        out: list[tuple[int, int]] = []
         for b in batches:
             for g, rep, partners, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if g != group:
-                    out += links(rows)
+                    found = links(rows)
+                    if found.num_rows:
+                        yield found
                     group, rows = g, []
                 rows.append((rep, partners, np.frombuffer(body, np.uint64)))
-        out += links(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        yield links(rows)
 
     return run
 
@@ -333,10 +371,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     label = components(links)
     # keys whose members are not all united yet
     where = met.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
-    open_keys = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = where.join(open_keys, "key", "left_semi").join(sig, "rep").select("key", "rep", "comp", "sig")
-    blocks = cut(rest.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_within_keys(index), "grp long, rep long, partners binary"))
+    blocks = cut(grouped(where, sig).repartition(n, "grp").sortWithinPartitions("grp", "key", "side").mapInArrow(_within_groups(index), "grp long, rep long, partners binary"))
     bodies = _sets_for(docs, blocks.select(F.col("rep").alias("doc_id")).distinct(), k).withColumnRenamed("doc_id", "rep")
     more = blocks.join(bodies, "rep").select("grp", "rep", "partners", "body").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_confirm_blocks(percent), "a long, b long")
     links = links.unionByName(more).distinct()

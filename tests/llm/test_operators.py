@@ -53,6 +53,24 @@ def test_near_duplicates_of_lower_likeness(spark):
     assert {tuple(r) for r in neardup.near_duplicates(df, percent=80).collect()} == want
 
 
+def test_hot_keys_are_cut_into_groups(spark, monkeypatch):
+    """A template in many documents that are no duplicates: no group has more than two blocks, and every pair of members meets."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    where = spark.createDataFrame([(5, i, i) for i in range(300)] + [(6, 1, 1), (6, 2, 2), (7, 3, 3), (7, 4, 3)], "key long, rep long, comp long")
+    sig = spark.createDataFrame([(i, bytes(2 * neardup.SLOTS)) for i in range(300)], "rep long, sig binary")
+    groups = {}
+    for r in neardup.grouped(where, sig).collect():
+        groups.setdefault((r["grp"], r["key"]), []).append((r["rep"], r["side"]))
+    assert max(map(len, groups.values())) <= 4 * 16
+    met = [(k, *sorted((a, b))) for (_, k), g in groups.items() for n, (a, p) in enumerate(g) for b, q in g[:n] if p != q or p == 2]
+    assert len(met) == len(set(met)) and set(met) == {(5, a, b) for b in range(300) for a in range(b)} | {(6, 1, 2)}
+    same = [f"t{j}" for j in range(70)]
+    rows = [(i, " ".join([*same, *(f"v{i // 2}w{j}" for j in range(24)), f"x{i % 2}"])) for i in range(300)]
+    rows += [(i, " ".join([*same, *(f"u{i}w{j}" for j in range(8))])) for i in range(300, 400)]
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, *v) for i, v in brute.near_duplicates(rows).items()}
+
+
 def test_index_follows_from_likeness():
     assert neardup.index_for(85) == (29, 6)
     far, chunks = zip(*(neardup.index_for(p) for p in range(65, 101)), strict=True)
