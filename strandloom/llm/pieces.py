@@ -182,7 +182,7 @@ class Codec:
 
 def _run(path: str, give_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec: Codec = T.per_worker(("pieces", path), lambda: Codec(path))
+        codec: Codec = T.per_worker(("pieces", path), lambda: Codec(path), threads=True)
         for b in W.pieces(batches, "text", 2 << 20, keep=True):
             data, offs = W.text_arrays(b.column(1))
             ids, at = codec.encode(data, offs)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ import pyarrow as pa
 from strandloom.llm.words import LOWER, kept
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a longer copy where it has no room for n items."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
 class Memory:
     """The ids of chunks: numbers of chunks by their text, and the ids of all, one after another."""
 
@@ -30,16 +36,17 @@ class Memory:
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def add(self, words: list[str]) -> None:
-        for w, ids in zip(words, self.encode(words), strict=True):
-            n = len(self.number)
-            if n == len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat])
-            self.number[w] = n
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        """Remembers different new chunks, numbered on from those that are there."""
+        found = self.encode(words)
+        n, size = len(self.number), np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        self.start, self.size = _room(self.start, n + len(words)), _room(self.size, n + len(words))
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.size[n : n + len(words)] = size
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
     def ids(self, data: np.ndarray, cuts: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of texts in ids). Chunk j has the bytes cuts[j]:cuts[j + 1]; text i has chunks ptr[i]:ptr[i + 1]."""
@@ -50,26 +57,41 @@ class Memory:
         names = words.dictionary.to_pylist()
         if len(self.number) + len(names) > self.most:
             self.reset()
-        missing = [w for w in names if w not in self.number]
-        for i in range(0, len(missing), 50_000):
-            self.add(missing[i : i + 50_000])
-        own = np.fromiter((self.number[w] for w in names), np.int64, len(names))[words.indices.to_numpy()]
+        own = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(own < 0)
+        own[new] = len(self.number) + np.arange(len(new))
+        for i in range(0, len(new), 50_000):
+            self.add([names[j] for j in new[i : i + 50_000].tolist()])
+        own = own[words.indices.to_numpy()]
         size = self.size[own]
         ends = np.cumsum(size)
         at = np.repeat(self.start[own] - (ends - size), size) + np.arange(ends[-1])
         return self.flat[at], np.concatenate([[0], ends])[ptr]
 
 
-def per_worker(key, make: Callable):
-    """What ``make`` gives, made once in each Python worker and kept until a task of another operator begins there."""
+def per_worker(key, make: Callable, threads: bool = False):
+    """What ``make`` gives, made once in each Python worker and kept until a task of another operator begins there.
+
+    threads: whether the library encodes batches on several threads, which shortens a task but costs more CPU time.
+    """
     if key not in kept:
         kept.clear()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         kept[key] = make()
     return kept[key]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level models: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".,;:!?#$%&*"]] = True
 _SMALL = np.zeros(256, bool)
@@ -97,8 +119,8 @@ class WordEncoder:
     """Ids of texts by a tokenizers file, as encoding whole texts without special tokens gives them.
 
     For the word BPE with lower case (its normaliser and its pattern are known) texts are lower-cased and cut where the
-    pattern always cuts, and a chunk of small letters is one word that the library's model takes as it is. Any other
-    tokenizer gets whole texts.
+    pattern always cuts, and a chunk of small Latin letters (under U+0250, where nothing is to be composed) is one word
+    that the library's model takes as it is, byte by byte. Any other tokenizer gets whole texts.
     """
 
     #: Fixed value: the pattern of word BPE files that drop white space.
@@ -121,8 +143,12 @@ class WordEncoder:
         out: list = [None] * len(chunks)
         rest = []
         for i, c in enumerate(chunks):
-            if self.known and c.isascii() and c.isalpha() and c.islower():
+            if not (self.known and c.isalpha() and c.islower()):
+                rest.append(i)
+            elif c.isascii():
                 out[i] = [t.id for t in self.model.tokenize(c)]
+            elif max(c) < "\u0250":
+                out[i] = [t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(_BYTE_LETTERS))]
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tok.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):

@@ -3,18 +3,19 @@
 A shard's ids, 16 bits each, are stored plane by plane from the highest bit; after each plane the ids with a 0 there come
 before those with a 1, both in order. With the counts of ones before every 512 bits that gives, without unpacking:
 ``access`` to any position, ``rank`` (how often an id occurs before a position) and ``select`` (where it occurs). The
-planes, the counts and the documents' lengths are one record of one file, written and read by Spark.
+planes, the counts and the documents' lengths are one record of a file, written and read by Spark.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import tokens as T
@@ -22,6 +23,9 @@ from strandloom.llm import words as W
 from strandloom.session import ship, written
 
 MAGIC, BLOCK, END = b"WVM1", 512, 1
+#: Ids that a plane is sorted by at once, so that they stay in a core's memory; bytes of text that are encoded together.
+CACHED, PIECE = 1 << 16, 2 << 20
+LEAST = -(1 << 63)
 
 
 class WaveletMatrix:
@@ -36,11 +40,17 @@ class WaveletMatrix:
         planes, zeros = np.zeros((bits, wide), np.uint8), np.zeros(bits, np.int64)
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits):
-            one = (ids >> (bits - 1 - level)) & 1 == 1
+            one = (ids >> ids.dtype.type(bits - 1 - level) & ids.dtype.type(1)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             planes[level, : len(packed)] = packed
-            ids = np.concatenate([ids[~one], ids[one]])
-            zeros[level] = n - int(one.sum())
+            zeros[level] = n - np.count_nonzero(one)
+            new, low, high = np.empty_like(ids), 0, int(zeros[level])
+            for s in range(0, n, CACHED):
+                own, bit = ids[s : s + CACHED], one[s : s + CACHED]
+                up, down = own[bit], own[~bit]
+                new[high : high + len(up)], new[low : low + len(down)] = up, down
+                low, high = low + len(down), high + len(up)
+            ids = new
         return cls(n, bits, planes, zeros, cls._directory(planes))
 
     @staticmethod
@@ -121,43 +131,60 @@ class WaveletMatrix:
         ids = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z = int(self.zeros[level])
-            up = np.empty_like(ids)
-            up[~one] = ids[:z]
-            up[one] = ids[z:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            up, low, high = np.empty_like(ids), 0, int(self.zeros[level])
+            mark = ids.dtype.type(1 << (self.bits - 1 - level))
+            for s in range(0, self.n, CACHED):
+                own, bit = up[s : s + CACHED], one[s : s + CACHED]
+                above, below = np.flatnonzero(bit), np.flatnonzero(~bit)
+                own[above], own[below] = ids[high : high + len(above)] | mark, ids[low : low + len(below)]
+                low, high = low + len(below), high + len(above)
             ids = up
         return ids
 
 
-def _shards(path: str, bits: int):
-    """Rows of (shard, doc_id) in order to one record a shard."""
+def _encoded(path: str, bits: int):
+    """(grp, doc_id, h, text) to (grp, doc_id, h, ids): the text's ids and the end of it, as little-endian integers."""
 
-    def record(shard: int, docs: list, ids: list, sizes: list) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = T.per_worker(("wavelet", path), lambda: T.WordEncoder(path))
+        for b in W.pieces(batches, "text", PIECE, keep=True):
+            flat, at = encoder.ids(*W.text_arrays(b.column(3)))
+            flat = np.insert(flat.astype(_kind(bits)), at[1:], END)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), W.blobs(flat, at + np.arange(len(at)))], ["grp", "doc_id", "h", "ids"])
+
+    return run
+
+
+def _kind(bits: int) -> np.dtype:
+    return np.dtype("<u2" if bits <= 16 else "<u4")
+
+
+def _shards(bits: int, most: int):
+    """Rows (grp, doc_id, ids) in order to records: a group's next one begins where the last has ``most`` ids or more."""
+
+    def record(grp: int, part: int, before: int, docs: list, ids: list, sizes: list) -> pa.RecordBatch:
         body = WaveletMatrix.of(np.concatenate(ids), bits).tobytes()
         doc = np.array([-1 if d is None else d for d in docs], np.int64)
         null = np.packbits([d is None for d in docs]).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([doc.tobytes()]), pa.array([null]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([body])], ["shard", "n", "docs", "nulls", "sizes", "matrix"])
+        names = ["grp", "part", "before", "n", "docs", "nulls", "sizes", "matrix"]
+        numbers = [pa.array([x], pa.int64()) for x in (grp, part, before, sum(sizes))]
+        return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x]) for x in (doc.tobytes(), null, np.array(sizes, np.int64).tobytes(), body))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = T.per_worker(("wavelet", path), lambda: T.WordEncoder(path))
-        shard, docs, ids, sizes = None, [], [], []
-        for b in W.pieces(batches, "text", 2 << 20, keep=True):
-            flat, at = encoder.ids(*W.text_arrays(b.column(2)))
-            n = len(at) - 1
-            flat = np.insert(flat, at[1:], END)  # the end of each document
-            at = at + np.arange(n + 1)
-            own = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if own[s] != shard:
-                    if docs:
-                        yield record(shard, docs, ids, sizes)
-                    shard, docs, ids, sizes = int(own[s]), [], [], []
-                docs += b.column(1).slice(s, e - s).to_pylist()
-                ids.append(flat[at[s] : at[e]].astype(np.uint16 if bits <= 16 else np.uint32))
-                sizes += np.diff(at[s : e + 1]).tolist()
+        grp, part, before, n, docs, ids, sizes = None, 0, 0, 0, [], [], []
+        for b in batches:
+            for own, doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if docs and (own != grp or n >= most):
+                    yield record(grp, part, before, docs, ids, sizes)
+                    part, before, n, docs, ids, sizes = part + 1, before + n, 0, [], [], []
+                if own != grp:
+                    grp, part, before = own, 0, 0
+                docs.append(doc)
+                ids.append(np.frombuffer(body.as_buffer(), _kind(bits)))
+                sizes.append(len(ids[-1]))
+                n += sizes[-1]
         if docs:
-            yield record(shard, docs, ids, sizes)
+            yield record(grp, part, before, docs, ids, sizes)
 
     return run
 
@@ -165,44 +192,59 @@ def _shards(path: str, bits: int):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            _, _, docs, nulls, sizes, body = (b.column(k)[i] for k in range(6))
+            grp, part, before = (b.column(k)[i].as_py() for k in range(3))
+            docs, nulls, sizes, body = (b.column(k)[i] for k in range(3, 7))
             doc, size = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64)
             null = np.unpackbits(np.frombuffer(nulls.as_buffer(), np.uint8), count=len(doc)).astype(bool)
             at = np.concatenate([[0], np.cumsum(size)])
             raw = WaveletMatrix.frombytes(body.as_buffer()).decode().astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), W.int64(at[:-1]), W.int64(size), W.int64(np.array(crc, np.int64)), pa.array(np.full(len(doc), b.column(0)[i].as_py(), np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+            where = [W.int64(np.full(len(doc), x)) for x in (grp, part)]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(doc, mask=null), W.int64(before + at[:-1]), W.int64(size), W.int64(np.array(crc, np.int64))], ["grp", "part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+FILE = "grp long, part long, before long, n long, docs binary, nulls binary, sizes binary, matrix binary"
 
 
-FILE = "shard int, n long, docs binary, nulls binary, sizes binary, matrix binary"
+def _groups(docs: DataFrame, groups: int) -> Column:
+    """The group of a row (doc_id, h): keys are cut at their quantiles, null ones first; a key that has several
+    quantiles to itself is cut further, by the hash of its texts."""
+    edges = docs.select(F.percentile_approx(F.coalesce("doc_id", F.lit(LEAST)), [i / groups for i in range(1, groups)], 100 * groups).alias("e")).first()["e"]
+    many = Counter(edges or [])
+    if not many:
+        return F.lit(0).cast("long")
+    key = F.coalesce("doc_id", F.lit(LEAST))
+    before = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(edges))), lambda e: e < key))
+    inside = F.try_element_at(F.create_map(*(F.lit(x) for e, n in many.items() for x in (e, n))), key)
+    return (before + F.coalesce(F.pmod(F.col("h"), inside + 1), F.lit(0))).cast("long")
 
 
-def write_shards(docs: DataFrame, path: str, bits: int = 16, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes every text, appends id 1, and writes a wavelet matrix for each shard of neighbouring keys (null keys first).
+def write_shards(docs: DataFrame, path: str, bits: int = 16, groups: int | None = None, key: str = "doc_id", text: str = "text", most: int = 1 << 23) -> DataFrame:
+    """Encodes every text, appends id 1, and writes wavelet matrices, each of the texts of neighbouring keys (null keys first).
 
-    Returns the files' records, read back. Null texts are empty; equal keys stand in the order of their texts' hashes; a text of any length stands
-    in one shard. Keys are cut at their quantiles. Empty table: no record. Other columns are ignored.
+    Returns the files' records, read back. Texts are encoded where they are read and only their ids are exchanged. Keys
+    are dealt over groups at their quantiles, and a group begins a new record where the last one has ``most`` ids, so a
+    record's size does not depend on the groups' number; a text stands in one record, whole. Null texts are empty; equal
+    keys stand in an order that follows from their texts' hashes alone. Empty table: no record. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 4 * parts
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edges = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
-    rows = docs.select(F.when(F.col("doc_id").isNull(), 0).otherwise(at).alias("shard"), "doc_id", "text", F.xxhash64("text").alias("h"))
-    made = rows.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "h").select("shard", "doc_id", "text").mapInArrow(_shards(path, bits), FILE)
-    return written(made, "wavelet")
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
+    rows = docs.select(_groups(docs.select("doc_id", "h"), groups or 4 * parts).alias("grp"), "doc_id", "h", "text")
+    made = rows.mapInArrow(_encoded(path, bits), "grp long, doc_id long, h long, ids binary")
+    return written(made.repartition(parts, "grp").sortWithinPartitions("grp", "doc_id", "h").select("grp", "doc_id", "ids").mapInArrow(_shards(bits, most), FILE), "wavelet")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard, from the files alone."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, grp and part (the record's), from the files alone."""
     spark = files.sparkSession
-    starts, total = [], 0
-    for r in sorted(files.select("shard", "n").collect()):
-        starts.append((r["shard"], total))
+    # a row a group reaches the driver, however many records a group has
+    at, total = [], 0
+    for r in sorted(files.groupBy("grp").agg(F.sum("n").alias("n")).collect()):
+        at.append((r["grp"], total))
         total += r["n"]
-    place = spark.createDataFrame(starts, "shard int, base long")
-    found = files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
-    return found.join(F.broadcast(place), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    base = F.broadcast(spark.createDataFrame(at, "grp long, base long"))
+    found = files.select("grp", "part", "before", "docs", "nulls", "sizes", "matrix").mapInArrow(_read, "grp long, part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.join(base, "grp").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "grp", "part")

@@ -155,13 +155,34 @@ def test_wavelet_shards(spark, small, which):
     assert wavelet.read_shards(wavelet.write_shards(df.limit(0), path)).count() == 0
 
 
+def test_hot_keys_and_record_sizes(spark):
+    """A key with most rows is dealt over groups by its texts; a record ends where it has enough ids; the order stays."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7 if i % 3 else i, f"text number {i} of some words") for i in range(600)] + [(None, f"none {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({c: F.lit("x") for c in CLASH})
+    files = wavelet.write_shards(df, path, groups=12, most=100)
+    assert files.count() > 30 and files.agg(F.max("n")).first()[0] < 120
+    groups = files.select("grp").distinct().count()
+    assert groups >= 8
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_shards(files).collect()), key=lambda r: r[0])
+    assert [r[0] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+    keys = [-1 if r[1] is None else r[1] for r in got]
+    assert keys == sorted(keys)
+    tok = Tokenizer.from_file(path)
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
+    want = sorted((-1 if d is None else d, len(i), zlib.crc32(struct.pack(f"<{len(i)}I", *i))) for (d, _), i in zip(rows, ids, strict=True))
+    assert sorted((k, r[2], r[3]) for k, r in zip(keys, got, strict=True)) == want
+
+
 def test_chunks_encode_as_whole_texts(spark, small):
     """Every tokenizer file, and texts that could tell chunks from whole texts."""
     from tokenizers import Tokenizer
 
     from strandloom.llm import tokens
 
-    odd_texts = ["don't it's we'LL 're", "a.'s b,'t x.y!?z #a$b%c&d*e", "<|startoftext|> The <|ENDOFTEXT|>. a<|endoftext|>b", "É e\u0301 \u0130 ﬁ Ⅷ x\u0301. a\u0301,b", "x\x1cy\u2028z \u00a0.", "3.14,15 a1b2.c3", "", " \n ", "Ω ΑΣ. ΑΣ"]
+    odd_texts = ["don't it's we'LL 're", "a.'s b,'t x.y!?z #a$b%c&d*e", "<|startoftext|> The <|ENDOFTEXT|>. a<|endoftext|>b", "É e\u0301 \u0130 ﬁ Ⅷ x\u0301. a\u0301,b", "x\x1cy\u2028z \u00a0.", "3.14,15 a1b2.c3", "", " \n ", "Ω ΑΣ. ΑΣ", "größe ŉa ªº ǆ ǅ ƻa çé,ü", "".join(map(chr, range(32, 0x260)))]
     texts = [t for _, t in documents(spark, small)[1]][:60] + odd_texts
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = public_tokenizers.path(name)
