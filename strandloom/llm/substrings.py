@@ -1,22 +1,26 @@
-"""Substring dedup: passages that recur across documents, found by hashes and located by Aho-Corasick automata.
+"""Substring dedup: passages that recur across documents are confirmed, compiled into sharded Aho-Corasick automata, and
+located by streaming all documents through them.
 
-A window is ``n`` consecutive words of a document. Three passes over the texts:
+A window is ``n`` consecutive words of a document. Four passes:
 
 1. Anchors. Of each window's inner runs of ``ANCHOR`` words the one with the smallest hash is its anchor, so equal
-   windows have equal anchors, and about a quarter of the runs is one. Anchors that documents share go into a Bloom
-   filter of fixed size.
-2. Windows whose anchor passes are sent by their hash, once for each batch of texts; the smallest document of each
-   window is its first, and every other one is told where its recurring windows begin. Copies within a batch are
-   settled there, so a window that stands in very many documents is sent once a batch.
-3. Texts and told places meet by document. Each group of texts compiles an automaton (pyahocorasick, over word
-   numbers) of the confirmed passages, its runs of overlapping recurring windows, and streams its texts through it: an
-   occurrence is removed in every document from the passage's own one on.
+   windows have equal anchors. Anchors that documents share go into a Bloom filter, whose size follows from their number
+   up to a bound; a fuller filter costs time and no result.
+2. Stretches. Neighbouring windows with one shared anchor are a stretch of words, which travels to the anchor's shard,
+   once for each batch of texts, with the places where the batch has it. An anchor of very many stretches is cut: each of
+   its windows is a stretch of its own and goes to the shard of its hash.
+3. Automata. A shard confirms, word by word, which windows stand in several documents, and which is the first of them;
+   runs of them with one first document are its phrases. They are compiled into an automaton (pyahocorasick, over word
+   numbers), all stretches of the shard are streamed through it, and each occurrence in a document beyond the phrase's
+   first one is told to that document.
+4. Texts and told occurrences meet by document, and the words are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,233 +34,343 @@ from strandloom.llm import bloom
 from strandloom.llm import words as W
 from strandloom.session import cut, ship
 
-ANCHOR = 6
+ANCHOR = 5
+#: Windows in a stretch; rows that an anchor may send before it is cut; bytes of a shard's words.
+LONG, HOT, SHARD = 64, 1024, 1 << 20
+#: Least and most bits of the filter of shared anchors (32 MB).
+FILTER = (1 << 20, 1 << 28)
+#: Where a stretch stands: the row's document and hash, and its first word's number there.
+PLACE = np.dtype([("doc", "<i8"), ("h", "<i4"), ("pos", "<i4")])
 
 
-def _window_hashes(b: pa.RecordBatch, n: int):
-    """(at, window hash, anchor hash, spans) of a batch; at: the number of a window's first word."""
-    data, offs = W.text_arrays(b.column(1))
+def _anchors_of(text: pa.Array, n: int):
+    """(at, anchor, words): the first word of each window, its anchor's hash, and (data, start, end, ptr, hashes) of the words."""
+    data, offs = W.text_arrays(text)
     start, end, ptr = W.word_spans(data, offs)
     h = W.span_hashes(data, start, end)
-    at, window = W.run_hashes(h, ptr, n)
-    if not len(at):
-        return at, window, window, (data, start, end, ptr, h)
     size = min(ANCHOR, n)
     run_at, run = W.run_hashes(h, ptr, size)
-    every = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
-    every[run_at] = run
-    low, wide, need = every, 1, n - size + 1
+    low = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
+    low[run_at] = run
+    wide, need = 1, n - size + 1
     while wide * 2 <= need:
         low = np.minimum(low[: len(low) - wide], low[wide:])
         wide *= 2
-    rest = need - wide
-    if rest:
+    if rest := need - wide:
         low = np.minimum(low[: len(low) - rest], low[rest:])
-    return at, window, low[at], (data, start, end, ptr, h)
+    last = np.repeat(ptr[1:], np.diff(ptr))
+    at = np.flatnonzero(np.arange(len(h)) + n <= last)
+    return at, low[at], (data, start, end, ptr, h)
+
+
+def _heads(at: np.ndarray, anchor: np.ndarray, single: np.ndarray | None = None) -> np.ndarray:
+    """Which windows begin a stretch: neighbours with one anchor are in one, LONG of them at most; ``single`` ones stand alone."""
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
+    if single is not None:
+        new |= single
+    heads = np.flatnonzero(new)
+    return np.flatnonzero((np.arange(len(at)) - heads[np.cumsum(new) - 1]) % LONG == 0)
 
 
 def _anchors(n: int):
+    """(anchor, n): how many different stretches of a batch an anchor has, or 2 at least if several documents have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "text", 2 << 20):
-            at, _, anchor, (_, _, _, ptr, _) = _window_hashes(b, n)
-            doc = b.column(0).to_numpy(zero_copy_only=False)[W.owners(ptr)[at]]
-            # one row for each anchor of the batch, with its least document and how far the greatest is from it
-            order = np.lexsort((doc, anchor))
-            a, d = anchor[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-            last = np.concatenate([first[1:], [len(a)]]) - 1 if len(a) else first
-            yield pa.RecordBatch.from_arrays([W.int64(a[first]), W.int64(d[first]), W.int64(d[last] - d[first])], ["anchor", "lo", "more"])
+            at, anchor, (_, _, _, ptr, h) = _anchors_of(b.column(2), n)
+            heads = _heads(at, anchor)
+            last = np.concatenate([heads[1:], [len(at)]]) - 1 if len(at) else heads
+            stretch = W.part_hashes(h, at[heads], at[last] + n)
+            anchor, doc = anchor[heads], b.column(0).to_numpy(zero_copy_only=False)[W.owners(ptr)[at[heads]]]
+            order = np.lexsort((stretch, anchor))
+            a, x, d = anchor[order], stretch[order], doc[order]
+            new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            rows = np.add.reduceat((new | np.concatenate([[True], x[1:] != x[:-1]])).astype(np.int64), first)
+            apart = np.maximum.reduceat(d, first) > np.minimum.reduceat(d, first)
+            yield pa.RecordBatch.from_arrays([W.int64(a[first]), W.int64(np.maximum(rows, 1 + apart))], ["anchor", "n"])
 
     return run
 
 
-def _windows(n: int, shared):
+def _stretches(n: int, shared, hot):
+    """Texts to (key, least, words, places): a row for each different stretch of a batch; least is its first document there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = np.frombuffer(shared.value, np.uint64)
+        filt, often = np.frombuffer(shared.value, np.uint64), np.frombuffer(hot.value, np.uint64)
         for b in W.pieces(batches, "text", 2 << 20):
-            at, window, anchor, (_, _, _, ptr, _) = _window_hashes(b, n)
+            at, anchor, (data, start, end, ptr, h) = _anchors_of(b.column(2), n)
             may = bloom.passes(filt, anchor)
-            at, window = at[may], window[may]
-            own = W.owners(ptr)[at]
-            doc, pos = b.column(0).to_numpy(zero_copy_only=False)[own], at - ptr[own]
-            order = np.lexsort((pos, doc, window))
-            window, doc, pos = window[order], doc[order], pos[order]
-            if not len(window):
+            at, anchor = at[may], anchor[may]
+            if not len(at):
                 continue
-            head = np.concatenate([[True], window[1:] != window[:-1]])
-            least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-            done = doc > least  # a smaller document of this batch has it
-            keep = ~done
-            # what is settled here travels as one row a document, beside the windows that are not
-            yield pa.RecordBatch.from_arrays([W.int64(window[keep]), W.int64(doc[keep]), pa.array(pos[keep].astype(np.int32)), pa.nulls(int(keep.sum()), pa.binary())], ["window", "doc_id", "pos", "places"])
-            yield from _packed(doc[done], pos[done])
+            single = bloom.passes(often, anchor)
+            key = anchor.copy()
+            run_hash = np.zeros(int(single.sum()), np.uint64)
+            for j in range(n):
+                run_hash = run_hash * np.uint64(W._ODD) + h[at[single] + j]
+            key[single] = W.mix(run_hash)
+            heads = _heads(at, anchor, single)
+            last = np.concatenate([heads[1:], [len(at)]]) - 1
+            body, offs = W.spaced(data, start, end)
+            lo, hi = offs[at[heads]], offs[at[last] + n] - 1  # without the last word's space
+            flat, ends = W.slices(body, lo, hi - lo)
+            same = W.blobs(flat, ends).dictionary_encode()
+            code = same.indices.to_numpy()
+            own = W.owners(ptr)[at[heads]]
+            place = np.zeros(len(heads), PLACE)
+            place["doc"], place["h"] = (b.column(c).to_numpy(zero_copy_only=False)[own] for c in (0, 1))
+            place["pos"] = at[heads] - ptr[own]
+            order = np.lexsort((place["doc"], code))
+            code, place = code[order], place[order]
+            first = np.searchsorted(code, np.arange(len(same.dictionary) + 1))
+            yield pa.RecordBatch.from_arrays([W.int64(key[heads][order][first[:-1]]), W.int64(place["doc"][first[:-1]]), same.dictionary, W.blobs(place, first)], ["key", "least", "words", "places"])
 
     return run
 
 
-def _packed(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its places as int32s; the window column deals them out evenly."""
-    if len(doc):
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order].astype(np.int32)
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-        ids = doc[cuts[:-1]]
-        yield pa.RecordBatch.from_arrays([W.int64(bloom.id_hash(ids)), W.int64(ids), pa.nulls(len(ids), pa.int32()), W.blobs(pos, cuts)], ["window", "doc_id", "pos", "places"])
+def confirmed(number: np.ndarray, ptr: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, window, first) of the windows that stand in more than one document.
 
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (window, doc_id): every document but a window's first learns that it recurs.
-
-    kind is 1 for a row with many places, or else a place plus 2.
+    number: the words of all stretches, equal words alike; stretch i has ptr[i]:ptr[i + 1] and stands in documents from
+    least[i] to most[i]. at: a window's first word; window: equal for equal windows; first: its first document.
     """
-    last_window, first_doc = None, None
-    for b in batches:
-        packed = b.filter(b.column(3).is_valid())
-        if packed.num_rows:
-            yield pa.RecordBatch.from_arrays([packed.column(1), pa.array(np.ones(packed.num_rows, np.int32)), packed.column(3)], ["doc_id", "kind", "places"])
-        b = b.filter(b.column(3).is_null())
-        window, doc, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(window):
-            continue
-        head = np.concatenate([[window[0] != last_window], window[1:] != window[:-1]])
-        starts = np.concatenate([[first_doc if first_doc is not None else 0], doc[head]])
-        least = starts[np.cumsum(head)]
-        late = doc > least
-        yield pa.RecordBatch.from_arrays([W.int64(doc[late]), pa.array(pos[late].astype(np.int32) + np.int32(2)), pa.nulls(int(late.sum()), pa.binary())], ["doc_id", "kind", "places"])
-        last_window, first_doc = window[-1], least[-1]
-
-
-def passages(places: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Runs (first word, end) of overlapping or touching windows that begin at ``places``."""
-    if not len(places):
-        return []
-    p = np.unique(places)
-    cuts = np.flatnonzero(np.diff(p) > n)
-    return list(zip(p[np.concatenate([[0], cuts + 1])].tolist(), (p[np.concatenate([cuts, [len(p) - 1]])] + n).tolist(), strict=True))
-
-
-def _located(n: int, give_text: bool, carried: list):
-    """Rows of one document together: its texts, then its places. Groups of texts go through one automaton each."""
-
-    def group(docs: list) -> Iterator[tuple]:
-        bodies = [d[1] or "" for d in docs]
-        arr = pa.array(bodies, pa.large_string())
-        data, offs = W.text_arrays(arr)
+    at, h = W.run_hashes(W.mix(number.astype(np.uint64)), ptr, n)
+    _, head, window = np.unique(h, return_index=True, return_inverse=True)
+    if not len(at):
+        return at, window, np.zeros(0, np.int64)
+    if not all((number[at + j] == number[at[head[window]] + j]).all() for j in range(n)):
+        # two windows of one hash: by the words themselves
+        body = np.stack([number[at + j] for j in range(n)], 1)
+        _, head, window = np.unique(body, axis=0, return_index=True, return_inverse=True)
+        window = window.reshape(-1)
+    own = W.owners(ptr)[at]
+    first = np.full(len(head), np.iinfo(np.int64).max)
+    last = np.full(len(head), np.iinfo(np.int64).min)
+    np.minimum.at(first, window, least[own])
+    np.maximum.at(last, window, most[own])
+    keep = (last > first)[window]
+    return at[keep], window[keep], first[window[keep]]
+
+
+def phrases(number: np.ndarray, at: np.ndarray, first: np.ndarray, n: int) -> dict[bytes, int]:
+    """The words of each run of neighbouring confirmed windows with one first document, and that document (the least)."""
+    if not len(at):
+        return {}
+    edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1]), [True]]))
+    found: dict[bytes, int] = {}
+    for s, e, f in zip(at[edge[:-1]].tolist(), (at[edge[1:] - 1] + n).tolist(), first[edge[:-1]].tolist(), strict=True):
+        found.setdefault(number[s:e].tobytes(), f)
+    return found
+
+
+def automaton(found: dict[bytes, int]) -> tuple[ahocorasick.Automaton, np.ndarray, np.ndarray]:
+    """(automaton, length of each phrase, its first document); the automaton gives a phrase's number."""
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    size = np.zeros(len(found), np.int64)
+    for k, body in enumerate(found):
+        words = np.frombuffer(body, np.int32)
+        auto.add_word(tuple(words.tolist()), k)
+        size[k] = len(words)
+    auto.make_automaton()
+    return auto, size, np.fromiter(found.values(), np.int64, len(found))
+
+
+def _merged(doc: np.ndarray, h: np.ndarray, pos: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, h, pos, size): occurrences of one text that overlap or touch as one."""
+    order = np.lexsort((pos, h, doc))
+    doc, h, pos, size = doc[order], h[order], pos[order].astype(np.int64), size[order].astype(np.int64)
+    if len(doc):
+        text = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+        # with the text's number on top, ends of earlier texts are before all of a later one
+        begin = (text << 32) + pos
+        till = np.maximum.accumulate(begin + size)
+        new = np.concatenate([[True], begin[1:] > till[:-1]])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(doc)]]) - 1
+        doc, h, pos, size = doc[first], h[first], pos[first], till[last] - begin[first]
+    return pa.RecordBatch.from_arrays([W.int64(doc), pa.array(h), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc_id", "h", "pos", "size"])
+
+
+def _located(n: int):
+    """Rows of a shard in order of (key, least) to (doc_id, h, pos, size): the occurrences that are to go."""
+
+    def shard(words: pa.Array, places: pa.Array) -> pa.RecordBatch:
+        data, offs = W.text_arrays(words)
         start, end, ptr = W.word_spans(data, offs)
-        _, number = np.unique(W.span_hashes(data, start, end), return_inverse=True)
-        number = (number + 1).tolist()
-        auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        least: dict = {}
-        for i, (doc, _, places, _) in enumerate(docs):
-            for s, e in passages(places[places <= ptr[i + 1] - ptr[i] - n], n):
-                phrase = tuple(number[ptr[i] + s : ptr[i] + e])
-                if phrase not in least or doc < least[phrase]:
-                    least[phrase] = doc
-        for phrase, doc in least.items():
-            auto.add_word(phrase, (len(phrase), doc))
-        if least:
-            auto.make_automaton()
-        raw = data.tobytes()
-        for i, (doc, text, _, extra) in enumerate(docs):
-            lo, hi = int(ptr[i]), int(ptr[i + 1])
-            gone = np.zeros(hi - lo, bool)
-            if least and doc is not None:
-                for last, (length, frm) in auto.iter(tuple(number[lo:hi])):
-                    if doc >= frm:
-                        gone[last - length + 1 : last + 1] = True
-            s, e = start[lo:hi][~gone], end[lo:hi][~gone]
-            base = [raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-            kept = b" ".join(base)
-            if give_text:
-                body = text if not gone.any() else kept.decode()
-                yield doc, hi - lo, int(gone.sum()), hashlib.sha256(kept).hexdigest(), body, *extra
-            else:
-                yield doc, hi - lo, int(gone.sum()), hashlib.sha256(kept).hexdigest()
+        body = data[data != 32]
+        cuts = np.concatenate([[0], np.cumsum(end - start)])
+        number = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(body)]).dictionary_encode().indices.to_numpy().astype(np.int32) + np.int32(1)
+        raw = places.cast(pa.large_binary())
+        edge = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+        place = np.frombuffer(raw.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(PLACE)
+        edge = (edge - edge[0]) // PLACE.itemsize
+        at, _, first = confirmed(number, ptr, np.minimum.reduceat(place["doc"], edge[:-1]), np.maximum.reduceat(place["doc"], edge[:-1]), n)
+        found = phrases(number, at, first, n)
+        ends = which = np.zeros(0, np.int64)
+        if found:
+            auto, size, doc = automaton(found)
+            # one sequence of all stretches, with a number that no word has between them
+            line = np.zeros(len(number) + len(ptr) - 1, np.int32)
+            line[np.arange(len(number)) + W.owners(ptr)] = number
+            hits = np.fromiter(chain.from_iterable(auto.iter(tuple(line.tolist()))), np.int64)
+            ends, which = hits[0::2], hits[1::2]
+        else:
+            size = doc = np.zeros(0, np.int64)
+        row = np.searchsorted(ptr[1:] + np.arange(len(ptr) - 1), ends, "left") if len(ends) else ends
+        begin = ends - row - ptr[row] - size[which] + 1
+        many = (edge[1:] - edge[:-1])[row]
+        each, _ = W.slices(place, edge[row], many)
+        late = each["doc"] > np.repeat(doc[which], many)
+        pos = each["pos"] + np.repeat(begin, many)
+        return _merged(each["doc"][late], each["h"][late], pos[late], np.repeat(size[which], many)[late])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text", *(c for c, _ in carried)] if give_text else [])]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string(), *(t for _, t in carried)] if give_text else [])]
+        W.kept.clear()
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
 
-        def out(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        def given(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            return shard(t.column(2).combine_chunks().cast(pa.large_binary()).view(pa.large_string()), t.column(3).combine_chunks())
 
-        held: list = []  # (doc, text, places, extra) of texts whose places have all come
-        texts: list = []  # of the document being read
-        places: list = []
+        for b in batches:
+            key = b.column(0).to_numpy()
+            heads = np.flatnonzero(np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])) if len(key) else []
+            more = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) if len(key) else []
+            at = 0
+            for k in heads:
+                before = int(more[k - 1]) if k else 0
+                if size + before - (int(more[at - 1]) if at else 0) > SHARD and (held or k > at):
+                    yield given([*held, b.slice(at, k - at)])
+                    held, size, at = [], 0, int(k)
+            if len(key):
+                held.append(b.slice(at))
+                size += int(more[-1]) - (int(more[at - 1]) if at else 0)
+                last = key[-1]
+                if size > 8 * SHARD:
+                    # a key of very many batches, all with one stretch: go on with its first row, which has the first document
+                    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    yield given([whole])
+                    keep = _firsts(whole, last)
+                    held, size = [keep], int(pc.sum(pc.binary_length(keep.column(2))).as_py())
+        if held:
+            yield given(held)
+
+    return run
+
+
+def _firsts(b: pa.RecordBatch, key: int) -> pa.RecordBatch:
+    """The first row of each different stretch of a key; b is in order of (key, least)."""
+    b = b.filter(pa.array(b.column(0).to_numpy() == key))
+    code = b.column(2).dictionary_encode().indices.to_numpy()
+    return b.take(pa.array(np.unique(code, return_index=True)[1]))
+
+
+def _removed(n: int, give_text: bool, carried: list):
+    """Rows in order of (doc_id, h, kind): a row's texts, then the occurrences told to it."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text", *(c for c, _ in carried)] if give_text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string(), *(t for _, t in carried)] if give_text else [])]
+
+    def group(docs: list) -> pa.RecordBatch:
+        data, offs = W.text_arrays(pa.array([d[1] or "" for d in docs], pa.large_string()))
+        start, end, ptr = W.word_spans(data, offs)
+        step = np.zeros(len(start) + 1, np.int64)
+        for i, (_, _, told, _) in enumerate(docs):
+            for pos, size in told:
+                np.add.at(step, ptr[i] + pos, 1)
+                np.add.at(step, ptr[i] + pos + size, -1)
+        keep = np.cumsum(step[:-1]) == 0
+        body, at = W.spaced(data, start, end)
+        kept = body[np.repeat(keep, np.diff(at))].tobytes()
+        till = np.concatenate([[0], np.cumsum(np.where(keep, np.diff(at), 0))])[ptr].tolist()
+        n_words, n_kept = np.diff(ptr), np.diff(np.concatenate([[0], np.cumsum(keep)])[ptr])
+        left = [kept[s : max(s, e - 1)] for s, e in zip(till[:-1], till[1:], strict=True)]
+        cols = [[d[0] for d in docs], n_words, n_words - n_kept, [hashlib.sha256(x).hexdigest() for x in left]]
+        if give_text:
+            cols += [[d[1] if a == k else x.decode() for d, x, a, k in zip(docs, left, n_words.tolist(), n_kept.tolist(), strict=True)], *zip(*(d[3] for d in docs), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # (doc, text, occurrences, carried) of texts whose occurrences have all come
+        texts: list = []  # of the row being read
+        told: list = []
         here, size = None, 0
 
         def close() -> int:
-            own = np.concatenate(places) if places else np.zeros(0, np.int32)
-            held.extend((d, t, own, x) for d, t, x in texts)
+            held.extend((d, t, tuple(told), x) for d, t, x in texts)
             more = sum(len(t or "") for _, t, _ in texts)
             texts.clear()
-            places.clear()
+            told.clear()
             return more
 
         for b in batches:
             if not b.num_rows:
                 continue
             null = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            doc, kind = pc.fill_null(b.column(0), 0).to_numpy(), b.column(1).to_numpy()
+            doc, h, kind = pc.fill_null(b.column(0), 0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            pos, wide = (pc.fill_null(b.column(c), 0).to_numpy() for c in (4, 5))
             # rows without a document number are documents of their own
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | null[1:]])
-            cuts = np.append(np.flatnonzero(new), b.num_rows).tolist()
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                own = None if null[s] else int(doc[s])
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | null[1:]])
+            edge = np.append(np.flatnonzero(new), b.num_rows).tolist()
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                own = None if null[s] else (int(doc[s]), int(h[s]))
                 if own is None or own != here:
                     size += close()
                     here = own
                     if size > 2 << 20:
-                        yield out(list(group(held)))
+                        yield group(held)
                         held, size = [], 0
-                single = s + int(np.searchsorted(kind[s:e], 2))
-                for i in range(s, single):
-                    if kind[i] == 0:
-                        texts.append((own, b.column(2)[i].as_py(), tuple(b.column(c)[i].as_py() for c in range(4, b.num_columns))))
-                    else:
-                        places.append(np.frombuffer(b.column(3)[i].as_buffer(), np.int32))
-                if e > single:
-                    places.append(kind[single:e] - 2)
+                mid = s + int(np.searchsorted(kind[s:e], 1))
+                for i in range(s, mid):
+                    texts.append((None if own is None else own[0], b.column(3)[i].as_py(), tuple(b.column(c)[i].as_py() for c in range(6, b.num_columns))))
+                if e > mid:
+                    told.append((pos[mid:e], wide[mid:e]))
         close()
         if held:
-            yield out(list(group(held)))
+            yield group(held)
 
     return run
 
 
-def _marks(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """(doc_id, kind, places): where the windows begin that a document with a smaller doc_id has too."""
-    docs = docs.filter("doc_id is not null")
-    met = docs.mapInArrow(_anchors(n), "anchor long, lo long, more long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("more")).alias("hi")).filter("lo < hi")
-    shared = bloom.build(met, F.col("anchor"), bits)
-    sent = docs.mapInArrow(_windows(n, shared), "window long, doc_id long, pos int, places binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "window").sortWithinPartitions("window", "doc_id").mapInArrow(_settle, "doc_id long, kind int, places binary")
+def occurrences(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, h, pos, size): where rows (doc_id, h, text) have words that a document with a smaller doc_id has too, as
+    the automata of all shards tell; n words or more each, and perhaps some twice."""
+    spark = docs.sparkSession
+    docs = docs.filter("doc_id is not null").select("doc_id", "h", "text")
+    met = cut(docs.mapInArrow(_anchors(n), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
+    bits = min(FILTER[1], max(FILTER[0], 1 << (16 * met.count()).bit_length()))
+    shared, hot = bloom.build(met, F.col("anchor"), bits), bloom.build(met.filter(F.col("n") > HOT), F.col("anchor"), FILTER[0])
+    sent = docs.mapInArrow(_stretches(n, shared, hot), "key long, least long, words binary, places binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "key").sortWithinPartitions("key", "least").mapInArrow(_located(n), "doc_id long, h int, pos int, size int")
 
 
-def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), bits: int = 1 << 26) -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 13, give_text: bool = False, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word covered by an n-word window that also begins in a document with a smaller key.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space); with ``give_text`` also
     text: the input text where nothing is removed, else the kept words joined by one space; and the columns ``carry``,
     whose names are none of those. Words are runs without ASCII white space. Null and empty texts have no word. A row
-    without a key removes nothing and loses nothing. Equal rows have equal results, and none is the other's first
-    document. Rows with one key and different texts are one document: what recurs in one goes at the same place in all.
-    Empty table: no rows. Other columns are ignored.
+    without a key removes nothing and loses nothing. Rows are judged each by its own text: rows with one key, equal or
+    not, are none the other's first document. Empty table: no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
     carry = tuple(carry) if give_text else ()
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    marks = _marks(docs.select("doc_id", "text"), n, bits)
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("h"), F.col(text).alias("text"), *carry)
+    told = occurrences(docs.select("doc_id", "h", "text"), n)
     kinds = [docs.schema[c].dataType for c in carry]
-    both = docs.select("doc_id", F.lit(0).alias("kind"), "text", F.lit(None).cast("binary").alias("places"), *carry).unionByName(
-        marks.select("doc_id", "kind", F.lit(None).cast("string").alias("text"), "places", *(F.lit(None).cast(t).alias(c) for c, t in zip(carry, kinds, strict=True)))
+    none = lambda t: F.lit(None).cast(t)
+    both = docs.select("doc_id", "h", F.lit(0).alias("kind"), "text", none("int").alias("pos"), none("int").alias("size"), *(F.col(c).alias(f"_{c}") for c in carry)).unionByName(
+        told.select("doc_id", "h", F.lit(1).alias("kind"), none("string").alias("text"), "pos", "size", *(none(t).alias(f"_{c}") for c, t in zip(carry, kinds, strict=True)))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = (", text string" + "".join(f", `{c}` {t.simpleString()}" for c, t in zip(carry, kinds, strict=True))) if give_text else ""
     carried = [(c, to_arrow_type(t)) for c, t in zip(carry, kinds, strict=True)]
     return (
-        both.repartition(parts, F.coalesce("doc_id", F.xxhash64("text")))
-        .sortWithinPartitions("doc_id", "kind")
-        .mapInArrow(_located(n, give_text, carried), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
+        both.repartition(parts, F.coalesce("doc_id", F.xxhash64("text")), "h")
+        .sortWithinPartitions("doc_id", "h", "kind")
+        .mapInArrow(_removed(n, give_text, carried), f"doc_id long, n_words long, n_removed long, kept_sha256 string{more}")
     )

@@ -119,6 +119,22 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(np.uint64))
 
 
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offs): every word followed by one space; word i has the bytes offs[i]:offs[i + 1], its space included."""
+    size = end - start
+    offs = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(offs[-1], 32, np.uint8)
+    word = ~SPACE[data]
+    out[np.repeat(offs[:-1] - start, size) + np.flatnonzero(word)] = data[word]
+    return out, offs
+
+
+def slices(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, offs): the parts of ``flat`` that begin at ``start``, one after another; they may overlap."""
+    offs = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])], offs
+
+
 def run_hashes(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(at, hash) of each run of k words inside one text; at: the number of its first word in the batch."""
     n = len(h)
@@ -133,6 +149,13 @@ def run_hashes(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at, mix(out[at])
 
 
+def part_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of words from start to end (excluded), of any lengths; equal runs have equal ones."""
+    up, down = powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def owners(ptr: np.ndarray) -> np.ndarray:
     """The text of each word."""
     return np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))

@@ -88,6 +88,52 @@ def test_substring_dedup(spark, small, which):
     assert substrings.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_are_judged_by_their_own_text(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(13)) for c in "xy")
+    df = spark.createDataFrame([(1, x), (2, x), (2, y), (2, y), (3, f"lead {y}"), (None, x)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(df).collect())
+    assert got == [(0, 13, 0), (1, 13, 0), (2, 13, 0), (2, 13, 0), (2, 13, 13), (3, 14, 13)]
+
+
+def test_common_anchors_are_cut_into_windows(spark, small, monkeypatch):
+    """Every anchor as a common one: the same result."""
+    monkeypatch.setattr(substrings, "HOT", 0)
+    df, rows = documents(spark, small)
+    want = {(i, n, g) for i, (n, g, _) in brute.substring_dedup(rows).items()}
+    assert {tuple(r)[:3] for r in substrings.substring_dedup(df.repartition(7)).collect()} == want
+
+
+def _stretch_rows(rows):
+    """Rows (key, least, words, [(doc, h, pos)]) as _located takes them."""
+    places = [np.array(p, substrings.PLACE).tobytes() for *_, p in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].encode() for r in rows], pa.binary()), pa.array(places, pa.binary())], ["key", "least", "words", "places"])
+
+
+def test_occurrences_come_from_the_automata(monkeypatch):
+    a, b = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(4)]
+    rows = [(1, 1, " ".join(a), [(1, 0, 5)]), (1, 2, " ".join(a[1:]), [(2, 0, 0), (8, 0, 3)]), (1, 3, " ".join(a[:5]), [(3, 0, 7)]), (2, 4, " ".join(b), [(4, 0, 0)]), (2, 5, " ".join(b), [(5, 0, 1), (5, 9, 2)])]
+    took = lambda batches: {tuple(x.values()) for o in substrings._located(4)(iter(batches)) for x in o.to_pylist()}
+    got = took([_stretch_rows(rows)])
+    cover = lambda d: {(x, p) for x, _, pos, size in got if x == d for p in range(pos, pos + size)}
+    assert cover(1) == cover(4) == set() and cover(2) == {(2, p) for p in range(5)} and cover(8) == {(8, p) for p in range(3, 8)}
+    assert cover(3) == {(3, p) for p in range(7, 12)} and {r for r in got if r[0] == 5} == {(5, 0, 1, 4), (5, 9, 2, 4)}
+    # rows come in other batches, and shards have a key each, or a part of one
+    assert took([_stretch_rows(rows[:2]), _stretch_rows(rows[2:4]), _stretch_rows(rows[4:])]) == got
+    monkeypatch.setattr(substrings, "SHARD", 2)
+    assert took([_stretch_rows([r]) for r in rows]) == got
+    # nothing is told without the automata
+    monkeypatch.setattr(substrings, "automaton", lambda found, make=substrings.automaton: (make({b"\x7f\0\0\0": 0})[0], np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)))
+    assert took([_stretch_rows(rows)]) == set()
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(monkeypatch):
+    number, ptr = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.int32), np.array([0, 3, 6, 9])
+    want = substrings.confirmed(number, ptr, np.array([5, 6, 7]), np.array([5, 6, 7]), 3)
+    monkeypatch.setattr(W, "run_hashes", lambda h, ptr, k: (np.array([0, 3, 6]), np.zeros(3, np.uint64)))
+    got = substrings.confirmed(number, ptr, np.array([5, 6, 7]), np.array([5, 6, 7]), 3)
+    assert want[0].tolist() == got[0].tolist() == [0, 6] and want[2].tolist() == got[2].tolist() == [5, 5]
+
+
 def test_fingerprints(spark, small):
     df, rows = documents(spark, small)
     got = {r["doc_id"]: r for r in parsing.fingerprints(df).collect()}
