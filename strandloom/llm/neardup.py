@@ -1,17 +1,19 @@
 """Near-duplicates by MinHash: a multi-index Hamming join of b-bit signatures, confirmed on full shingle sets.
 
 A document's signature has ``SLOTS`` minima of its shingle hashes, 16 bits of each. Two sets with likeness 0.85
-differ in 15 % of the slots; a pair is a candidate if its signatures differ in at most ``far`` of them. Candidates are
-found by pigeonhole: the first slots are cut into chunks of five, and every chunk is indexed five times, each time
-without one slot, so that signatures with at most one error in a chunk have equal keys there and meet. ``far`` and the
-number of chunks follow from the asked likeness (``index_for``): 29 and six for 0.85, where a pair meets nowhere with a
-probability of 2e-5; a likeness for which the slots don't suffice is refused.
-
-Equal sets are one class, and only classes are compared. A key's members are first compared with its smallest one and
-united; then the members of each key that still holds several components are dealt into blocks, and every two blocks
-(and each with itself) are a group, in which members of different components are compared by signature, each pair in
-the first key that it shares; near ones are confirmed there with their sets, and only links leave a group. No task
-holds more than a group, no pair within a component is made, and nothing is left out.
+differ in 15 % of the slots; a pair is a candidate if its signatures differ in at most ``far`` of them. All candidates
+are found by pigeonhole: the whole signature is cut into chunks, so many that ``far`` differences leave one chunk with at
+most one; every chunk is indexed once for each of its slots, without that slot, so that chunks with at most one error
+have an equal key and meet. ``far`` and the number of chunks follow from the asked likeness (``index_for``): 22 and
+twelve for 0.85. A pair of exactly that likeness has a chance of 5e-5 at most to differ in more slots, and be missed;
+no other is lost. A likeness for which the slots don't suffice is refused.
+
+Equal sets are one class (by 128 bits), and only classes are compared. A key's members are first compared with its
+smallest one and united; then the members of each key that still holds several components are dealt into blocks. Those
+of its largest component and the others have blocks of their own, and every two blocks that may have a new link (and
+each of the others with itself) are a group, in which members of different components are compared by signature, each
+pair in the first key that it shares; near ones are confirmed there with their sets, and only links leave a group. No
+task holds more than a group, no pair within a component is made, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from strandloom.llm import words as W
 from strandloom.llm.graph import components
 from strandloom.session import cut, ship
 
-SLOTS, WIDE = 96, 5
-#: The most that a pair of exactly the asked likeness may have of a chance to exceed ``far``, and to meet in no key.
-LOSS_FAR, LOSS_MET = 5e-5, 2.5e-5
+SLOTS = 64
+#: The most that a pair of exactly the asked likeness may have of a chance to differ in more than ``far`` slots.
+LOSS = 5e-5
+#: The fewest slots of a chunk: one is left out of each key.
+NARROW = 3
 #: Members in a block of a key, on average; at most two blocks are compared at once.
-BLOCK = 1024
+BLOCK = 512
 #: Near pairs that a task keeps before it gives them out.
 PAIRS = 1 << 17
 _rng = np.random.default_rng(20240607)
@@ -57,12 +61,12 @@ def index_for(percent: int) -> Index:
         raise ValueError(f"percent must be over 0 and at most 100, not {percent}")
     same = percent / 100
     off = [comb(SLOTS, i) * (1 - same) ** i * same ** (SLOTS - i) for i in range(SLOTS + 1)]
-    far = next(f for f in range(SLOTS + 1) if sum(off[f + 1 :]) <= LOSS_FAR)
-    apart = 1 - same**WIDE - WIDE * (1 - same) * same ** (WIDE - 1)
-    for chunks in range(1, SLOTS // WIDE + 1):
-        if apart**chunks <= LOSS_MET:
-            return Index(far, chunks)
-    raise ValueError(f"{SLOTS} slots are too few to find pairs of likeness {same}")
+    far = next(f for f in range(SLOTS + 1) if sum(off[f + 1 :]) <= LOSS)
+    # 2 * chunks - 1 differences leave a chunk with one at most
+    chunks = far // 2 + 1
+    if chunks * NARROW > SLOTS:
+        raise ValueError(f"{SLOTS} slots are too few to find pairs of likeness {same}")
+    return Index(far, chunks)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -100,16 +104,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
-    """chunks * WIDE keys for each signature: each chunk without each of its slots."""
-    out = np.empty((len(sig), chunks * WIDE), np.uint64)
-    for c in range(chunks):
-        own = sig[:, c * WIDE : (c + 1) * WIDE].astype(np.uint64)
-        for d in range(WIDE):
-            rest = [j for j in range(WIDE) if j != d]
-            packed = own[:, rest[0]]
-            for j in rest[1:]:
-                packed = packed << np.uint64(16) | own[:, j]
-            out[:, c * WIDE + d] = W.mix(W.mix(packed) + np.uint64(c * WIDE + d))
+    """SLOTS keys for each signature: each chunk without each of its slots."""
+    each = W.mix(sig.astype(np.uint64) + np.arange(SLOTS, dtype=np.uint64) * np.uint64(1 << 16))
+    out = np.empty((len(sig), SLOTS), np.uint64)
+    for part in np.array_split(np.arange(SLOTS), chunks):
+        own = each[:, part]
+        # a slot's part is taken from the chunk's sum, and the slot's number keeps keys of different kinds apart
+        out[:, part] = W.mix(own.sum(1, dtype=np.uint64)[:, None] - own + W.mix(part.astype(np.uint64) + np.uint64(SLOTS << 16))[None])
     return out
 
 
@@ -145,13 +146,16 @@ def _sketch(k: int):
             sets = shingle_sets(*W.text_arrays(b.column(1)), k)
             n = np.array([len(s) for s in sets])
             full = np.flatnonzero(n)
-            klass, sig = np.zeros(len(sets), np.uint64), np.zeros((len(sets), SLOTS), np.uint16)
+            klass, sig = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), SLOTS), np.uint16)
             if len(full):
                 own = [sets[i] for i in full]
                 sig[full] = signatures(own)
-                klass[full] = W.mix(np.array([s.sum(dtype=np.uint64) for s in own]) ^ W.mix(np.array([np.bitwise_xor.reduce(s) for s in own]) + n[full].astype(np.uint64)))
+                # two sums of differently mixed hashes
+                flat, at = np.concatenate(own), np.concatenate([[0], np.cumsum(n[full])[:-1]])
+                for j in range(2):
+                    klass[full, j] = W.mix(np.add.reduceat(W.mix(flat + np.uint64(j + 1)), at) + n[full].astype(np.uint64))
             body = W.blobs(sig.reshape(-1), np.arange(len(sets) + 1) * SLOTS)
-            yield pa.RecordBatch.from_arrays([b.column(0), W.int64(n), W.int64(klass), body], ["doc_id", "n_shingles", "class", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), W.int64(n), W.blobs(klass.reshape(-1), 2 * np.arange(len(sets) + 1)), body], ["doc_id", "h", "n_shingles", "class", "sig"])
 
     return run
 
@@ -180,15 +184,21 @@ def _near(far: int):
 def grouped(where: DataFrame, sig: DataFrame) -> DataFrame:
     """(key, rep, comp) to (grp, key, rep, comp, side, sig): a key's members in each of the groups that their block is in.
 
-    Blocks have BLOCK members or so, by the hash of the member. side: 0 or 1, the blocks of the group; 2, a block with itself.
-    Keys whose members all have one component are left out.
+    Blocks have BLOCK members or so, by the hash of the member. Members of the key's largest component have blocks of their
+    own, which are not held against each other. side: 0 or 1, the blocks of the group; 2, a block with itself. Keys whose
+    members all have one component are left out.
     """
-    many = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    many = many.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).alias("m"))
-    rows = where.join(many, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "m"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    by = where.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    many = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    many = many.select("key", F.col("x.comp").alias("big"), blocks(F.col("x.n")).alias("m_big"), blocks(F.col("n") - F.col("x.n")).alias("m_rest"))
+    rows = where.join(many, "key").withColumn("is_big", F.col("comp") == F.col("big"))
+    # blocks from 0: the largest component's, then the others'
+    h = F.xxhash64("rep")
+    rows = rows.withColumn("own", F.when(F.col("is_big"), F.pmod(h, "m_big")).otherwise(F.col("m_big") + F.pmod(h, "m_rest")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_big"), F.col("m_big")).otherwise(0), F.col("m_big") + F.col("m_rest") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    grp = F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    grp = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     return rows.select(grp.alias("grp"), "key", "rep", "comp", side.alias("side")).join(sig, "rep").select("grp", "key", "rep", "comp", "side", "sig")
 
 
@@ -347,10 +357,10 @@ def _checked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "doc_id", text: str = "text", give_hash: bool = False) -> DataFrame:
     """Links documents with 100 * intersection >= percent * union of their k-word shingle sets.
 
-    Returns doc_id, n_shingles, component_id, kept for each row. Words are runs without ASCII white space, A-Z
+    Returns doc_id, n_shingles, component_id, kept for each row, and with ``give_hash`` h, xxhash64 of its text. Words are runs without ASCII white space, A-Z
     lower-cased. Null, empty and wordless texts have no shingle and are linked with nothing. A row without a doc_id is
     never kept, and its component is its own null or that of an equal text. Rows with the same doc_id are judged each by
     its own text; equal ones are all kept or none. Empty table: no rows. Other columns are ignored. A ``percent`` for
@@ -358,8 +368,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     """
     index = index_for(percent)
     ship(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, class long, sig binary"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    rows = cut(docs.mapInArrow(_sketch(k), "doc_id long, h long, n_shingles long, class binary, sig binary"))
+    docs = docs.drop("h")
     classes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("class", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig")))
     sig = classes.select("rep", "sig")
     keys = sig.mapInArrow(_keyed(index.chunks), "key long, rep long")
@@ -379,7 +390,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, key: str = "
     label = components(links)
     found = rows.join(classes.select("class", "rep"), "class", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), *(["h"] if give_hash else [])).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _with_signatures(pairs: DataFrame, sig: DataFrame) -> DataFrame:

@@ -64,6 +64,13 @@ def test_hot_keys_are_cut_into_groups(spark, monkeypatch):
     assert max(map(len, groups.values())) <= 4 * 16
     met = [(k, *sorted((a, b))) for (_, k), g in groups.items() for n, (a, p) in enumerate(g) for b, q in g[:n] if p != q or p == 2]
     assert len(met) == len(set(met)) and set(met) == {(5, a, b) for b in range(300) for a in range(b)} | {(6, 1, 2)}
+    # a large component and a few others: its members meet the others, and not each other
+    where = spark.createDataFrame([(5, i, i if i < 20 else 99) for i in range(300)], "key long, rep long, comp long")
+    groups = {}
+    for r in neardup.grouped(where, sig).collect():
+        groups.setdefault(r["grp"], []).append((r["rep"], r["side"]))
+    met = [tuple(sorted((a, b))) for g in groups.values() for n, (a, p) in enumerate(g) for b, q in g[:n] if p != q or p == 2]
+    assert len(met) == len(set(met)) and set(met) == {(a, b) for b in range(300) for a in range(min(b, 20))}
     same = [f"t{j}" for j in range(70)]
     rows = [(i, " ".join([*same, *(f"v{i // 2}w{j}" for j in range(24)), f"x{i % 2}"])) for i in range(300)]
     rows += [(i, " ".join([*same, *(f"u{i}w{j}" for j in range(8))])) for i in range(300, 400)]
@@ -71,15 +78,46 @@ def test_hot_keys_are_cut_into_groups(spark, monkeypatch):
     assert got == {(i, *v) for i, v in brute.near_duplicates(rows).items()}
 
 
-def test_index_follows_from_likeness():
-    assert neardup.index_for(85) == (29, 6)
+def test_index_finds_all_pairs_under_the_threshold():
+    """Whatever slots differ, up to ``far`` of them, two signatures have a key in common."""
+    rng = np.random.default_rng(8)
+    assert neardup.index_for(85) == (22, 12)
+    for p in range(65, 101):
+        far, chunks = neardup.index_for(p)
+        a = rng.integers(0, 1 << 16, (300, neardup.SLOTS)).astype(np.uint16)
+        b = a.copy()
+        for i, row in enumerate(b):
+            # the worst case: two errors a chunk, and the rest of them in the last; or any slots
+            parts = [list(rng.choice(x, min(2, len(x)), replace=False)) for x in np.array_split(np.arange(neardup.SLOTS), chunks)]
+            rng.shuffle(parts)
+            at = sum(parts, [])[:far] if i % 2 else rng.choice(neardup.SLOTS, far, replace=False)
+            row[at] ^= np.uint16(1 + i)
+        assert ((a != b).sum(1) == far).all() and (neardup.chunk_keys(a, chunks) == neardup.chunk_keys(b, chunks)).any(1).all()
     far, chunks = zip(*(neardup.index_for(p) for p in range(65, 101)), strict=True)
-    assert list(far) == sorted(far, reverse=True) and list(chunks) == sorted(chunks, reverse=True) and chunks[15] == 8
+    assert list(far) == sorted(far, reverse=True) and list(chunks) == sorted(chunks, reverse=True)
     for p in (0, 50, 101):
         with pytest.raises(ValueError):
             neardup.index_for(p)
 
 
+def test_loss_at_the_threshold():
+    """The share of pairs of exactly 0.85 whose signatures differ in more than ``far`` slots, from 40 000 of them."""
+    rng = np.random.default_rng(12)
+    far, lost = neardup.index_for(85).far, 0
+    for _ in range(20):
+        same, a, b = (rng.integers(1 << 63, size=(2000, n), dtype=np.int64).astype(np.uint64) for n in (85, 8, 7))
+        x, y = (neardup.signatures(list(np.concatenate([same, z], 1))) for z in (a, b))
+        lost += int(((x != y).sum(1) > far).sum())
+    assert lost <= 10
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    rows = [(1, SEEN), (2, SEEN), (2, "another text of eight words or so here"), (3, "another text of eight words or so here")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(WORDS) - 4
+    assert got == sorted([(1, n, 1, True), (2, n, 1, False), (2, 4, 2, True), (3, 4, 2, False)])
+
+
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_substring_dedup(spark, small, which):
     df, rows = documents(spark, small) if which == "small" else (odd(spark), [r for r in dict.fromkeys(ROWS) if r[0] is not None])
