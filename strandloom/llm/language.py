@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import words as W
@@ -75,11 +75,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in W.pieces(batches, "text"):
         at, n = [], []
-        for a, c in _counts(*W.text_arrays(b.column(1))):
+        for a, c in _counts(*W.text_arrays(b.column(2))):
             at.append(a.astype(np.int16))
             n.append(np.minimum(c, np.iinfo(np.int32).max).astype(np.int32))
         ptr = np.concatenate([[0], np.cumsum([len(x) for x in at])])
-        yield pa.RecordBatch.from_arrays([b.column(0), W.blobs(np.concatenate(at), ptr), W.blobs(np.concatenate(n), ptr)], ["lang", "at", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), W.blobs(np.concatenate(at), ptr), W.blobs(np.concatenate(n), ptr)], ["lang", "place", "at", "n"])
 
 
 def _weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -119,13 +119,13 @@ class Model:
 def fit(rows: DataFrame, sample: int = 400, slack: float = 0.5) -> Model | None:
     """Learns from (text, lang) rows; those without text or lang are left out. None if nothing is left.
 
-    Frequencies count every row. ``sample``: about so many texts of each language, by the hash of the text, are
-    clustered (the bound on what reaches the driver). A language accepts cosines of ``slack`` times the first
-    percentile of its sample's own cosines.
+    Frequencies count every row. ``sample``: the bound on the texts of a language that are clustered, and that reach the
+    driver; they are the different ones of the smallest hashes, so the model does not depend on how rows are dealt, and
+    copies do not crowd it. A language accepts cosines of ``slack`` times the first percentile of its sample's own cosines.
     """
     ship(rows.sparkSession)
-    rows = rows.filter("text is not null and lang is not null").select("text", "lang")
-    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not have:
         return None
     found = rows.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
@@ -133,17 +133,19 @@ def fit(rows: DataFrame, sample: int = 400, slack: float = 0.5) -> Model | None:
     for r in found:
         seen[r["cell"]] = r["n"]
     idf = np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1
-    # a share of each language, by the hash of the text, with room for the scatter; then exactly the bound
+    # about so many different texts of each language, with room for the scatter; then exactly the bound
     share = F.lit(0.0)
     for lang, n in have.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.3 * sample / n + 20 / n)).otherwise(share)
-    part = rows.filter((F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)) < share)
+        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * sample / max(n, 1) + 30 / max(n, 1))).otherwise(share)
+    part = rows.filter((F.shiftrightunsigned("h", 11) / float(1 << 53)) < share).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    part = part.withColumn("place", place).filter(F.col("place") <= sample)
     got: dict[str, list] = {lang: [] for lang in have}
-    for r in part.select("lang", "text").mapInArrow(_vectors, "lang string, at binary, n binary").collect():
+    for r in sorted(part.select("lang", "place", "text").mapInArrow(_vectors, "lang string, place int, at binary, n binary").collect()):
         own = np.zeros(DIMS, np.float32)
         at = np.frombuffer(r["at"], np.int16)
         own[at] = _weigh(at, np.frombuffer(r["n"], np.int32), idf)
-        if len(got[r["lang"]]) < sample and len(at):
+        if len(at):
             got[r["lang"]].append(own)
     langs = sorted(x for x in got if got[x])
     if not langs:
