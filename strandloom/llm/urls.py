@@ -15,6 +15,7 @@ from strandloom.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END = "\x02", "\x03"
+COMMON = 2000
 #: (verdict, host, path) of each rule; the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -39,7 +40,7 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     """A row for each character of a url and its end: the gram of the ``order`` characters before it and itself."""
     padded = F.concat(F.lit(START * order), "body", F.lit(END))
     return urls.withColumn("padded", padded).select(
-        "page_id", "row", "held", "label", F.explode(F.transform(F.sequence(F.lit(1), F.length("body") + 1), lambda i: F.substring("padded", i, order + 1))).alias("gram")
+        "row", "held", "label", F.explode(F.transform(F.sequence(F.lit(1), F.length("body") + 1), lambda i: F.substring("padded", i, order + 1))).alias("gram")
     )
 
 
@@ -68,7 +69,7 @@ def char_models(grams: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("tail").alias("gram"), (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, salts: int = 8, fold: int = 5, bins: int = 200, reach: float = 5.0) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, fold: int = 5, bins: int = 200, reach: float = 5.0) -> DataFrame:
     """Judges every url; returns page_id, host, path, rule, verdict and score (the mean log ratio a character).
 
     Null url or none with ``://``: empty host and path, no rule, judged by the models (null counts as empty).
@@ -81,32 +82,32 @@ def url_verdicts(pages: DataFrame, rules=RULES, order: int = 4, salts: int = 8,
     body = F.coalesce(F.col("url"), F.lit(""))
     rule, label = rule_for(F.col("host"), F.col("path"), rules)
     base = pages.select("page_id", body.alias("body"), host.alias("host"), path.alias("path")).select(
-        "page_id", "body", "host", "path", rule.alias("rule"), label.alias("label"), (F.crc32(F.col("body").cast("binary")) % fold == 0).alias("held"), F.xxhash64("body").alias("row")
+        "page_id", "body", "host", "path", rule.alias("rule"), label.alias("label"), (F.crc32(F.col("body").cast("binary")) % fold == 0).alias("held")
     )
     base = cut(base)
-    # equal urls are scored once
-    urls = base.groupBy("row", "body").agg(F.min("label").alias("label"), F.first("held").alias("held"), F.count("*").alias("copies"))
-    urls = urls.withColumn("page_id", F.lit(0))
+    # equal urls are scored once, under a number of their own
+    urls = cut(base.groupBy("body").agg(F.min("label").alias("label"), F.first("held").alias("held")).withColumn("row", F.monotonically_increasing_id()))
     each = _grams(urls, order)
     learn = lambda c: F.sum(F.when((F.col("label") == c) & ~F.col("held"), 1).otherwise(0)).alias(c)
-    grams = cut(each.groupBy("gram").agg(learn("allow"), learn("block")))
-    model = char_models(grams, order)
-    # the commonest grams stand in every url: both sides are dealt over salts
-    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    score = (
-        each.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
-        .join(spread, ["gram", "salt"])
-        .groupBy("row")
-        .agg(F.avg("ratio").alias("score"))
-    )
-    scored = cut(urls.join(score, "row").select("row", "body", "label", "held", "copies", "score"))
+    grams = cut(each.groupBy("gram").agg(learn("allow"), learn("block"), F.count("*").alias("n")))
+    model = char_models(grams, order).join(grams.select("gram", "n"), "gram")
+    # a gram with more than 1 / COMMON of all places is one of fewer than COMMON, which are broadcast; the others are dealt
+    # over tasks evenly enough
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    is_common = F.col("n") > total / COMMON
+    common = model.filter(is_common).select("gram", F.col("ratio").alias("known"))
+    marked = each.select("row", "gram").join(F.broadcast(common), "gram", "left")
+    rest = marked.filter("known is null").select("row", "gram").join(model.filter(~is_common).select("gram", "ratio"), "gram").select("row", "ratio")
+    part = [x.groupBy("row").agg(F.sum(c).alias("s"), F.count("*").alias("n")) for x, c in ((marked.filter("known is not null"), "known"), (rest, "ratio"))]
+    score = part[0].unionByName(part[1]).groupBy("row").agg((F.sum("s") / F.sum("n")).alias("score"))
+    scored = cut(urls.join(score, "row").select("body", "label", "held", "score"))
     bin_ = F.least(F.greatest(F.floor((F.col("score") + reach) / (2 * reach) * bins), F.lit(0)), F.lit(bins - 1))
     seen = scored.filter("held and label is not null").groupBy("label", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()
     cut_at = threshold({(r["label"], r["bin"]): r["n"] for r in seen}, bins, reach)
     verdict = F.coalesce("label", F.when(F.col("score") >= cut_at, "allow").otherwise("block"))
     # a url that very many pages share is one row on one side: Spark's skew join splits the other
     return (
-        base.join(scored.select("row", "score"), "row")
+        base.join(scored.select("body", "score"), "body")
         .select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
     )
 
