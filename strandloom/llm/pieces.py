@@ -133,7 +133,7 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids; a chunk that sentencepiece encodes otherwise is remembered, and gets sentencepiece's."""
+        """The library's ids; a chunk that sentencepiece encodes otherwise is remembered."""
         own = [e.ids for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
         # sentencepiece puts a space before what it is given: a chunk begins with that space, or is given after a line feed
         after = self.peer.encode("\n")
@@ -143,7 +143,6 @@ class Codec:
                 ids = ids[len(after) :]
             if own[i] != ids:
                 self.differ.add(c)
-                own[i] = ids
         return own
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +205,8 @@ def encode(docs: DataFrame, path: str, give_ids: bool = False, key: str = "doc_i
     """Encodes and decodes every text.
 
     Returns doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), round_trip (decoding
-    gives the text back), parity (no chunk of it was encoded otherwise by sentencepiece, whose ids then hold) and with
-    ``give_ids`` ids. Null and empty texts have no ids. A text with U+2581 does not come back as it was: the model takes
+    gives the text back), parity (sentencepiece encodes every chunk of it alike; the ids are the rebuilt tokenizer's in any
+    case) and with ``give_ids`` ids. Null and empty texts have no ids. A text with U+2581 does not come back as it was: the model takes
     that character for a space. Repeated rows and null keys: each row by itself. Other columns are ignored.
     """
     ship(docs.sparkSession)
