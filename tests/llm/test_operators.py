@@ -305,6 +305,53 @@ def test_pieces(spark, small):
     assert [e.ids for e in whole] == peer.encode(texts[:1] + texts[3:])
 
 
+def _message(*fields):
+    """Protobuf wire format of (number, value): ints, floats, strings and messages."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_model_with_byte_fallback(spark, tmp_path, squeeze):
+    """A model made of scores by hand: the rebuilt tokenizer and sentencepiece agree, and differing ids are told, not replaced."""
+    import sentencepiece
+
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    pieces_ += [(w, -1.0 - 0.37 * i, 1) for i, w in enumerate(["▁the", "▁qu", "ick", "▁fox", "▁", "qu", "ic", "k", "e", "t", "h", "f", "o", "x", "▁o", "the", "ver", "er", "v", "r"])]
+    raw = b"".join(_message((1, _message((1, p), (2, s), (3, t)))) for p, s, t in pieces_)
+    raw += _message((2, _message((3, 1), (4, len(pieces_)), (35, 1))), (3, _message((1, "identity"), (3, 1), (4, squeeze), (5, 1))))
+    path = str(tmp_path / "u.model")
+    (tmp_path / "u.model").write_bytes(raw)
+    model = pieces.PieceModel.parse(raw)
+    assert model.kind == pieces.UNIGRAM and model.byte_fallback and model.squeeze == bool(squeeze) and not model.charsmap
+    peer = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the quick fox over the fox", "quiche \U0001f642 x", "", "ver", "thee  the ", " fox\tover", "éfox", "zzz the zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.encode(df, path, True).collect()}
+    assert [got[i]["ids"] for i in range(len(texts))] == peer.encode(texts) and all(r["parity"] for r in got.values())
+    clean = [i for i, t in enumerate(texts) if not squeeze or t == " ".join(t.split(" ")).strip() and "  " not in t]
+    assert all(got[i]["round_trip"] for i in clean)
+    codec = pieces.Codec(path)
+    codec.peer = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids, _ = codec.encode(*W.text_arrays(pa.array(["the fox"])))
+    assert ids.tolist() == peer.encode("the fox") and codec.differ
+
+
 def test_contaminated(spark, small):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     items = bench.collect()
@@ -317,7 +364,7 @@ def test_contaminated(spark, small):
     assert decontaminate.contaminated(odd(spark), bench).count() == 0
     assert decontaminate.contaminated(odd(spark), bench.limit(0)).count() == 0
     df, docs = documents(spark, small)
-    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, block=16).collect()}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, block=2000).collect()}
     whole = {(i, b["item_id"]) for i, t in docs for b in items if " ".join(b["text"].lower().split()) in " ".join(t.lower().split())}
     assert whole <= found and len(found) <= len(whole) + 3
 
@@ -334,6 +381,34 @@ def test_common_leaks_are_found(spark):
         assert sorted((r["doc_id"], r["score"]) for r in got) == [(i, score) for i in range(200)]
 
 
+def test_recall_against_aligning_all_pairs(spark):
+    """Copies with replaced, added and missing words, and paraphrases: every pair that scores enough over the whole text is found."""
+    rng = np.random.default_rng(21)
+    words = [f"v{i}" for i in range(400)]
+    items = [list(rng.choice(words, int(rng.integers(12, 50)))) for _ in range(20)]
+    items[5] = items[4]  # repeated items are each found
+    rows = []
+    for i in range(240):
+        body = list(items[i % 20])
+        kind = i // 20 % 6
+        if kind == 0:  # every third word is another
+            body = [w if j % 3 != 2 else f"z{i}" for j, w in enumerate(body)]
+        elif kind == 1:  # three in ten words are others, anywhere
+            body = [w if rng.random() > 0.3 else f"z{i}" for w in body]
+        elif kind == 2:  # a word is added after every fourth
+            body = [x for j, w in enumerate(body) for x in ([w, f"z{j}"] if j % 4 == 3 else [w])]
+        elif kind == 3:  # every fifth is missing
+            body = [w for j, w in enumerate(body) if j % 5 != 4]
+        elif kind == 4:  # the first half alone
+            body = body[: len(body) // 2]
+        rows.append((i, " ".join([*rng.choice(words, 30), *body, *rng.choice(words, 30)])))
+    hashed = lambda ws: np.array([hash(w) for w in ws])
+    want = {(i, k) for i, t in rows for k, item in enumerate(items) if decontaminate.align(hashed(item), hashed(t.split()))[0] >= 0.4}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got <= want and len(want) > 200 and len(want - got) <= 0.02 * len(want)
+
+
 def test_seeds_in_parts_hold_whole_texts():
     own = np.repeat(np.arange(5), [3, 1, 4, 2, 1])
     got = list(decontaminate.parts(np.full(11, 2), own, 6))
@@ -396,6 +471,63 @@ def test_language(spark):
     assert not language.identify(noise, model).first()["accepted"]
 
 
+def test_language_model_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang")
+    copies = docs.filter("lang = 'en'").limit(1).crossJoin(spark.range(500)).select("text", "lang")
+    a, b = (language.fit(d, sample=40) for d in (docs, docs.unionByName(copies.limit(0)).repartition(7)))
+    assert a.langs == b.langs and (a.centers == b.centers).all() and (a.least == b.least).all()
+    crowd = language.fit(docs.unionByName(copies), sample=40)
+    # the copies change the frequencies, but not which texts are clustered
+    assert crowd.langs == a.langs and np.abs(crowd.centers - a.centers).max() < 0.2
+    tie = spark.createDataFrame([("same words here", "aa"), ("same words here", "bb")], "text string, lang string")
+    out = language.identify(tie.withColumn("doc_id", F.lit(1)), language.fit(tie)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in out} == {("aa", 0.5)}
+
+
+def test_url_verdicts_equal_plain_counting(spark, small, monkeypatch):
+    """The whole result against dictionaries, with few grams as common ones and with none."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
+    rows = [(r[0], r[1]) for r in pages.collect()]
+    order, label = 4, {}
+    for _, u in rows:
+        host, _, path = (u.split("://", 1)[1] if "://" in u else "").partition("/")
+        host, path = host.split("?")[0].split("#")[0].lower(), ("/" + path).split("?")[0].split("#")[0] if _ else ""
+        best = [(len(h + p), w) for w, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        label[u] = max(best)[1] if best else None
+    held = {u: zlib.crc32(u.encode()) % 5 == 0 for u in label}
+    pad = {u: urls.START * order + u + urls.END for u in label}
+    grams = {c: [(pad[u][i - order : i], pad[u][i]) for u in label if label[u] == c and not held[u] for i in range(order, len(pad[u]))] for c in ("allow", "block")}
+    count = {c: {} for c in grams}
+    for c, g in grams.items():
+        for ctx, x in g:
+            for k in range(order + 1):
+                row = count[c].setdefault(ctx[order - k :], {})
+                row[x] = row.get(x, 0) + 1
+
+    def p(c, ctx, x):
+        prob = 1 / 256
+        for k in range(order + 1):
+            if row := count[c].get(ctx[order - k :]):
+                prob = (row.get(x, 0) + len(row) * prob) / (sum(row.values()) + len(row))
+        return prob
+
+    score = {u: np.mean([np.log(p("allow", t[i - order : i], t[i]) / p("block", t[i - order : i], t[i])) for i in range(order, len(t))]) for u, t in pad.items()}
+    seen = {}
+    for u, x in score.items():
+        if held[u] and label[u]:
+            at = label[u], int(min(max(np.floor((x + 5) / 10 * 200), 0), 199))
+            seen[at] = seen.get(at, 0) + 1
+    edge = urls.threshold(seen, 200, 5.0)
+    for common in (urls.COMMON, 1):
+        monkeypatch.setattr(urls, "COMMON", common)
+        got = {r["page_id"]: r for r in urls.url_verdicts(pages).collect()}
+        assert len(got) == len(rows)
+        for i, u in rows:
+            assert got[i]["score"] == pytest.approx(score[u], abs=1e-9)
+            if label[u] or abs(score[u] - edge) > 1e-9:
+                assert got[i]["verdict"] == (label[u] or ("allow" if score[u] >= edge else "block"))
+
+
 def test_urls(spark, small):
     odd_urls = [None, "", "no scheme/net/", "http://NET/", "http://a.net", "https://x.Example.net/en/1?q", "http://example.net.evil.org/fr/", "http://notnet/", "http://u.example.com/de/#x", "ftp://h?p", "a://b://c/d"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(odd_urls)] + [(1, None)], "page_id long, url string").withColumns({c: F.lit(1) for c in CLASH})
