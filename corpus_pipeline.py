@@ -21,10 +21,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.accepted(docs, language.fit(docs))
 
 
+#: Near-duplicates of the near_dedup stage: hundredths of likeness of five-word shingles.
+PERCENT = 80
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates (rows without a doc_id go)."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the smallest doc_id of each group of near-duplicates (likeness PERCENT or more).
+
+    Rows with one doc_id are judged each by its own text, and equal ones stay or go together. A row without a doc_id stays
+    unless a row with one has its text.
+    """
+    found = neardup.near_duplicates(docs, percent=PERCENT, give_hash=True)
+    kept = found.filter("kept or doc_id is null and component_id is null").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.select(*COLUMNS)
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & F.xxhash64("text").eqNullSafe(kept["_h"]), "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +44,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that aligns with an item of benchmark."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a passage that aligns with an item of benchmark; rows with one doc_id are judged each by its own text."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    bad = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(bad, "_row", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
