@@ -1,8 +1,9 @@
 """Nearest-neighbour free energies of duplex paths, kcal/mol at 37 degrees.
 
-The helix parameters are stated here. The loop tables for 1x1, 1x2 and 2x2 internal loops have thousands of values in the
-literature; they are a parameter: ``Loops`` builds them from the published rules (an initiation, a penalty for each AU
-or GU end, bonuses for GG and UU mismatches) with the stated exceptions, and ``Loops.from_json`` takes full tables.
+The parameters are stated here. The tables of 1x1, 1x2 and 2x2 internal loops have thousands of values; ``Loops`` builds
+them from the published rules and the measured loops that these take as given: ends, first mismatches and UU for 1x1 and
+1x2; for 2x2 the mean of the two symmetric loops that share a closing pair and mismatch with it, and a correction for
+what stands side by side (Xia, Mathews and Turner 1999; Mathews et al. 2004). ``Loops.from_json`` takes other values.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import json
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +37,62 @@ WEAK = {"AU", "UA", "GU", "UG"}
 PAIRS = {"AU", "UA", "CG", "GC", "GU", "UG"}
 
 
+# Measured 1x1 loops by outer and inner pair (rows: 5' base A, C, G, U; columns: 3' base A, C, G, U).
+SINGLE = {
+    "CG.CG": ((0.9, -0.4, 0.5, 0.5), (0.3, 0.5, 0.5, 0.6), (-0.1, 0.5, -2.2, 0.5), (0.5, 0.0, 0.5, -0.1)),
+    "CG.GC": ((0.9, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.5), (0.5, 0.5, -1.4, 0.5), (0.5, 0.5, 0.5, 0.4)),
+    "CG.GU": ((2.2, 1.3, 1.2, 1.2), (1.2, 1.7, 1.2, 1.2), (1.2, 1.2, -1.4, 1.2), (1.2, 1.2, 1.2, 1.1)),
+    "CG.UG": ((0.6, 0.5, 1.2, 1.2), (1.2, 1.2, 1.2, 1.2), (-0.2, 1.2, -1.4, 1.2), (1.2, 1.0, 1.2, 1.1)),
+    "GC.CG": ((0.8, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.5), (0.5, 0.5, -2.3, 0.5), (0.5, 0.5, 0.5, -0.6)),
+    "GC.GU": ((1.6, 1.2, 1.0, 1.2), (1.2, 1.2, 1.2, 1.2), (1.2, 1.2, -1.4, 1.2), (1.2, 1.2, 1.2, 0.7)),
+    "GC.UG": ((1.9, 1.2, 1.5, 1.2), (1.2, 1.2, 1.2, 1.2), (1.2, 1.2, -1.4, 1.2), (1.2, 1.2, 1.2, 1.5)),
+}
+# 1x1 loops of U and U, by outer and inner pair.
+SINGLE_UU = {
+    "AU.AU": 1.5, "AU.CG": 0.8, "AU.GC": 0.8, "AU.UA": 1.2, "AU.GU": 1.6, "AU.UG": 1.2,
+    "UA.AU": 1.7, "UA.CG": 1.2, "UA.GC": 1.2, "UA.GU": 1.9, "UA.UG": 1.6, "GU.GU": 1.6, "GU.UG": 1.2, "UG.GU": 1.9,
+}
+# 1x2 loops with no, one and two weak ends: unmatched, with a purine mismatch, and with U and U.
+DOUBLE = ((2.3, 1.1, 1.5), (3.0, 1.9, 2.2), (3.7, 2.6, 3.0))
+# Measured 1x2 loops: mismatch + 3' base, between CG and CG, and between GC or GU and GC or GU.
+DOUBLE_CG = {"AA+A": 2.5, "GA+A": 1.7, "GG+A": 0.8, "AC+C": 1.7, "CC+C": 2.5, "UC+C": 2.2, "AA+G": 0.8, "GA+G": 1.2, "CA+U": 2.5, "UC+U": 1.7, "UU+U": 1.4}
+DOUBLE_G = {"AA+A": 2.5, "AG+A": 2.1, "AA+G": 1.2, "CC+U": 1.9}
+# Symmetric 2x2 loops, closed by the pair at both ends, by the mismatch next to it.
+MISMATCHES = ("AA", "AC", "AG", "CA", "CC", "CU", "GA", "GG", "UC", "UU")
+TANDEM = {
+    "AU": (2.8, 2.5, 1.7, 2.3, 2.4, 2.4, 0.3, 1.9, 2.4, 0.6),
+    "CG": (1.2, 2.0, -0.7, 1.1, 1.7, 1.4, -0.7, 0.8, 1.4, -0.4),
+    "GC": (1.5, 0.9, -1.3, 1.0, 1.0, 1.1, -2.6, 0.8, 1.0, -0.5),
+    "UA": (2.8, 2.8, 0.9, 1.9, 2.8, 2.2, 0.7, 2.3, 2.8, 1.1),
+    "GU": (4.1, 3.4, 2.6, 3.4, 3.4, 3.4, 1.8, 3.4, 3.4, 3.4),
+    "UG": (2.1, 2.8, 3.4, 2.8, 2.8, 2.8, 0.1, 2.8, 2.8, 2.8),
+}
+# Corrections for mismatches side by side: GG and one that is none of G and A or U and U; two of a purine
+# pair and pyrimidines; AA and UU.
+BESIDE_GG, BESIDE_PURINES, BESIDE_UU = -1.3, 0.6, 0.6
+# Measured 2x2 loops between CG and CG (rows: the first mismatch, columns: the second, in the order above).
+TANDEM_CG = (
+    (1.3, 1.1, -0.3, 1.0, 1.1, 1.1, 0.4, -0.3, 1.1, 1.5),
+    (0.6, 1.5, 0.1, 0.5, 1.5, 1.5, 0.3, -0.3, 1.5, 0.0),
+    (0.0, -0.7, -1.6, -1.0, -0.6, 0.7, -0.7, 0.0, 0.8, 0.9),
+    (1.3, 1.0, -0.7, 1.1, 1.0, 1.0, 0.7, -0.4, 1.1, -0.2),
+    (2.2, 1.3, 0.7, 1.9, 1.3, 1.3, 0.7, -0.1, 1.4, -0.1),
+    (1.4, 1.2, 0.0, 1.1, 1.2, 1.7, 0.6, 0.2, 1.2, 0.2),
+    (-0.2, -0.4, -1.7, 0.7, 0.7, 0.7, -0.5, -0.3, 0.8, 0.9),
+    (-0.1, -0.4, -0.9, -0.5, -0.4, 0.2, -0.3, 0.8, -0.5, 1.4),
+    (1.4, 1.2, 0.0, 1.1, 1.2, 1.2, 0.5, -0.6, 1.2, 0.4),
+    (1.4, 0.3, 0.5, 0.3, 0.3, 0.3, 1.4, 0.7, 0.3, -0.6),
+)
+# Measured 2x2 loops between GU and GU.
+TANDEM_GU = {"AA.AA": 3.6, "AA.AG": 2.2, "AG.AA": 3.6, "GA.AG": 0.2}
+
+
 @dataclass
 class Loops:
-    """Energies of 1x1, 1x2 and 2x2 loops. A key is the outer pair, the loop and the inner pair, as ``AU.AA.AU``;
-    for 1x2 ``AU.AA+C.AU``: the mismatch, then the unpaired base on the 3' side."""
+    """Energies of 1x1, 1x2 and 2x2 loops. A key of ``given`` values, which go before the rules, is the outer pair, the
+    loop and the inner pair, as ``AU.AA.AU``; for 1x2 ``AU.AA+C.AU``: the mismatch, then the unpaired base on the 3' side."""
 
-    exceptions: dict[str, float] = field(default_factory=lambda: dict(LOOP_EXCEPTIONS))
+    given: dict[str, float] = field(default_factory=dict)
 
     @classmethod
     def from_json(cls, path: str) -> Loops:
@@ -50,24 +100,49 @@ class Loops:
             return cls({k: float(v) for k, v in json.load(f).items()})
 
     def one_by_one(self, p: str, m: str, q: str) -> float:
-        ends = (p in WEAK) + (q in WEAK)
-        rule = 0.5 + 0.7 * ends - (2.6 if m == "GG" else 0.0)
-        return self.exceptions.get(f"{p}.{m}.{q}", round(rule, 2))
+        if (key := f"{p}.{m}.{q}") in self.given:
+            return self.given[key]
+        # a loop read from its other end is the same loop
+        for a, x, b in ((p, m, q), (q[::-1], m[::-1], p[::-1])):
+            if rows := SINGLE.get(f"{a}.{b}"):
+                return rows["ACGU".index(x[0])]["ACGU".index(x[1])]
+            if m == "UU" and f"{a}.{b}" in SINGLE_UU:
+                return SINGLE_UU[f"{a}.{b}"]
+        return ((0.5, 1.2, 1.9) if m != "GG" else (-2.1, -1.4, -0.7))[(p in WEAK) + (q in WEAK)]
 
     def one_by_two(self, p: str, m: str, base: str, q: str) -> float:
-        ends = (p in WEAK) + (q in WEAK)
-        bonus = -1.1 if m == "GG" or m[0] == "G" and base == "G" else -0.7 if m == "UU" and base == "U" else 0.0
-        return self.exceptions.get(f"{p}.{m}+{base}.{q}", round(2.3 + 0.7 * ends + bonus, 2))
+        if (key := f"{p}.{m}+{base}.{q}") in self.given:
+            return self.given[key]
+        if p == q == "CG" and f"{m}+{base}" in DOUBLE_CG:
+            return DOUBLE_CG[f"{m}+{base}"]
+        if p in ("GC", "GU") and q in ("GC", "GU") and f"{m}+{base}" in DOUBLE_G:
+            return DOUBLE_G[f"{m}+{base}"]
+        plain, purines, uu = DOUBLE[(p in WEAK) + (q in WEAK)]
+        x, y = m
+        if x == "U" and "U" in (y, base):
+            return uu
+        beside_p = x == "G" and y in "AG" or x == "A" and y == "G" and not _purine_first(p)
+        beside_q = base == "G" and x in "AG" or base == "A" and x == "G" and _purine_first(q)
+        return purines if beside_p or beside_q else plain
 
     def two_by_two(self, p: str, m: str, n: str, q: str) -> float:
-        ends = (p in WEAK) + (q in WEAK)
-        inner = n[::-1]
-        bonus = sum({"GA": -1.0, "AG": -0.8, "UU": -0.5, "GG": -0.6}.get(x, 0.0) for x in (m, inner))
-        return self.exceptions.get(f"{p}.{m}.{n}.{q}", round(1.1 + 0.7 * ends + bonus + 0.3, 2))
-
-
-#: Measured loops that the rules miss.
-LOOP_EXCEPTIONS = {"UG.UU.UG": 1.6, "AU.UU.AU": 1.5, "AU.AA.AA.AU": 2.8, "UG.UU.UU.UG": 3.1, "AU.GA.AG.CG": -1.1}
+        if (key := f"{p}.{m}.{n}.{q}") in self.given:
+            return self.given[key]
+        for a, x, y, b in ((p, m, n, q), (q[::-1], n[::-1], m[::-1], p[::-1])):
+            if a == b == "CG":
+                return TANDEM_CG[MISMATCHES.index(x)][MISMATCHES.index(y)]
+            if a == b == "GU" and f"{x}.{y}" in TANDEM_GU:
+                return TANDEM_GU[f"{x}.{y}"]
+        total = TANDEM[p][MISMATCHES.index(m)] + TANDEM[q[::-1]][MISMATCHES.index(n[::-1])]
+        both = {m, n}
+        if "GG" in both and both & {"AA", "AC", "CA", "CC", "CU", "UC"}:
+            total += 2 * BESIDE_GG
+        elif both & {"AG", "GA"} and both & {"CC", "CU", "UC"}:
+            total += 2 * BESIDE_PURINES
+        elif both == {"AA", "UU"}:
+            total += 2 * BESIDE_UU
+        # to a tenth, halves towards zero
+        return int(round(10 * total) / 2) / 10
 
 
 def weak_end(pair: str, penalty: float = AU_END) -> float:
@@ -200,34 +275,28 @@ def end_penalty(pair: Column, penalty: float = AU_END) -> Column:
     return F.when(pair.isin(*sorted(WEAK)), penalty).otherwise(0.0)
 
 
-def one_by_one(p: Column, m: Column, q: Column, tables: Loops | None = None) -> Column:
-    """The energy of a single mismatch between two pairs: the tables' rule and exceptions."""
-    t = tables or Loops()
-    rule = 0.5 + end_penalty(p, AU_CLOSURE) + end_penalty(q, AU_CLOSURE) - F.when(m == "GG", 2.6).otherwise(0.0)
-    key = F.concat_ws(".", p, m, q)
-    for k, e in t.exceptions.items():
-        if k.count(".") == 2 and "+" not in k:
-            rule = F.when(key == k, e).otherwise(rule)
-    return rule
+def small_loops(tables: Loops | None = None) -> list[tuple[str, str, str, str, float]]:
+    """(outer pair, 5' bases, 3' bases, inner pair, energy) of every 1x1, 1x2, 2x1 and 2x2 loop without pairs; each arm 5' to 3'."""
+    t, out, bases = tables or Loops(), [], "ACGU"
+    for p in sorted(PAIRS):
+        for q in sorted(PAIRS):
+            for m in MISMATCHES:
+                out.append((p, m[0], m[1], q, t.one_by_one(p, m, q)))
+                out += [(p, m[0], c + m[1], q, t.one_by_two(p, m, c, q)) for c in bases if m[0] + c not in PAIRS]
+                # the other arm is the longer one: the loop as it is read from its inner pair
+                out += [(p, c + m[1], m[0], q, t.one_by_two(q[::-1], m, c, p[::-1])) for c in bases if m[0] + c not in PAIRS]
+                out += [(p, m[0] + n[0], n[1] + m[1], q, t.two_by_two(p, m, n, q)) for n in MISMATCHES]
+    return out
 
 
 def helix_energy(l: Column, r: Column) -> Column:  # noqa: E741
-    """Of a path of pairs only, not rounded; stays in generated code."""
+    """Of a path of pairs only, not rounded; one pass over its letters."""
     n = F.length(l)
-    pair = lambda i: F.concat(F.substr(l, i, F.lit(1)), F.substr(r, i, F.lit(1)))
-    steps = F.when(n > 1, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    body = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + stack(pair(i), pair(i + 1)))
+    pairs = F.zip_with(F.split(l, ""), F.split(r, ""), lambda a, b: F.concat(a, b))
+    steps = F.zip_with(pairs, F.slice(pairs, 2, F.greatest(n - 1, F.lit(1))), lambda p, q: F.coalesce(stack(p, q), F.lit(0.0)))
+    body = F.aggregate(steps, F.lit(0.0), lambda acc, e: acc + e)
     half = F.floor(n / 2).cast("int")
     same = F.substr(l, F.lit(1), half) == F.substr(F.reverse(r), F.lit(1), half)
     same = same & (F.substr(r, F.lit(1), half) == F.substr(F.reverse(l), F.lit(1), half))
-    return F.when(n == 0, 0.0).otherwise(end_penalty(pair(F.lit(1))) + body + end_penalty(pair(n)) + F.when(same, SYMMETRY).otherwise(0.0) + INITIATION)
-
-
-def stack_array() -> np.ndarray:
-    """(16, 16) stacking energies by pair index from 0; infinite where either is no pair."""
-    out = np.full((16, 16), np.inf)
-    at = {p: 4 * "ACGU".index(p[0]) + "ACGU".index(p[1]) for p in STACK}
-    for p, row in STACK.items():
-        for q, e in row.items():
-            out[at[p], at[q]] = e
-    return out
+    first, last = F.concat(F.left(l, F.lit(1)), F.left(r, F.lit(1))), F.concat(F.right(l, F.lit(1)), F.right(r, F.lit(1)))
+    return F.when(n == 0, 0.0).otherwise(end_penalty(first) + body + end_penalty(last) + F.when(same, SYMMETRY).otherwise(0.0) + INITIATION)

@@ -142,25 +142,44 @@ def column_covariance(first: Column, last: Column) -> Column:
 
 
 def dinucleotide_entropy(seq: Column) -> Column:
-    """Base-2 entropy of the dinucleotides of a sequence; 0 for fewer than two bases."""
-    n = F.length(seq) - 1
-    pairs = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(seq, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    parts = F.transform(F.array_distinct(pairs), lambda d: F.size(F.filter(pairs, lambda x: x == d)) / n)
-    return F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    """Base-2 entropy of the dinucleotides of A, C, G and U (or T) in a sequence; 0 for fewer than two bases."""
+
+    def entropy(rna: Column) -> Column:
+        # looking ahead counts overlapping ones; each cell is one pass
+        counts = F.array(*(F.regexp_count(rna, F.lit(f"{x}(?={y})")) for x in "ACGU" for y in "ACGU"))
+        return F.element_at(F.transform(F.array(counts), of_counts), 1)
+
+    def of_counts(counts: Column) -> Column:
+        n = F.aggregate(counts, F.lit(0), lambda s, c: s + c)
+        return F.aggregate(counts, F.lit(0.0), lambda s, c: s - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
+
+    # as a lambda's argument the sequence and the counts are made once
+    return F.element_at(F.transform(F.array(F.translate(seq, "T", "U")), entropy), 1)
+
+
+def _columns(alignment: Column) -> Column:
+    """An alignment (one string a species) as an array of its columns (one letter a species)."""
+    letters = F.transform(alignment, lambda s: F.split(s, ""))
+    return F.aggregate(F.slice(letters, 2, 1_000_000), F.element_at(letters, 1), lambda acc, s: F.zip_with(acc, s, lambda a, b: F.concat(a, b)))
 
 
 def paired_columns(duplexes: DataFrame, key: str) -> DataFrame:
     """(key, at, first, last): the alignment's columns under each element of a path that is no bulge.
 
-    ``alignment``: an array of strings, one a species, over the left arm and then the right arm, both 5' to 3'.
+    ``alignment``: an array of strings, one a species, over the left arm and then the right arm, both 5' to 3'. A row's
+    letters are walked once, and only the columns leave it.
     """
-    cells = F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    total = F.length(F.element_at("alignment", 1))
-    each = duplexes.select(key, "l", "r", "alignment", total.alias("total"), F.posexplode(cells).alias("at", "c")).filter("c.a <> '-' and c.b <> '-'")
-    i = F.length(F.replace(F.substr("l", F.lit(1), F.col("at") + 1), F.lit("-"), F.lit("")))
-    k = F.col("total") - F.length(F.replace(F.substr("r", F.lit(1), F.col("at") + 1), F.lit("-"), F.lit(""))) + 1
-    column = lambda p: F.array_join(F.transform("alignment", lambda s: F.substr(s, p, F.lit(1))), "")
-    return each.select(key, "at", column(i).alias("first"), column(k).alias("last"))
+    cells = F.transform(F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x, i: F.struct(i.alias("at"), x["a"].alias("a"), x["b"].alias("b")))
+    rows = duplexes.select(key, cells.alias("cells"), _columns(F.col("alignment")).alias("cols"), F.length(F.replace("l", F.lit("-"), F.lit(""))).alias("n_left"))
+    right = F.reverse(F.slice("cols", F.col("n_left") + 1, F.greatest(F.size("cols") - F.col("n_left"), F.lit(0))))
+
+    def side(own: str, other: str, cols: Column) -> Column:
+        # the side's bases in order, each with its column; then those that stand against a base
+        met = F.zip_with(F.filter("cells", lambda x: x[own] != "-"), cols, lambda x, c: F.struct(x["at"].alias("at"), x[other].alias("other"), c.alias("c")))
+        return F.filter(met, lambda x: x["at"].isNotNull() & (x["other"] != "-"))
+
+    both = F.zip_with(side("a", "b", F.slice("cols", 1, F.col("n_left"))), side("b", "a", right), lambda x, y: F.struct(x["at"].alias("at"), x["c"].alias("first"), y["c"].alias("last")))
+    return rows.filter("size(cells) > 0").select(key, F.explode(both).alias("x")).select(key, "x.*")
 
 
 def duplex_scores(duplexes: DataFrame, key: str, single: Node, paired: Node) -> DataFrame:
@@ -179,7 +198,6 @@ def duplex_covariance(duplexes: DataFrame, key: str) -> DataFrame:
 
 def unstructured_scores(duplexes: DataFrame, key: str, single: Node, gapdenom: float = 1.0) -> DataFrame:
     """(key, score): the sum of log2 likelihoods of all columns of the alignment, each as a single site."""
-    total = F.length(F.element_at("alignment", 1))
-    cols = duplexes.select(key, F.explode(F.transform(F.sequence(F.lit(1), total), lambda i: F.array_join(F.transform("alignment", lambda s: F.substr(s, i, F.lit(1))), ""))).alias("pattern"))
+    cols = duplexes.select(key, F.explode(_columns(F.col("alignment"))).alias("pattern"))
     one = site_likelihoods(cols, single, gapdenom=gapdenom)
     return cols.join(one, "pattern").groupBy(key).agg(F.sum(F.log2("likelihood")).alias("score"))

@@ -106,12 +106,10 @@ def prefix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {I.DNA}, d AS (SELECT doc_id, substr(seq, i, 2) AS d, n FROM (SELECT doc_id, seq, length(seq) - 1 AS n, unnest(range(1, length(seq))) AS i FROM dna)),
-c AS (SELECT doc_id, d, count(*) / max(n) AS p FROM d GROUP BY doc_id, d) SELECT doc_id, round(-sum(p * log2(p)), 4) AS entropy FROM c GROUP BY doc_id""")
+c AS (SELECT doc_id, d, count(*) / max(n) AS p FROM d GROUP BY doc_id, d) SELECT doc_id, round(-sum(p * log2(p)), 4) + 0e0 AS entropy FROM c GROUP BY doc_id""")
 def dinuc_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base-2 entropy of the dinucleotides, counted by grouping, which suits long sequences."""
-    d = I.documents_dna(spark, sf_dir).select("doc_id", (F.length("seq") - 1).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substr("seq", i, F.lit(2)))).alias("d"))
-    p = d.groupBy("doc_id", "d").agg((F.count("*") / F.max("n")).alias("p"))
-    return p.groupBy("doc_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("entropy"))
+    """Base-2 entropy of the dinucleotides of each whole sequence, counted in its row."""
+    return I.documents_dna(spark, sf_dir).select("doc_id", F.round(phylogeny.dinucleotide_entropy(F.col("seq")), 4).alias("entropy"))
 
 
 # --- alignments -------------------------------------------------------------------------------------------------------
@@ -335,8 +333,9 @@ STEPS = f"""{I.HELIX}, step AS (SELECT seq_id, i, substr(l, i, 1) || substr(r, i
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda i: F.concat(F.substr("l", i, F.lit(1)), F.substr("r", i, F.lit(1)))
-    return I.helix_paths(spark, sf_dir).select("seq_id", "l", "r", F.explode(F.sequence(F.lit(1), F.length("l"))).alias("i")).select("seq_id", "i", at(F.col("i")).alias("p"), F.when(F.col("i") < F.length("l"), at(F.col("i") + 1)).alias("q"))
+    pairs = F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.concat(a, b))
+    steps = F.zip_with("pairs", F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(1))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return I.helix_paths(spark, sf_dir).select("seq_id", pairs.alias("pairs")).select("seq_id", F.posexplode(steps).alias("at", "x")).select("seq_id", (F.col("at") + 1).alias("i"), "x.p", "x.q")
 
 
 @query(f"WITH {STEPS} SELECT p, q, count(*) AS n, round(sum(e), 4) AS total FROM step JOIN stacks USING (p, q) GROUP BY 1, 2")
@@ -362,29 +361,45 @@ def running_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bulges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, i, p, base, q): each inner base as a left bulge between the pairs of its neighbours."""
+    """(seq_id, i, side, n, p, q, base, last, states): one to three bases of either arm from i on as a bulge between their
+    neighbours; states: of a single base, 1 and the pairs next to it with its base, a run on the left, the closing one on the right."""
     w = Window.partitionBy("seq_id").orderBy("i")
-    s = _steps(spark, sf_dir).withColumns({"before": F.lag("p").over(w)})
-    return s.filter("before is not null and q is not null").select("seq_id", "i", F.col("before").alias("p"), F.substring("p", 1, 1).alias("base"), "q")
-
-
-BULGED = f"""{STEPS}, b AS (SELECT seq_id, CAST(i AS INTEGER) AS i, lag(p) OVER (PARTITION BY seq_id ORDER BY i) AS p, substr(p, 1, 1) AS base, q FROM step),
-bulged AS (SELECT *, 1 + (CASE WHEN substr(p, 1, 1) = base THEN 1 ELSE 0 END) + (CASE WHEN substr(q, 1, 1) = base THEN 1 ELSE 0 END) AS states FROM b WHERE p IS NOT NULL AND q IS NOT NULL)"""
-
-
-def _states() -> F.Column:
-    return 1 + (F.substring("p", 1, 1) == F.col("base")).cast("int") + (F.substring("q", 1, 1) == F.col("base")).cast("int")
-
-
-@query(f"WITH {BULGED} SELECT p, base, q, states, round(-0.616 * ln(states), 4) AS bonus, count(*) AS n FROM bulged GROUP BY ALL")
+    s = _steps(spark, sf_dir)
+    sides = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.substring("p", x, 1).alias("base"), F.substring("q", x, 1).alias("after")) for x in (1, 2))))
+    own = Window.partitionBy("seq_id", "side").orderBy("i")
+    ends = [F.lead("p", n).over(w).alias(f"q{n}") for n in (1, 2, 3)]
+    s = s.select("seq_id", "i", "p", "q", F.lag("p").over(w).alias("before"), *ends).withColumn("x", sides).select("seq_id", "i", "before", "q1", "q2", "q3", "x.*")
+    run = F.max(F.when(F.coalesce(F.lag("base").over(own) != F.col("base"), F.lit(True)), F.col("i"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("states", (F.col("i") - run + 1 + (F.col("after") == F.col("base")).cast("int")).cast("int"))
+    s = s.withColumns({"last1": F.col("base"), "last2": F.lead("base", 1).over(own), "last3": F.lead("base", 2).over(own)})
+    sizes = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"q{n}").alias("q"), F.col(f"last{n}").alias("last")) for n in (1, 2, 3))))
+    return s.filter("before is not null").withColumn("y", sizes).select("seq_id", "i", "side", F.col("before").alias("p"), "base", "states", "y.*").filter("q is not null")
+
+
+BULGED = f"""{STEPS}, side AS (SELECT seq_id, CAST(i AS INTEGER) AS i, s AS side, substr(p, s, 1) AS base, lag(p) OVER w AS p, substr(q, s, 1) AS after, lead(p, 1) OVER w AS q1, lead(p, 2) OVER w AS q2, lead(p, 3) OVER w AS q3,
+  substr(lead(p, 1) OVER w, s, 1) AS last2, substr(lead(p, 2) OVER w, s, 1) AS last3 FROM step, (VALUES (1), (2)) x(s) WINDOW w AS (PARTITION BY seq_id, s ORDER BY i)),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, side, base ORDER BY i) AS grp FROM side),
+stated AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq_id, side, base, grp ORDER BY i) + CASE WHEN after = base THEN 1 ELSE 0 END AS INTEGER) AS states FROM runs),
+bulged AS (SELECT seq_id, i, side, p, base, states, n, CASE n WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END AS q, CASE n WHEN 1 THEN base WHEN 2 THEN last2 ELSE last3 END AS last FROM stated, (VALUES (1), (2), (3)) y(n)
+  WHERE p IS NOT NULL AND CASE n WHEN 1 THEN q1 WHEN 2 THEN q2 ELSE q3 END IS NOT NULL)"""
+
+
+@query(f"WITH {BULGED} SELECT side, p, base, q, states, round(-0.616 * ln(states), 4) + 0e0 AS bonus, count(*) AS n FROM bulged WHERE n = 1 GROUP BY ALL")
 def bulge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bulges(spark, sf_dir).withColumn("states", _states()).groupBy("p", "base", "q", "states").agg(F.count("*").alias("n")).withColumn("bonus", F.round(-E.RT * F.log("states"), 4))
+    by = _bulges(spark, sf_dir).filter("n = 1").groupBy("side", "p", "base", "q", "states").agg(F.count("*").alias("n"))
+    return by.withColumn("bonus", F.round(-E.RT * F.log("states"), 4) + 0.0)
 
 
-@query(f"""WITH {BULGED} SELECT seq_id, i, round(3.8 + e - 0.616 * ln(states) + CASE WHEN base = 'C' AND (p = 'CG' OR q = 'CG') THEN -0.9 ELSE 0 END, 4) AS energy FROM bulged JOIN stacks USING (p, q)""")
+@query(f"""WITH {BULGED} SELECT seq_id, i, side, n, round(CASE WHEN side = 1 AND (base = 'C' AND p = 'CG' OR last = 'C' AND q = 'CG') OR side = 2 AND (base = 'C' AND p = 'GC' OR last = 'C' AND q = 'GC') THEN -0.9 ELSE 0 END
++ CASE n WHEN 1 THEN 3.8 + e - 0.616 * ln(states) WHEN 2 THEN 2.8 ELSE 3.2 END + CASE WHEN n > 1 AND p IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN n > 1 AND q IN {WEAK} THEN 0.45 ELSE 0 END, 4) AS energy FROM bulged JOIN stacks USING (p, q)""")
 def bulge_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    special = F.when((F.col("base") == "C") & ((F.col("p") == "CG") | (F.col("q") == "CG")), E.BULGE_EXCEPTION).otherwise(0.0)
-    return _bulges(spark, sf_dir).select("seq_id", "i", F.round(E.BULGE_INITIATION[0] + E.stack(F.col("p"), F.col("q")) - E.RT * F.log(_states()) + special, 4).alias("energy"))
+    """Of every bulge of one to three bases on either arm of the fully paired sequences."""
+    c = lambda at, pair: (F.col(at) == "C") & (F.col(pair[0]) == pair[1])
+    left, right = c("base", ("p", "CG")) | c("last", ("q", "CG")), c("base", ("p", "GC")) | c("last", ("q", "GC"))
+    special = F.when(((F.col("side") == 1) & left) | ((F.col("side") == 2) & right), E.BULGE_EXCEPTION).otherwise(0.0)
+    single = E.BULGE_INITIATION[0] + E.stack(F.col("p"), F.col("q")) - E.RT * F.log("states")
+    more = F.element_at(F.array(*map(F.lit, E.BULGE_INITIATION)), F.col("n")) + E.end_penalty(F.col("p")) + E.end_penalty(F.col("q"))
+    return _bulges(spark, sf_dir).select("seq_id", "i", "side", "n", F.round(special + F.when(F.col("n") == 1, single).otherwise(more), 4).alias("energy"))
 
 
 # Motifs: elements between pairs of each path; their sizes and the energy of loops of mismatches only.
@@ -436,8 +451,9 @@ cells AS (SELECT a.seq_id, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases
 
 def islands(cells: str, key: str) -> str:
     return f"""isl AS (SELECT *, i + k AS d, i - row_number() OVER (PARTITION BY {key}, i + k ORDER BY i) AS island, lead(i) OVER (PARTITION BY {key}, i + k ORDER BY i) AS ni, lead(pair) OVER (PARTITION BY {key}, i + k ORDER BY i) AS nq FROM {cells}),
-runs AS (SELECT {key}, d, island, min(i) AS i, max(k) AS k, count(*) AS n_pairs, sum(CASE WHEN ni = i + 1 THEN e ELSE 0 END) AS s, arg_min(pair, i) AS op, arg_max(pair, i) AS ip FROM isl LEFT JOIN stacks ON p = pair AND q = nq GROUP BY {key}, d, island),
-hel AS (SELECT *, 4.09 + s + CASE WHEN op IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN ip IN {WEAK} THEN 0.45 ELSE 0 END AS energy FROM runs)"""
+runs AS (SELECT {key}, d, island, min(i) AS i, max(k) AS k, count(*) AS n_pairs, sum(CASE WHEN ni = i + 1 THEN e ELSE 0 END) AS s, arg_min(pair, i) AS op, arg_max(pair, i) AS ip, string_agg(pair, '' ORDER BY i) AS txt FROM isl LEFT JOIN stacks ON p = pair AND q = nq GROUP BY {key}, d, island),
+hel AS (SELECT *, 4.09 + s + CASE WHEN op IN {WEAK} THEN 0.45 ELSE 0 END + CASE WHEN ip IN {WEAK} THEN 0.45 ELSE 0 END
+  + CASE WHEN substr(txt, 1, 2 * (n_pairs // 2)) = substr(reverse(txt), 1, 2 * (n_pairs // 2)) THEN 0.43 ELSE 0 END AS energy FROM runs)"""
 
 
 @query(f"WITH {CELLS}, {STACKS}, {islands('cells', 'seq_id')} SELECT seq_id, n_pairs, count(*) AS n, round(min(energy), 4) AS best FROM hel GROUP BY 1, 2")
@@ -472,21 +488,38 @@ def fold_intermolecular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.helices_of(left.join(right, ["conv_id", "turn"]), ["conv_id", "turn"], other="other", below=-2.0).withColumn("energy", F.round("energy", 4))
 
 
-ONE = "single(p, m, q, e) AS (VALUES " + values((*k.split("."), e) for k, e in E.LOOP_EXCEPTIONS.items() if k.count(".") == 2) + ")"
-
-
-@query(f"""WITH {CELLS}, {ONE}, mid AS (SELECT a.seq_id, a.pair AS p, x.b || y.b AS m, c.pair AS q FROM cells a JOIN cells c ON c.seq_id = a.seq_id AND c.i = a.i + 2 AND c.k = a.k - 2
-  JOIN bases x ON x.seq_id = a.seq_id AND x.pos = a.i + 1 JOIN bases y ON y.seq_id = a.seq_id AND y.pos = a.k - 1 WHERE x.b || y.b NOT IN {PAIR_LIST})
-SELECT p, m, q, count(*) AS n, round(any_value(coalesce(e, 0.5 + CASE WHEN p IN {WEAK} THEN 0.7 ELSE 0 END + CASE WHEN q IN {WEAK} THEN 0.7 ELSE 0 END - CASE WHEN m = 'GG' THEN 2.6 ELSE 0 END)), 4) AS energy
-FROM mid LEFT JOIN single USING (p, m, q) GROUP BY p, m, q""")
+MIS = "('AA','AC','AG','CA','CC','CU','GA','GG','UC','UU')"
+WEAK_ENDS = f"(CASE WHEN p IN {WEAK} THEN 1 ELSE 0 END + CASE WHEN q IN {WEAK} THEN 1 ELSE 0 END)"
+# The measured loops as rows, either way round; what has none of its own follows the rules in CASE.
+SMALL = f"""single0(p, q, m, e) AS (VALUES {values((*k.split("."), x + y, rows["ACGU".index(x)]["ACGU".index(y)]) for k, rows in E.SINGLE.items() for x in "ACGU" for y in "ACGU")}),
+uu0(p, q, m, e) AS (VALUES {values((*k.split("."), "UU", e) for k, e in E.SINGLE_UU.items())}),
+single AS (SELECT p, q, m, any_value(e) AS e FROM (SELECT p, q, m, e FROM single0 UNION ALL SELECT p, q, m, e FROM uu0 UNION ALL SELECT reverse(q), reverse(p), reverse(m), e FROM single0 UNION ALL SELECT reverse(q), reverse(p), reverse(m), e FROM uu0) GROUP BY 1, 2, 3),
+double0(p, q, m, c, e) AS (VALUES {values(("CG", "CG", *k.split("+"), e) for k, e in E.DOUBLE_CG.items())}, {values((p, q, *k.split("+"), e) for p in ("GC", "GU") for q in ("GC", "GU") for k, e in E.DOUBLE_G.items())}),
+tandem(p, m, e) AS (VALUES {values((p, m, e) for p, row in E.TANDEM.items() for m, e in zip(E.MISMATCHES, row, strict=True))}),
+quad0(p, q, m, n, e) AS (VALUES {values(("CG", "CG", m, n, e) for m, row in zip(E.MISMATCHES, E.TANDEM_CG, strict=True) for n, e in zip(E.MISMATCHES, row, strict=True))}, {values(("GU", "GU", *k.split("."), e) for k, e in E.TANDEM_GU.items())}),
+quad AS (SELECT * FROM quad0 UNION ALL SELECT reverse(q), reverse(p), reverse(n), reverse(m), e FROM quad0)"""
+
+
+@query(f"""WITH {CELLS}, {SMALL}, met AS (SELECT a.seq_id, a.pair AS p, c.pair AS q, substr(seq, a.i + 1, c.i - a.i - 1) AS five, substr(seq, c.k + 1, a.k - c.k - 1) AS three
+  FROM cells a JOIN cells c ON c.seq_id = a.seq_id AND c.i - a.i IN (2, 3) AND a.k - c.k IN (2, 3) AND c.i BETWEEN a.i + 2 AND a.i + 3 JOIN seqs s ON s.seq_id = a.seq_id),
+loops AS (SELECT p, five, three, q, count(*) AS n, five[1] || three[-1] AS f, five[-1] || three[1] AS l FROM met GROUP BY p, five, three, q HAVING f NOT IN {PAIR_LIST} AND l NOT IN {PAIR_LIST}),
+-- the longer arm on the 3' side: (outer pair, mismatch, the other base, inner pair)
+turned AS (SELECT *, CASE WHEN length(five) = 1 THEN p ELSE reverse(q) END AS tp, CASE WHEN length(five) = 1 THEN q ELSE reverse(p) END AS tq,
+  CASE WHEN length(five) = 1 THEN f ELSE reverse(l) END AS tm, CASE WHEN length(five) = 1 THEN three[1] ELSE five[1] END AS tc FROM loops WHERE length(five) <> length(three))
+SELECT p, five, three, q, n, round(coalesce(e, (CASE WHEN f = 'GG' THEN -2.1e0 ELSE 0.5e0 END) + 0.7 * {WEAK_ENDS}), 4) AS energy FROM (SELECT *, f AS m FROM loops WHERE length(five) = 1 AND length(three) = 1) LEFT JOIN single USING (p, q, m)
+UNION ALL SELECT t.p, five, three, t.q, n, round(coalesce(e, CASE WHEN tm[1] = 'U' AND (tm[2] = 'U' OR tc = 'U') THEN [1.5e0, 2.2, 3.0][1 + w]
+  WHEN tm[1] = 'G' AND tm[2] IN ('A', 'G') OR tm = 'AG' AND tp IN ('CG', 'UA', 'UG') OR tc = 'G' AND tm[1] IN ('A', 'G') OR tc = 'A' AND tm[1] = 'G' AND tq IN ('AU', 'GC', 'GU') THEN [1.1e0, 1.9, 2.6][1 + w]
+  ELSE [2.3e0, 3.0, 3.7][1 + w] END), 4) FROM (SELECT *, {WEAK_ENDS} AS w FROM turned) t LEFT JOIN double0 d ON d.p = tp AND d.q = tq AND d.m = tm AND d.c = tc
+UNION ALL SELECT x.p, five, three, x.q, x.n, round(coalesce(m.e, trunc(round(10 * (a.e + b.e + 2 * CASE WHEN (f = 'GG' AND l IN ('AA', 'AC', 'CA', 'CC', 'CU', 'UC')) OR (l = 'GG' AND f IN ('AA', 'AC', 'CA', 'CC', 'CU', 'UC')) THEN -1.3
+  WHEN f IN ('AG', 'GA') AND l IN ('CC', 'CU', 'UC') OR l IN ('AG', 'GA') AND f IN ('CC', 'CU', 'UC') OR f || l IN ('AAUU', 'UUAA') THEN 0.6 ELSE 0 END)) / 2e0) / 10 + 0e0), 4)
+  FROM loops x JOIN tandem a ON a.p = x.p AND a.m = x.f JOIN tandem b ON b.p = reverse(x.q) AND b.m = reverse(x.l) LEFT JOIN quad m ON m.p = x.p AND m.q = x.q AND m.m = x.f AND m.n = x.l WHERE length(five) = 2 AND length(three) = 2""")
 def loop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single mismatches between pairs of all sequences, counted, with their energies."""
+    """The 1x1, 1x2, 2x1 and 2x2 loops between pairs of all sequences, counted, with their energies."""
     seqs = I.sequences(spark, sf_dir)
     b = folding.bases(seqs)
-    found = folding.one_by_one_loops(folding.pair_join(b, b), seqs)
-    p, m, q = F.col("outer").alias("p"), F.col("mismatch").alias("m"), F.col("inner").alias("q")
-    by = found.groupBy(p, m, q).agg(F.count("*").alias("n"))
-    return by.withColumn("energy", F.round(E.one_by_one(F.col("p"), F.col("m"), F.col("q")), 4))
+    by = folding.small_loops(folding.pair_join(b, b), seqs).groupBy(F.col("outer").alias("p"), "five", "three", F.col("inner").alias("q")).agg(F.count("*").alias("n"))
+    table_ = spark.createDataFrame(E.small_loops(), "p string, five string, three string, q string, energy double")
+    return by.join(F.broadcast(table_), ["p", "five", "three", "q"])  # a fixed number of rows
 
 
 @query(f"""WITH {CELLS}, {STACKS}, two AS (SELECT a.conv_id, a.turn AS ta, k.turn AS tb, a.pos AS i, k.pos AS k, a.b || k.b AS pair FROM bases a JOIN bases k ON a.conv_id = k.conv_id AND a.turn < k.turn WHERE a.b || k.b IN {PAIR_LIST}),

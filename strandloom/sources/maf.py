@@ -44,9 +44,32 @@ def parse(blocks: DataFrame, minlength: int = 1, minscore: float = float("-inf")
 
 def without_reference_gaps(blocks: DataFrame) -> DataFrame:
     """Drops every alignment column where the first species has a gap, from all species."""
-    keep = F.transform(F.filter(F.transform(F.split(F.col("species")[0]["seq"], ""), lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: (x["b"] != "-") & (x["b"] != "")), lambda x: x["i"] + 1)
-    cut = F.transform("species", lambda s: s.withField("seq", F.array_join(F.transform("keep", lambda i: F.substr(s["seq"], i, F.lit(1))), "")))
-    return blocks.withColumn("keep", keep).withColumn("species", cut).drop("keep")
+    ref = F.split(F.col("species")[0]["seq"], "")
+
+    def cut(s: Column) -> Column:
+        both = F.zip_with(ref, F.split(s["seq"], ""), lambda r, x: F.struct(r.alias("r"), x.alias("x")))
+        return s.withField("seq", F.array_join(F.transform(F.filter(both, lambda b: b["r"] != "-"), lambda b: b["x"]), ""))
+
+    return blocks.withColumn("species", F.transform("species", cut))
+
+
+SPAN = 1 << 20
+
+
+def _islands(blocks: DataFrame) -> DataFrame:
+    """(block_id, chr, position, n) with island: where the run of blocks that each begin where the one before ends begins."""
+    stretch = ["chr", "stretch"]
+    rows = blocks.withColumns({"stretch": F.floor(F.col("position") / SPAN), "end": F.col("position") + F.col("n")})
+    w, over = Window.partitionBy(*stretch).orderBy("position", "block_id"), Window.partitionBy("chr").orderBy("stretch")
+    # a row for each stretch: how the one before it ends
+    ends = rows.groupBy(*stretch).agg(F.max_by("end", F.struct("position", "block_id")).alias("end")).select(*stretch, F.lag("end").over(over).alias("before"))
+    rows = rows.join(ends, stretch)
+    starts = F.coalesce(F.coalesce(F.lag("end").over(w), "before") != F.col("position"), F.lit(True))
+    rows = rows.withColumn("start", F.when(starts, F.struct("position", "block_id")))
+    last = rows.groupBy(*stretch).agg(F.max("start").alias("start"))
+    carried = last.select(*stretch, F.max("start").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    whole = F.coalesce(F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)), "carried")
+    return rows.join(carried, stretch).select("block_id", "chr", "position", "n", whole.alias("island"))
 
 
 def merge_adjacent(blocks: DataFrame, order: Sequence[str], minspecies: int = 2, minlength: int = 18) -> DataFrame:
@@ -54,13 +77,12 @@ def merge_adjacent(blocks: DataFrame, order: Sequence[str], minspecies: int = 2,
 
     Only blocks with ``minspecies`` species count, and of the results only those longer than ``minlength``. Species come in
     the ``order`` of the tree, others are dropped; one that a block lacks has gaps there. Each keeps the position of its
-    first block. Islands are found by chromosome from (position, length) alone; the sequences move once, by island.
+    first block. A block that comes twice counts once. Islands are found from (position, length) alone, in stretches of
+    SPAN positions, and the last block of each stretch is told to the next; the sequences move once, by island.
     """
     ref = F.col("species")[0]
-    rows = blocks.filter(F.size("species") >= minspecies).select("block_id", "species", ref["chr"].alias("chr"), ref["position"].alias("position"), F.length(ref["seq"]).alias("n"))
-    w = Window.partitionBy("chr").orderBy("position", "block_id")
-    start = F.coalesce((F.lag(F.col("position") + F.col("n")).over(w) != F.col("position")).cast("int"), F.lit(1))
-    islands = rows.select("block_id", "chr", "position", "n").withColumn("start", start).withColumn("island", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocks.filter(F.size("species") >= minspecies).select("block_id", "species", ref["chr"].alias("chr"), ref["position"].alias("position"), F.length(ref["seq"]).alias("n")).dropDuplicates(["block_id"])
+    islands = _islands(rows.select("block_id", "chr", "position", "n"))
     place = F.create_map(*(F.lit(x) for i, s in enumerate(order) for x in (s, i)))
     each = rows.select("block_id", F.explode("species").alias("s")).withColumn("rank", F.try_element_at(place, F.col("s.name"))).filter("rank is not null")
     parts = each.join(islands, "block_id")
