@@ -83,6 +83,17 @@ def brackets(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
     return F.concat(arm(l), F.lit("&"), F.reverse(arm(r))), F.concat(side("a", "("), F.lit("&"), F.reverse(side("b", ")")))
 
 
+def drawing(l: Column, r: Column, energy: Column) -> Column:  # noqa: E741
+    """A duplex as four lines of text: what is unpaired above and below, the pairs between; the energy after them."""
+    zipped = F.zip_with(F.split(l, ""), F.split(r, ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pick = lambda f: F.array_join(F.transform(zipped, f), "")
+    is_pair = lambda x: kind(x["a"], x["b"]) == "pair"
+    paired = lambda side: pick(lambda x: F.when(is_pair(x), x[side]).otherwise(" "))
+    loose = lambda side: pick(lambda x: F.when(is_pair(x) | (x[side] == "-"), " ").otherwise(x[side]))
+    lines = [F.concat(F.lit("   "), loose("a")), F.concat(F.lit("5' "), paired("a"), F.lit(" 3'")), F.concat(F.lit("3' "), paired("b"), F.lit(" 5'  \u0394G = "), energy.cast("string")), F.concat(F.lit("   "), loose("b"))]
+    return F.concat_ws("\n", *lines)
+
+
 def alignment_brackets(l: Column, r: Column) -> Column:  # noqa: E741
     """The structure over an alignment's columns, left arm and then right arm 5' to 3': brackets for pairs and mismatches, points for bulges."""
     side = lambda own, other, mark: F.array_join(F.zip_with(F.split(own, ""), F.split(other, ""), lambda a, b: F.when(a == "-", "").when(b == "-", ".").otherwise(mark)), "")

@@ -6,10 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import ship
+from strandloom.session import cut, ship
 
 FEATURES = ("cons", "deltag", "npairs", "entropy", "covariance")
 #: greater than the mean, less, greater ...: what an outlier's features must be.
@@ -44,7 +44,8 @@ def bucket_means(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
 
 
 class IsolationForest:
-    """Liu, Ting and Zhou, 2008: random splits part outliers from the rest in few steps."""
+    """Liu, Ting and Zhou, 2008: random splits part outliers from the rest in few steps. All trees are flat arrays:
+    ``feature`` (-1 for a leaf), ``cut``, ``low`` and ``high`` (the children), ``path`` (a leaf's length of path)."""
 
     def __init__(self, trees: int = 100, sample: int = 256, seed: int = 1):
         self.trees, self.sample, self.rng = trees, sample, np.random.default_rng(seed)
@@ -53,83 +54,163 @@ class IsolationForest:
     def expected(n: float) -> float:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def _grow(self, x: np.ndarray, depth: int):
-        spread = x.max(0) - x.min(0) if len(x) else np.zeros(0)
-        able = np.flatnonzero(spread > 0)
-        if depth == 0 or len(x) <= 1 or not len(able):
-            return self.expected(len(x))
-        f = int(self.rng.choice(able))
-        cut = self.rng.uniform(x[:, f].min(), x[:, f].max())
-        low = x[:, f] < cut
-        return f, cut, self._grow(x[low], depth - 1), self._grow(x[~low], depth - 1)
-
     def fit(self, x: np.ndarray) -> IsolationForest:
         n = min(self.sample, len(x))
         self.norm = max(self.expected(n), 1e-9)
         deep = int(np.ceil(np.log2(max(n, 2))))
-        self.roots = [self._grow(x[self.rng.choice(len(x), n, replace=False)], deep) for _ in range(self.trees)]
+        nodes: list[list] = []
+        self.roots = []
+        for _ in range(self.trees):
+            self.roots.append(len(nodes))
+            nodes.append([-1, 0.0, 0, 0, 0.0])
+            todo = [(len(nodes) - 1, x[self.rng.choice(len(x), n, replace=False)], 0)]
+            while todo:
+                at, own, depth = todo.pop()
+                able = np.flatnonzero(own.max(0) > own.min(0))
+                if depth == deep or len(own) <= 1 or not len(able):
+                    nodes[at][4] = depth + self.expected(len(own))
+                    continue
+                f = int(self.rng.choice(able))
+                where = self.rng.uniform(own[:, f].min(), own[:, f].max())
+                low = own[:, f] < where
+                nodes[at][:4] = [f, where, len(nodes), len(nodes) + 1]
+                # a cut at the least value leaves one side empty
+                for part in (own[low], own[~low]):
+                    nodes.append([-1, 0.0, 0, 0, float(depth + 1)])
+                    if len(part):
+                        todo.append((len(nodes) - 1, part, depth + 1))
+        feature, cuts, low, high, path = zip(*nodes, strict=True)
+        self.feature, self.low, self.high = (np.array(c, np.int32) for c in (feature, low, high))
+        self.cut, self.path, self.deep = np.array(cuts), np.array(path), deep
         return self
 
-    def _depth(self, node, x: np.ndarray, own: np.ndarray, at: int, out: np.ndarray) -> None:
-        if not isinstance(node, tuple):
-            out[own] += at + node
-            return
-        f, cut, a, b = node
-        low = x[own, f] < cut
-        if low.any():
-            self._depth(a, x, own[low], at + 1, out)
-        if (~low).any():
-            self._depth(b, x, own[~low], at + 1, out)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1, the greater the odder."""
+    def score(self, x: np.ndarray, block: int = 4096) -> np.ndarray:
+        """0 to 1, the greater the odder; all trees descend together, a step a level."""
         out = np.zeros(len(x))
-        for r in self.roots:
-            self._depth(r, x, np.arange(len(x)), 0, out)
-        return 2.0 ** (-out / len(self.roots) / self.norm)
-
-
-def outliers(rows: DataFrame, key: str, contamination: float = 0.1, sample: int = 2048, features: Sequence[str] = FEATURES, heuristic: Sequence[str | Callable] = HEURISTIC, seed: int = 1) -> DataFrame:
-    """(key, bucket, anomaly): the rows that the forest of their bucket isolates and whose features all compare as asked with its means.
-
-    A forest learns from a sample of its bucket's members of about ``sample`` rows, by the hash of the key; its threshold is
-    the quantile of that sample's scores that ``contamination`` leaves above it. Buckets with one member have no forest.
+        for s in range(0, len(x), block):
+            own = x[s : s + block]
+            at = np.broadcast_to(np.array(self.roots, np.int32), (len(own), len(self.roots))).copy()
+            row = np.arange(len(own))[:, None]
+            for _ in range(self.deep):
+                f = self.feature[at]
+                on = f >= 0
+                if not on.any():
+                    break
+                at = np.where(on, np.where(own[row, f] < self.cut[at], self.low[at], self.high[at]), at)
+            out[s : s + block] = self.path[at].mean(1)
+        return 2.0 ** (-out / self.norm)
+
+
+
+def train(rows: DataFrame, key: str, contamination: float = 0.1, sample: int = 2048, features: Sequence[str] = FEATURES, seed: int = 1) -> DataFrame:
+    """(bucket, threshold, forest, and the bucket's n, means and sums): a model, a row for each bucket of two members or more.
+
+    A forest's trees learn from a sample of its bucket's members of about ``sample`` rows, by the hash of the key. Its
+    threshold is the quantile of all members' scores that ``contamination`` leaves above it.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     rows = rows.select(key, "dist", *features)
-    means = bucket_means(rows, features)
-    share = F.broadcast(means.select("bucket", F.least(F.lit(1.0), sample / F.col("n")).alias("share")))  # a row for each bucket
+    means = cut(bucket_means(rows, features))
+    share = F.broadcast(means.filter("n > 1").select("bucket", F.least(F.lit(1.0), sample / F.col("n")).alias("share")))  # a row for each bucket
     picked = members(rows).join(share, "bucket").filter((F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)) < F.col("share"))
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
-        x = pdf.sort_values(list(features))[list(features)].to_numpy(float)
-        if len(x) < 2:
-            return pd.DataFrame({"bucket": [], "body": []}).astype({"bucket": "int32"})
-        forest = IsolationForest(seed=seed + int(pdf["bucket"].iloc[0])).fit(x)
-        limit = float(np.quantile(forest.score(x), 1 - contamination))
-        return pd.DataFrame({"bucket": [np.int32(pdf["bucket"].iloc[0])], "body": [pickle.dumps((forest, limit))]})
+        x = pdf[list(features)].sort_values(list(features)).to_numpy(float)
+        b = int(pdf["bucket"].iloc[0])
+        return pd.DataFrame({"bucket": [np.int32(b)], "forest": [pickle.dumps(IsolationForest(seed=seed + b).fit(x))]})
+
+    forests = cut(picked.groupBy("bucket").applyInPandas(grow, "bucket int, forest binary"))
+    scored = members(rows).select("bucket", *features).mapInPandas(_scores(spark, forests, features, []), "bucket int, anomaly double")
+    limits = scored.groupBy("bucket").agg(F.percentile_approx("anomaly", 1 - contamination, 100_000).alias("threshold"))
+    return cut(forests.join(limits, "bucket").join(means, "bucket"))
 
-    models = {r["bucket"]: bytes(r["body"]) for r in picked.groupBy("bucket").applyInPandas(train, "bucket int, body binary").collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-    kind = dict(rows.dtypes)[key]
 
-    def predict(frames):
+def save(model: DataFrame, path: str) -> None:
+    model.write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def _scores(spark: SparkSession, forests: DataFrame, features: Sequence[str], keep: Sequence[str]):
+    """A function of frames (bucket, keep, features) to (keep, bucket, anomaly). Forests: one for each bucket, of a fixed size."""
+    shared = spark.sparkContext.broadcast({r["bucket"]: bytes(r["forest"]) for r in forests.select("bucket", "forest").collect()})
+
+    def run(frames):
         import pickle
 
         loaded = {b: pickle.loads(m) for b, m in shared.value.items()}
         for f in frames:
-            for b, own in f.groupby("bucket"):
-                if b not in loaded:
-                    continue
-                forest, limit = loaded[b]
-                s = forest.score(own[list(features)].to_numpy(float))
-                yield pd.DataFrame({key: own[key], "bucket": own["bucket"], "anomaly": s})[s >= limit]
+            bucket, x = f["bucket"].to_numpy(), f[list(features)].to_numpy(float)
+            out = np.full(len(f), np.nan)
+            for b in np.unique(bucket):
+                if b in loaded:
+                    out[bucket == b] = loaded[b].score(x[bucket == b])
+            yield f[list(keep)].assign(bucket=bucket.astype(np.int32), anomaly=out)[~np.isnan(out)]
+
+    return run
+
+
+def predict(rows: DataFrame, key: str, model: DataFrame, features: Sequence[str] = FEATURES, heuristic: Sequence[str | Callable] = HEURISTIC) -> DataFrame:
+    """(key, bucket, anomaly): the rows that their bucket's forest isolates and whose features all compare as asked with its means.
+
+    ``model``: from train() or load(). Rows beyond the last bucket, or of one without a forest, are none.
+    """
+    ship(rows.sparkSession)
+    found = rows.select(key, "dist", *features).withColumn("bucket", assigned(F.col("dist"))).filter("bucket is not null")
+    found = validated(found, model.drop("forest", "threshold"), features, heuristic).select(key, "bucket", *features)
+    kind = dict(rows.dtypes)[key]
+    scored = found.mapInPandas(_scores(rows.sparkSession, model, features, [key]), f"{key} {kind}, bucket int, anomaly double")
+    return scored.join(F.broadcast(model.select("bucket", "threshold")), "bucket").filter("anomaly >= threshold").select(key, "bucket", "anomaly")
+
+
+def outliers(rows: DataFrame, key: str, contamination: float = 0.1, sample: int = 2048, features: Sequence[str] = FEATURES, heuristic: Sequence[str | Callable] = HEURISTIC, seed: int = 1) -> DataFrame:
+    """What predict() tells of rows by a model trained on them."""
+    return predict(rows, key, train(rows, key, contamination, sample, features, seed), features, heuristic)
+
+
+def duplex_law(rows: DataFrame) -> DataFrame:
+    """(n_pairs, n, mean, sd, mean_pairs): for each length the normal law of energies, and the Poisson law's mean of lengths."""
+    by = rows.groupBy("n_pairs").agg(F.count("*").alias("n"), F.avg("energy").alias("mean"), F.stddev_pop("energy").alias("sd"))
+    # a row for each length
+    whole = by.agg((F.sum(F.col("n") * F.col("n_pairs")) / F.sum("n")).alias("mean_pairs"))
+    return by.join(F.broadcast(whole))
+
+
+def duplex_probabilities(rows: DataFrame, law: DataFrame, with_cdf: bool = True) -> DataFrame:
+    """rows (with n_pairs and energy) with pdf, and cdf: how likely a duplex is at least as long and as stable.
+
+    pdf is null for a length that the law does not have, or with one energy alone. cdf sums over the law's lengths from
+    n_pairs on, with what is longer than all of them. ``law``: a row for each length, as duplex_law() gives.
+    """
+    log_poisson = lambda n, m: -m + n * F.log(m) - F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    own = law.filter("sd > 0").select("n_pairs", "mean", "sd", F.exp(log_poisson(F.col("n_pairs"), F.col("mean_pairs"))).alias("_p"))
+    z = (F.col("energy") - F.col("mean")) / F.col("sd")
+    out = rows.join(F.broadcast(own), "n_pairs", "left").withColumn("pdf", F.col("_p") * F.exp(-z * z / 2) / (F.col("sd") * float(np.sqrt(2 * np.pi)))).drop("mean", "sd", "_p")
+    if not with_cdf:
+        return out
+    ship(rows.sparkSession)
+    table = sorted(tuple(r) for r in law.filter("sd > 0").select("n_pairs", "mean", "sd", "mean_pairs").collect())
+
+    @F.pandas_udf("double")
+    def cdf(n: pd.Series, energy: pd.Series) -> pd.Series:
+        from math import erf, exp, lgamma, log, sqrt
+
+        total, whole = np.zeros(len(n)), 0.0
+        for length, mean, sd, rate in table:
+            p = exp(-rate + length * log(rate) - lgamma(length + 1))
+            below = np.array([0.5 * (1 + erf((e - mean) / sd / sqrt(2))) for e in energy])
+            total += np.where(n.to_numpy() <= length, p * below, 0.0)
+        if table:
+            rate, top = table[0][3], int(table[-1][0])
+            whole = 1 - sum(exp(-rate + i * log(rate) - lgamma(i + 1)) for i in range(top + 1))
+        return pd.Series(total + whole)
 
-    found = rows.withColumn("bucket", assigned(F.col("dist"))).filter("bucket is not null")
-    found = validated(found, means, features, heuristic)
-    return found.mapInPandas(predict, f"{key} {kind}, bucket int, anomaly double")
+    return out.withColumn("cdf", cdf("n_pairs", "energy"))
 
 
 def validated(rows: DataFrame, means: DataFrame, features: Sequence[str] = FEATURES, heuristic: Sequence[str | Callable] = HEURISTIC) -> DataFrame:
@@ -141,4 +222,4 @@ def validated(rows: DataFrame, means: DataFrame, features: Sequence[str] = FEATU
     keep = F.lit(True)
     for c, how in zip(features, heuristic, strict=True):
         keep &= (how if callable(how) else compare[how])(F.col(c), F.col(f"mean_{c}"))
-    return rows.join(F.broadcast(means.drop("n")), "bucket").filter(keep).select(rows.columns)
+    return rows.join(F.broadcast(means.select("bucket", *(f"mean_{c}" for c in features))), "bucket").filter(keep).select(rows.columns)

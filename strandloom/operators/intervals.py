@@ -63,28 +63,35 @@ def undominated(df: DataFrame, key: str, identity: float = 0.99, size: int = 50,
     """Drops each duplex that a better one overlaps on both arms: lower energy, or the same and a smaller key.
 
     The rule does not depend on any order of insertion. Rows are compared within a bin of the first arm's start, or with
-    ``everywhere`` also across bins: then each row looks into its own and both neighbouring bins, of the longest arm's size.
+    ``everywhere`` also across bins: first arms of 2^k to 2^(k+1) bases are kept in bins of that size, and each row looks
+    into the bins around it for arms as long as its own or longer, so a long arm does not widen the bins of short ones.
     """
     better = (F.col("_e") < F.col("energy")) | ((F.col("_e") == F.col("energy")) & (F.col("_k") < F.col(key)))
     if not everywhere:
         lost = _pairs(df, identity, key, size).filter(better).select(key).distinct()
         return df.join(lost, key, "left_anti")
-    wide = df.agg(F.max(F.col("f_last") - F.col("f_first") + 1)).first()[0] or 1
-    wide = max(int(wide), size)
-    a = df.withColumn("_bin", F.explode(F.array(*((F.floor(F.col("f_first") / wide) + d) for d in (-1, 0, 1)))))
-    b = df.select(F.col("seqname").alias("_s"), F.col(key).alias("_k"), F.col("energy").alias("_e"), *(F.col(c).alias(f"_{c}") for c in ("f_first", "f_last", "l_first", "l_last"))).withColumn("_b", F.floor(F.col("_f_first") / wide))
+    level = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double"))).cast("int")
+    arm = F.col("f_last") - F.col("f_first") + 1
+    top = df.agg(F.max(level(arm))).first()[0] or 0
+    cols = ("f_first", "f_last", "l_first", "l_last")
+    bin_ = lambda first, k: F.floor(F.col(first) / F.pow(F.lit(2.0), F.col(k) + 1)).cast("long")
+    a = df.select("seqname", key, "energy", *cols, F.explode(F.sequence(level(arm), F.lit(top))).alias("_level"))
+    a = a.withColumn("_bin", F.explode(F.array(*((bin_("f_first", "_level") + d) for d in (-1, 0, 1)))))
+    b = df.select(F.col("seqname").alias("_s"), F.col(key).alias("_k"), F.col("energy").alias("_e"), *(F.col(c).alias(f"_{c}") for c in cols), level(arm).alias("_l")).withColumn("_b", bin_("_f_first", "_l"))
     near = (reciprocal(F.col("f_first"), F.col("f_last"), F.col("_f_first"), F.col("_f_last")) >= identity) & (reciprocal(F.col("l_first"), F.col("l_last"), F.col("_l_first"), F.col("_l_last")) >= identity)
-    lost = a.join(b, (a["seqname"] == b["_s"]) & (a["_bin"] == b["_b"]) & (a[key] != b["_k"]) & near & better).select(key).distinct()
+    met = a.join(b, (a["seqname"] == b["_s"]) & (a["_level"] == b["_l"]) & (a["_bin"] == b["_b"]) & (a[key] != b["_k"]) & near)
+    # of the two, the worse one goes
+    lost = met.select(F.when(better, F.col(key)).otherwise(F.col("_k")).alias(key)).distinct()
     return df.join(lost, key, "left_anti")
 
 
 def collect(df: DataFrame, minlength: int, minenergy: float, lo: int = 1, hi: int | None = None) -> DataFrame:
-    """Duplexes of at least ``minlength`` pairs, at most ``minenergy``, whose arms begin lo..hi apart; with the distance, in order."""
+    """Duplexes of at least ``minlength`` pairs, at most ``minenergy``, whose arms begin lo..hi apart; with the distance, in order of sequence, bin and arms."""
     gap = F.col("l_first") - F.col("f_first")
     keep = (F.col("n_pairs") >= minlength) & (F.col("energy") <= minenergy) & (gap >= lo)
     if hi is not None:
         keep &= gap <= hi
-    return df.filter(keep).withColumn("distance", gap - 1)
+    return df.filter(keep).withColumn("distance", gap - 1).orderBy("seqname", F.floor(F.col("f_first") / 50), "f_first", "f_last", "l_first", "l_last")
 
 
 def best(df: DataFrame, name: str = "seqname", key: str = "key", default: float = 0.0) -> DataFrame:

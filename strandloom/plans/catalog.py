@@ -114,7 +114,7 @@ def dinuc_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- alignments -------------------------------------------------------------------------------------------------------
 
-ALN_LONG = f"""{I.ALN}, long AS (SELECT conv_id, chr, pos, 'a' AS name, 0 AS rnk, ref AS seq FROM aln UNION ALL SELECT conv_id, chr, pos, 'b', 1, s1 FROM aln UNION ALL SELECT conv_id, chr, pos, 'c', 2, s2 FROM aln WHERE s2 IS NOT NULL)"""
+ALN_LONG = f"""{I.ALN}, long AS (SELECT blk, chr, pos, 'a' AS name, 0 AS rnk, ref AS seq FROM aln UNION ALL SELECT blk, chr, pos, 'b', 1, s1 FROM aln WHERE s1 IS NOT NULL UNION ALL SELECT blk, chr, pos, 'c', 2, s2 FROM aln WHERE s2 IS NOT NULL)"""
 CUT = "array_to_string(list_transform(list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> '-'), lambda i: substr(seq, i, 1)), '')"
 
 
@@ -124,17 +124,17 @@ def maf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maf.parse(I.maf_text(spark, sf_dir)).select(F.explode("species").alias("s")).select("s.chr", "s.position", "s.name", "s.strand", "s.seq")
 
 
-@query(f"WITH {ALN_LONG} SELECT l.chr, l.pos AS position, name, {CUT} AS seq FROM long l JOIN aln USING (conv_id) WHERE size >= 18")
+@query(f"WITH {ALN_LONG} SELECT l.chr, l.pos AS position, name, {CUT} AS seq FROM long l JOIN aln USING (blk) WHERE size >= 18")
 def degap(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir), minlength=18))
     return blocks.select(F.explode("species").alias("s")).select("s.chr", "s.position", "s.name", "s.seq")
 
 
-@query(f"""WITH {ALN_LONG}, cut AS (SELECT l.conv_id, l.chr, l.pos, name, rnk, {CUT} AS seq, size FROM long l JOIN aln USING (conv_id)),
-flag AS (SELECT conv_id, chr, pos, size, CASE WHEN lag(pos + size) OVER (PARTITION BY chr ORDER BY pos) = pos THEN 0 ELSE 1 END AS f FROM aln),
+@query(f"""WITH {ALN_LONG}, used AS (SELECT * FROM aln WHERE s1 IS NOT NULL OR s2 IS NOT NULL), cut AS (SELECT l.blk, l.chr, l.pos, name, rnk, {CUT} AS seq, size FROM long l JOIN used USING (blk)),
+flag AS (SELECT blk, chr, pos, size, CASE WHEN lag(pos + size) OVER (PARTITION BY chr ORDER BY pos) = pos THEN 0 ELSE 1 END AS f FROM used),
 isl AS (SELECT *, sum(f) OVER (PARTITION BY chr ORDER BY pos) AS island FROM flag),
-have AS (SELECT DISTINCT i.chr, island, name FROM isl i JOIN cut c USING (conv_id)),
-full_ AS (SELECT i.chr, i.island, i.pos, h.name, coalesce(c.seq, repeat('-', i.size)) AS seq FROM isl i JOIN have h ON h.chr = i.chr AND h.island = i.island LEFT JOIN cut c ON c.conv_id = i.conv_id AND c.name = h.name),
+have AS (SELECT DISTINCT i.chr, island, name FROM isl i JOIN cut c USING (blk)),
+full_ AS (SELECT i.chr, i.island, i.pos, h.name, coalesce(c.seq, repeat('-', i.size)) AS seq FROM isl i JOIN have h ON h.chr = i.chr AND h.island = i.island LEFT JOIN cut c ON c.blk = i.blk AND c.name = h.name),
 m AS (SELECT chr, island, name, min(pos) AS position, string_agg(seq, '' ORDER BY pos) AS seq FROM full_ GROUP BY chr, island, name)
 SELECT chr, position, name, seq FROM m WHERE length(seq) > 18""")
 def maf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def maf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maf.merge_adjacent(blocks, I.LEAVES).select("chr", "position", F.explode("species").alias("s")).select("chr", "position", "s.name", "s.seq")
 
 
-@query(f"WITH {I.ALN} SELECT chr, pos AS position, ref AS a, s1 AS b, coalesce(s2, repeat('-', length(ref))) AS c FROM aln")
+@query(f"WITH {I.ALN} SELECT chr, pos AS position, ref AS a, coalesce(s1, repeat('-', length(ref))) AS b, coalesce(s2, repeat('-', length(ref))) AS c FROM aln")
 def species_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = maf.fill_species(maf.parse(I.maf_text(spark, sf_dir)), I.LEAVES)
     ref = F.col("species")[0]
@@ -160,7 +160,7 @@ def _alignment_duplexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("key", F.substr("ref", F.lit(1), F.col("half")).alias("l"), F.reverse(F.right("ref", F.col("half"))).alias("r"), F.transform("alignment", both).alias("alignment"))
 
 
-HALVES = f"""{I.ALN}, filled AS (SELECT conv_id, chr, pos, ref, s1, coalesce(s2, repeat('-', length(ref))) AS s2 FROM aln),
+HALVES = f"""{I.ALN}, filled AS (SELECT blk, chr, pos, ref, coalesce(s1, repeat('-', length(ref))) AS s1, coalesce(s2, repeat('-', length(ref))) AS s2 FROM aln),
 cols AS (SELECT chr || ':' || pos AS key, list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> '-') AS k, ref, s1, s2 FROM filled),
 cut AS (SELECT key, array_to_string(list_transform(k, lambda i: substr(ref, i, 1)), '') AS a, array_to_string(list_transform(k, lambda i: substr(s1, i, 1)), '') AS b, array_to_string(list_transform(k, lambda i: substr(s2, i, 1)), '') AS c FROM cols),
 cell AS (SELECT key, i, substr(a, i, 1) || substr(b, i, 1) || substr(c, i, 1) AS first, substr(a, length(a) - i + 1, 1) || substr(b, length(a) - i + 1, 1) || substr(c, length(a) - i + 1, 1) AS last
@@ -625,6 +625,15 @@ def duplex_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.join(F.broadcast(mean)).select("n_pairs", "n", "mean_energy", "sd_energy", F.round(p, 6).alias("poisson"))
 
 
+@query(f"""WITH {I.IV}, m AS (SELECT avg(n_pairs) AS mean FROM iv), g AS (SELECT n_pairs, avg(energy) AS mu, stddev_pop(energy) AS sd FROM iv GROUP BY n_pairs)
+SELECT key, round(1e6 * exp(-mean + n_pairs * ln(mean) - lgamma(n_pairs + 1)) * exp(-(energy - mu) * (energy - mu) / (2 * sd * sd)) / (sd * sqrt(2 * pi())), 4) AS density FROM iv JOIN g USING (n_pairs), m WHERE sd > 0""")
+def duplex_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A millionfold of each duplex's density: the Poisson law of its length times the normal law of its energy."""
+    rows = I.duplexes(spark, sf_dir)
+    found = anomaly.duplex_probabilities(rows, anomaly.duplex_law(rows), with_cdf=False)
+    return found.filter("pdf is not null").select("key", F.round(F.col("pdf") * 1e6, 4).alias("density"))
+
+
 @query(f"""WITH {I.IV}, s AS (SELECT *, CASE WHEN energy < 0 THEN greatest(1, least(100, CAST(floor(abs(energy) / 35.0 * 100) AS INTEGER))) ELSE 1 END AS step FROM iv WHERE l_first - f_last <= 100000),
 c AS (SELECT *, CAST(255 - floor((step - 1) * 255 / 99) AS INTEGER) AS fade FROM s)
 SELECT concat_ws(chr(9), seqname, f_first - 1, l_last, 'duplex', CAST(CAST(round(least(1000.0, energy * -250), 2) AS DECIMAL(20,2)) AS VARCHAR), strand, f_first - 1, l_last, concat_ws(',', 255, fade, fade), 2,

@@ -46,32 +46,37 @@ DNA = "dna AS (SELECT * FROM (SELECT doc_id, upper(regexp_replace(text, '[^ACGTa
 
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, chr, pos, size, ref, s1, s2): the first three turns as species a, b, c of one length; every seventh
-    reference column is a gap. Four conversations make a chromosome, the third of them after a hole."""
-    t = table(spark, sf_dir, "conversations").filter("turn < 3").select("conv_id", "turn", codes.dna_only(F.col("text")).alias("s"))
-    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("s")))
-    w = t.groupBy("conv_id").agg(*(at(k).alias(f"s{k}") for k in range(3)))
-    w = w.withColumn("n", F.least(F.length("s0"), F.length("s1"), F.coalesce(F.length("s2"), F.length("s1")))).filter("n >= 14 and s0 is not null and s1 is not null")
-    w = w.select("conv_id", *(F.substr(f"s{k}", F.lit(1), F.col("n")).alias(f"s{k}") for k in range(3))).withColumn("ref", F.regexp_replace("s0", "(.{6}).", "$1-"))
+    """(blk, chr, pos, size, ref, s1, s2): three turns each of a conversation as species a, b, c, every turn in one block.
+
+    Shorter ones are filled up with gaps; every seventh reference column is a gap; a turn without bases, or that there is
+    not, is an absent species, and a block without a reference is none. Four conversations make a chromosome, the third
+    of them after a hole.
+    """
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 3)).alias("blk"), "conv_id", (F.col("turn") % 3).alias("k"), F.nullif(codes.dna_only(F.col("text")), F.lit("")).alias("s"))
+    w = t.groupBy("blk", "conv_id").agg(*(F.max(F.when(F.col("k") == k, F.col("s"))).alias(f"s{k}") for k in range(3))).filter("s0 is not null")
+    w = w.withColumn("ref", F.regexp_replace("s0", "(.{6}).", "$1-"))
+    wide = F.greatest(*(F.coalesce(F.length(c), F.lit(0)) for c in ("ref", "s1", "s2")))
+    fill = lambda c: F.concat(F.col(c), F.repeat(F.lit("-"), F.col("n") - F.length(c))).alias(c)
+    w = w.withColumn("n", wide).select("blk", "conv_id", fill("ref"), fill("s1"), fill("s2"))
     w = w.withColumns({"size": F.length(F.replace("ref", F.lit("-"), F.lit(""))).cast("long"), "chr": F.concat(F.lit("chr"), F.floor(F.col("conv_id") / 4).cast("string"))})
-    order = Window.partitionBy("chr").orderBy("conv_id")
-    return w.withColumn("pos", F.sum("size").over(order) - F.col("size") + F.sum(F.when(F.col("conv_id") % 4 == 2, 1000).otherwise(0)).over(order)).select("conv_id", "chr", "pos", "size", "ref", "s1", "s2")
+    order = Window.partitionBy("chr").orderBy("blk")
+    hole = F.sum(F.when((F.col("conv_id") % 4 == 2) & (F.col("blk") % 1000 == 0), 1000).otherwise(0)).over(order)
+    return w.withColumn("pos", F.sum("size").over(order) - F.col("size") + hole).select("blk", "chr", "pos", "size", "ref", "s1", "s2")
 
 
-ALN = r"""turns AS (SELECT conv_id, turn, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM conversations WHERE turn < 3),
-wide AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN s END) AS s0, max(CASE WHEN turn = 1 THEN s END) AS s1, max(CASE WHEN turn = 2 THEN s END) AS s2 FROM turns GROUP BY conv_id),
-sized AS (SELECT *, least(length(s0), length(s1), coalesce(length(s2), length(s1))) AS n FROM wide WHERE s0 IS NOT NULL AND s1 IS NOT NULL),
-trimmed AS (SELECT conv_id, regexp_replace(substr(s0, 1, n), '(.{6}).', '\1-', 'g') AS ref, substr(s1, 1, n) AS s1, substr(s2, 1, n) AS s2 FROM sized WHERE n >= 14),
-placed AS (SELECT *, length(replace(ref, '-', '')) AS size, 'chr' || (conv_id // 4) AS chr FROM trimmed),
-aln AS (SELECT conv_id, chr, CAST(sum(size) OVER w - size + sum(CASE WHEN conv_id % 4 = 2 THEN 1000 ELSE 0 END) OVER w AS BIGINT) AS pos, CAST(size AS BIGINT) AS size, ref, s1, s2
-  FROM placed WINDOW w AS (PARTITION BY chr ORDER BY conv_id))"""
+ALN = r"""turns AS (SELECT conv_id * 1000 + turn // 3 AS blk, conv_id, turn % 3 AS k, nullif(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), '') AS s FROM conversations),
+wide AS (SELECT blk, conv_id, max(CASE WHEN k = 0 THEN s END) AS s0, max(CASE WHEN k = 1 THEN s END) AS s1, max(CASE WHEN k = 2 THEN s END) AS s2 FROM turns GROUP BY blk, conv_id),
+sized AS (SELECT *, regexp_replace(s0, '(.{6}).', '\1-', 'g') AS r, greatest(length(s0), coalesce(length(s1), 0), coalesce(length(s2), 0))::INTEGER AS n FROM wide WHERE s0 IS NOT NULL),
+placed AS (SELECT blk, conv_id, rpad(r, n, '-') AS ref, rpad(s1, n, '-') AS s1, rpad(s2, n, '-') AS s2, length(replace(r, '-', '')) AS size, 'chr' || (conv_id // 4) AS chr FROM sized),
+aln AS (SELECT blk, chr, CAST(sum(size) OVER w - size + sum(CASE WHEN conv_id % 4 = 2 AND blk % 1000 = 0 THEN 1000 ELSE 0 END) OVER w AS BIGINT) AS pos, CAST(size AS BIGINT) AS size, ref, s1, s2
+  FROM placed WINDOW w AS (PARTITION BY chr ORDER BY blk))"""
 
 
 def maf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value): each alignment as a MAF block; a third species only where there is a third turn."""
+    """(value): each alignment as a MAF block; a species only where there is a turn for it."""
     line = lambda name, seq: F.concat_ws(" ", F.lit("s"), F.concat(F.lit(f"{name}."), F.col("chr")), F.col("pos").cast("string"), F.length(F.replace(seq, F.lit("-"), F.lit(""))).cast("string"), F.lit("+"), F.lit("1000000"), seq)
     head = F.concat(F.lit("a score="), F.col("size").cast("string"))
-    return alignment_rows(spark, sf_dir).select(F.concat_ws("\n", head, line("a", F.col("ref")), line("b", F.col("s1")), F.when(F.col("s2").isNotNull(), line("c", F.col("s2")))).alias("value"))
+    return alignment_rows(spark, sf_dir).select(F.concat_ws("\n", head, line("a", F.col("ref")), *(F.when(F.col(c).isNotNull(), line(x, F.col(c))) for x, c in (("b", "s1"), ("c", "s2")))).alias("value"))
 
 
 def duplexes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,14 @@ def merge_adjacent(blocks: DataFrame, order: Sequence[str], minspecies: int = 2,
     return out.filter(F.length(F.col("species")[0]["seq"]) > minlength).select(F.xxhash64("chr", "position").alias("block_id"), "chr", "position", "species")
 
 
+def same_species(a: Column, b: Column) -> Column:
+    """Whether two species of blocks are the same: name, position, strand and bases, whatever the chromosome."""
+    same = F.lit(True)
+    for f in ("name", "position", "strand", "seq"):
+        same &= a[f].eqNullSafe(b[f])
+    return same
+
+
 def fill_species(blocks: DataFrame, order: Sequence[str]) -> DataFrame:
     """Every block with one sequence for each leaf in ``order``; a missing one is all gaps. Adds ``alignment``, an array of strings."""
     by = F.map_from_entries(F.transform("species", lambda s: F.struct(s["name"], s["seq"])))

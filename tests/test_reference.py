@@ -273,6 +273,62 @@ def test_isolation_forest(spark):
     assert 9000 in {r["id"] for r in out} and len(out) < 0.02 * len(rows)
 
 
+def test_model_is_saved_and_its_threshold_counts_all_members(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(1, 9000)), *map(float, rng.normal(size=5))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, dist double, cons double, deltag double, npairs double, entropy double, covariance double")
+    model = anomaly.train(df, "id", 0.1, sample=300)
+    anomaly.save(model, str(tmp_path / "m"))
+    again = anomaly.load(spark, str(tmp_path / "m"))
+    a, b = (sorted(map(tuple, anomaly.predict(df, "id", m).collect())) for m in (model, again))
+    assert a == b and a
+    x = np.array([r[2:] for r in rows])
+    import pickle
+
+    for r in again.collect():
+        _, lo, hi, _ = anomaly.buckets()[r["bucket"] - 1]
+        own = np.array([lo <= q[1] <= hi for q in rows])
+        s = pickle.loads(bytes(r["forest"])).score(x[own])
+        assert own.sum() == r["n"] and abs((s > r["threshold"]).mean() - 0.1) <= 1.5 / own.sum() + 0.001
+    assert anomaly.predict(df.limit(0), "id", again).count() == 0 and anomaly.train(df.limit(0), "id").count() == 0
+
+
+def test_duplex_probabilities(spark):
+    rows = [(n, float(e)) for n, es in ((2, (-1, -3)), (3, (-2, -4, -6)), (5, (-5,))) for e in es]
+    df = spark.createDataFrame(rows, "n_pairs long, energy double")
+    law = anomaly.duplex_law(df)
+    got = {(r["n_pairs"], r["energy"]): r for r in anomaly.duplex_probabilities(df, law).collect()}
+    rate = sum(n for n, _ in rows) / len(rows)
+    poisson = lambda n: math.exp(-rate) * rate**n / math.factorial(n)
+    normal = lambda e, m, s: math.exp(-((e - m) ** 2) / 2 / s**2) / s / math.sqrt(2 * math.pi)
+    below = lambda e, m, s: (1 + math.erf((e - m) / s / math.sqrt(2))) / 2
+    s3 = math.sqrt(8 / 3)
+    assert got[3, -4.0]["pdf"] == pytest.approx(poisson(3) * normal(-4, -4, s3)) and got[5, -5.0]["pdf"] is None
+    rest = 1 - sum(map(poisson, range(4)))
+    assert got[2, -1.0]["cdf"] == pytest.approx(poisson(2) * below(-1, -2, 1) + poisson(3) * below(-1, -4, s3) + rest)
+
+
+def test_small_functions(spark):
+    d = spark.createDataFrame([("AC-GU", "UGAAA", -1.5)], "l string, r string, e double").select(codes.drawing(F.col("l"), F.col("r"), F.col("e"))).first()[0]
+    assert d.split("\n") == ["      G ", "5' AC  U 3'", "3' UG  A 5'  \u0394G = -1.5", "     AA "]
+    sp = "struct<name:string,chr:string,position:bigint,strand:string,seq:string>"
+    df = spark.createDataFrame([((("a", "x", 1, "+", "AC")), ("a", "y", 1, "+", "AC")), (("a", "x", 1, "+", "AC"), ("a", "x", 1, "-", "AC"))], f"p {sp}, q {sp}")
+    assert [r[0] for r in df.select(maf.same_species(F.col("p"), F.col("q"))).collect()] == [True, False]
+    cols = "key string, seqname string, f_first long, f_last long, l_first long, l_last long, energy double"
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        f, n, g = int(rng.integers(1, 300)), int(rng.choice([3, 5, 9, 40, 200])), int(rng.integers(300, 320))
+        rows.append(_duplex(f"k{i}", (f, f + n - 1), (g, g + n - 1), -float(rng.integers(1, 40))))
+    share = lambda a, b: (min(a[1], b[1]) - max(a[0], b[0]) + 1) / min(a[1] - a[0] + 1, b[1] - b[0] + 1)
+    lost = {a[0] for a in rows for b in rows if a[0] != b[0] and share(a[2:4], b[2:4]) >= 0.9 and share(a[4:6], b[4:6]) >= 0.9 and (b[6], b[0]) < (a[6], a[0])}
+    df = spark.createDataFrame(rows, cols)
+    assert {r["key"] for r in intervals.undominated(df, "key", 0.9, everywhere=True).collect()} == {r[0] for r in rows} - lost and lost
+    got = intervals.collect(df.withColumn("n_pairs", F.col("f_last") - F.col("f_first") + 1), 5, -10.0).collect()
+    order = [(r["f_first"] // 50, r["f_first"], r["f_last"], r["l_first"]) for r in got]
+    assert order == sorted(order) and got
+
+
 def test_pipeline(spark, tmp_path):
     comp = str.maketrans("ACGT", "TGCA")
     rng = np.random.default_rng(7)
