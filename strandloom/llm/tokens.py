@@ -26,7 +26,7 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 class Memory:
     """The ids of chunks: numbers of chunks by their text, and the ids of all, one after another."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.reset()
 
