@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -533,30 +535,26 @@ def fold_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.helices_of(pairs, ["conv_id", "ta", "tb"], other="other", below=-3.0).withColumn("energy", F.round("energy", 4))
 
 
-def _benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), codes.rna(codes.dna_only(F.col("text"))).alias("seq")).filter(F.length("seq") >= 8)
-
-
-#: One bulged base or two, two mismatches, and arms of up to 20 bases.
-FOLD = folding.FoldOptions(depth=20, bulge_max=2, mismatch_max=2, minfold=-1.0)
+#: Up to three bulged bases in a row on one arm, up to three mismatches in a row, arms of up to 50 bases.
+FOLD = folding.FoldOptions(minfold=-1.0)
 
 
 @query()
 def fold_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every duplex of the benchmark items' sequences, with bulges and mismatches."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir), FOLD)
+    """Every duplex of each turn's sequence, with bulges and mismatches."""
+    return folding.fold(I.sequences(spark, sf_dir), FOLD)
 
 
 @query()
 def fold_bulge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every duplex of the benchmark items' sequences with at most a bulge of up to three bases and no mismatch."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir), folding.FoldOptions(depth=20, bulge_max=3, mismatch_max=0, minfold=-1.0))
+    """Every duplex of each turn's sequence with at most a bulge of up to three bases and no mismatch."""
+    return folding.fold(I.sequences(spark, sf_dir), replace(FOLD, mismatch_max=0))
 
 
 @query()
 def fold_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every duplex of the benchmark items' sequences with at most three mismatches in a row and no bulge."""
-    return folding.fold(_benchmark_sequences(spark, sf_dir), folding.FoldOptions(depth=20, bulge_max=0, mismatch_max=3, minfold=-1.0))
+    """Every duplex of each turn's sequence with at most three mismatches in a row and no bulge."""
+    return folding.fold(I.sequences(spark, sf_dir), replace(FOLD, bulge_max=0))
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:

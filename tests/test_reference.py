@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import codes
 from strandloom.functions import energy as E
-from strandloom.operators import anomaly, folding, intervals, phylogeny, stitching
+from strandloom.operators import anomaly, folding, intervals, phylogeny, search, stitching
 from strandloom.plans import pipeline
 from strandloom.sources import maf, newick, regions
 from strandloom.streaming import maf_stream
+from tests.walk import traverse as plain_walk
 
 GOLDEN = [("GCACG", "CGUGC", -6.01), ("AGCGCU", "UCGCGA", -7.98), ("CAGACG", "GUAGGC", -1.51), ("CAG----CG", "GUGAAAGGC", 4.69), ("CAGA-CG", "GUGAGGC", 0.89), ("GCCCG", "CGG-C", -2.7867), ("GAACAG", "CU---C", 5.34)]
 SEQ = "AAATGATGCCGCAGGGGGGGGGGTGCGGCAATCATTT".replace("T", "U")
@@ -92,6 +93,50 @@ def test_fold_goldens():
     assert {d[0] for d in short} >= {1, 2, 3, 4, 5}
 
 
+def _odd_sequences():
+    rng = np.random.default_rng(5)
+    for n, letters in ((1, "ACGU"), (2, "GC"), (30, "ACGU"), (45, "ACGUN"), (40, "GU"), (60, "ACGU")):
+        s = "".join(rng.choice(list(letters), n))
+        yield s
+        yield s + "GGGGC" + s[::-1].translate(str.maketrans("ACGU", "UGCA"))
+
+
+def test_search_equals_the_plain_walk():
+    """Texts, places and energies of all duplexes, over options, with odd letters, and between two sequences."""
+    whole = 0
+    for n, s in enumerate(_odd_sequences()):
+        for depth, lo, hi, bulges, mismatches, minfold in ((50, 3, 2000, 3, 3, -1.0), (6, -(10**6), 20, 1, 3, 2.0), (12, 0, 10**9, 2, 0, 0.0), (20, 8, 30, 0, 2, -2.0)):
+            if len(s) > 60 and minfold >= 0:
+                continue
+            o = folding.FoldOptions(depth, lo, hi, bulges, mismatches, minfold)
+            other = "GGACGUUACGNNACCUUGC" if n % 3 == 0 else None
+            got, want = sorted(folding.traverse(s, o, other)), sorted(plain_walk(s, o, other))
+            assert [d[:4] for d in got] == [d[:4] for d in want]
+            assert [d[4] for d in got] == pytest.approx([d[4] for d in want], abs=2e-4)
+            whole += len(got)
+    assert whole > 1000
+
+
+def test_tiles_equal_whole_sequences(spark):
+    """Tiles far smaller than the sequences, odd rows, repeats, clashing columns, two sequences."""
+    rows = [(n, s, s[::-1] or None, "x", "y") for n, s in enumerate([*_odd_sequences(), "", SEQ, SEQ, SEQ * 4])] + [(99, None, SEQ, "x", "y"), (98, SEQ, None, "x", "y")]
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string, other string, l string, ti string")
+    o = folding.FoldOptions(depth=12, hi=60, bulge_max=2, mismatch_max=2, minfold=-3.0)
+    for other in (None, "other"):
+        got = sorted(tuple(r) for r in folding.fold(seqs, o, other=other, size=16).collect())
+        want = sorted((n, *d) for n, s, t, _, _ in rows if s and (t or other is None) for d in folding.traverse(s, o, t if other else None))
+        assert [r[:5] for r in got] == [r[:5] for r in want] and len(got) > 100
+        assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=2e-4)
+    assert folding.fold(seqs.limit(0), o).count() == 0
+
+
+def test_search_in_parts(monkeypatch):
+    whole = sorted(folding.traverse(SEQ, folding.FoldOptions(minfold=0.0)))
+    monkeypatch.setattr(search, "PART", 7)
+    monkeypatch.setattr(search, "FLUSH", 11)
+    assert sorted(folding.traverse(SEQ, folding.FoldOptions(minfold=0.0))) == whole
+
+
 def test_kernel_and_windows_agree(spark):
     """Gap-free: the helices of the DataFrame path are the kernel's maximal ones."""
     seqs = spark.createDataFrame([(1, SEQ), (2, "GGGAAAACCCUUUGGG"), (3, None), (4, "")], "seq_id long, seq string")
@@ -369,5 +414,5 @@ def test_helix_rows_equal_the_window_path(spark):
     b = folding.bases(seqs.filter("seq is not null"))
     want = sorted((r["key_a"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in folding.helices(folding.pair_join(b, b)).collect())
     assert got == want and got
-    small = [np.concatenate(c) for c in zip(*folding._helix_rows(folding._CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], folding._CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], True, 3, 2000, 9.9, block=300), strict=True)]
+    small = [np.concatenate(c) for c in zip(*folding._helix_rows(search.CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], search.CODE[np.frombuffer(rows[4][1].encode(), np.uint8)], True, 3, 2000, 9.9, block=300), strict=True)]
     assert len(small[0]) == sum(r[0] == 4 for r in want)
