@@ -545,13 +545,50 @@ def fold_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.fold(I.sequences(spark, sf_dir), FOLD)
 
 
-@query()
+# Stretches of pairs: every cell of a sequence with its island on the anti-diagonal, the stacks summed up to it, and the next cell.
+STRETCHES = f"""{I.SEQ}, {STACKS}, bases AS (SELECT seq_id, pos, substr(seq, pos, 1) AS b FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS pos FROM seqs)),
+cells AS (SELECT x.seq_id, x.pos AS i, y.pos AS k, x.b || y.b AS pair FROM bases x JOIN bases y ON x.seq_id = y.seq_id WHERE x.b || y.b IN {PAIR_LIST}),
+marked AS (SELECT *, i + k AS d, i - row_number() OVER w AS island, lag(i) OVER w AS before_i, lag(pair) OVER w AS before, lead(i) OVER w AS next_i FROM cells WINDOW w AS (PARTITION BY seq_id, i + k ORDER BY i)),
+c AS (SELECT m.*, sum(CASE WHEN before_i = i - 1 THEN e ELSE 0 END) OVER (PARTITION BY seq_id, d, island ORDER BY i) AS s, CASE WHEN pair IN {WEAK} THEN 0.45e0 ELSE 0 END AS weak FROM marked m LEFT JOIN stacks ON p = before AND q = pair),
+firsts AS (SELECT a.seq_id, a.i AS i0, a.k AS k0, z.i, z.k, z.d, z.next_i, z.pair AS p, z.weak, z.i - a.i + 1 AS h, a.weak + z.s - a.s AS now FROM c a JOIN c z USING (seq_id, d, island) WHERE z.i BETWEEN a.i AND a.i + 49 AND z.k - a.i - 1 >= 3)"""
+
+
+def stretched(closed: str) -> str:
+    """The duplexes of a first stretch, and of those that a second one follows behind the loops of ``closed``."""
+    return f"""found AS (SELECT seq_id, i0, k0, i, k, repeat('', 0) AS x, repeat('', 0) AS y, h AS h1, 0 AS h2, now + weak AS e FROM firsts
+UNION ALL SELECT seq_id, i0, k0, z.i, z.k, x, y, h, z.i - t.i + 1, t.now + z.s - t.s + z.weak FROM {closed} t JOIN c z USING (seq_id, d, island) WHERE z.i >= t.i AND z.i - i0 < 50 AND k0 - z.k < 50 AND z.k - i0 - 1 >= 3),
+texts AS (SELECT f.*, substr(seq, i0, h1) || x || substr(seq, i - h2 + 1, h2) AS l, reverse(substr(seq, k0 - h1 + 1, h1)) || y || reverse(substr(seq, k, h2)) AS r FROM found f JOIN seqs USING (seq_id) WHERE e + 4.09 < -0.99 AND k - i0 - 1 <= 2000),
+whole AS (SELECT *, length(l) // 2 AS half, e + 4.09 + CASE WHEN substr(l, 1, length(l) // 2) = substr(reverse(r), 1, length(l) // 2) AND substr(r, 1, length(l) // 2) = substr(reverse(l), 1, length(l) // 2) THEN 0.43 ELSE 0 END AS g FROM texts)
+SELECT seq_id, i0::INTEGER AS i, k0::INTEGER AS k, l, r, energy FROM (SELECT *, round(g, CAST(4 - floor(log10(abs(g))) AS INTEGER)) AS energy FROM whole WHERE g < -0.99) WHERE energy < -1.0"""
+
+
+BULGE_SQL = f"""WITH {STRETCHES}, runs AS (SELECT f.*, seq, n, side, substr(seq, i0, h) AS l1, substr(seq, f.k, h) AS r1, f.i + 1 + n * (side = 1)::INT AS ti, f.k - 1 - n * (side = 2)::INT AS tk,
+  CASE WHEN side = 1 THEN substr(seq, f.i + 1, n) ELSE reverse(substr(seq, greatest(f.k - n, 1), n)) END AS run FROM firsts f JOIN seqs USING (seq_id), (VALUES (1), (2), (3)) v(n), (VALUES (1), (2)) u(side) WHERE now < 0.01),
+met AS (SELECT r.*, t.pair AS q, t.d AS td, t.island, t.s, t.weak AS t_weak, CASE WHEN side = 1 THEN length(l1) - length(rtrim(l1, run)) ELSE length(r1) - length(ltrim(r1, run)) END AS before FROM runs r JOIN c t ON t.seq_id = r.seq_id AND t.i = ti AND t.k = tk),
+closed AS (SELECT seq_id, i0, k0, ti AS i, td AS d, island, s, h, CASE WHEN side = 1 THEN run ELSE repeat('-', n) END AS x, CASE WHEN side = 1 THEN repeat('-', n) ELSE run END AS y,
+  now - CASE WHEN run[1] = 'C' AND m.p = CASE side WHEN 1 THEN 'CG' ELSE 'GC' END OR run[-1] = 'C' AND m.q = CASE side WHEN 1 THEN 'CG' ELSE 'GC' END THEN 0.9 ELSE 0 END
+  + CASE n WHEN 1 THEN 3.8 + e - 0.616 * ln(1 + before + (q[side] = run)::INT) WHEN 2 THEN 2.8 + weak + t_weak ELSE 3.2 + weak + t_weak END AS now FROM met m JOIN stacks USING (p, q)),
+{stretched("closed")}"""
+
+MISMATCH_SQL = f"""WITH {STRETCHES}, {SMALL},
+pairs2(p, f, l, q, e) AS (SELECT a.p, a.m, reverse(b.m), reverse(b.p), coalesce(m.e, trunc(round(10 * (a.e + b.e + 2 * CASE WHEN a.m = 'GG' AND reverse(b.m) IN ('AA', 'AC', 'CA', 'CC', 'CU', 'UC') OR b.m = 'GG' AND a.m IN ('AA', 'AC', 'CA', 'CC', 'CU', 'UC') THEN -1.3
+  WHEN a.m IN ('AG', 'GA') AND b.m IN ('CC', 'CU', 'UC') OR b.m IN ('AG', 'GA') AND a.m IN ('CC', 'CU', 'UC') OR a.m || b.m IN ('AAUU', 'UUAA') THEN 0.6 ELSE 0 END)) / 2e0) / 10)
+  FROM tandem a CROSS JOIN tandem b LEFT JOIN quad m ON m.p = a.p AND m.q = reverse(b.p) AND m.m = a.m AND m.n = reverse(b.m)),
+met AS (SELECT f.*, f.next_i - f.i - 1 AS n, t.i AS ti, t.pair AS q, t.island, t.s, t.weak AS t_weak, substr(seq, f.i + 1, f.next_i - f.i - 1) AS x, reverse(substr(seq, t.k + 1, f.next_i - f.i - 1)) AS y
+  FROM firsts f JOIN seqs USING (seq_id) JOIN c t ON t.seq_id = f.seq_id AND t.d = f.d AND t.i = f.next_i WHERE now < 0.01 AND f.next_i - f.i BETWEEN 2 AND 4),
+closed AS (SELECT seq_id, i0, k0, ti AS i, d, island, s, h, x, y, now + CASE n WHEN 1 THEN coalesce(o.e, CASE WHEN x || y = 'GG' THEN -2.1 ELSE 0.5 END + 0.7 * ((weak > 0)::INT + (t_weak > 0)::INT))
+  WHEN 2 THEN w.e ELSE 2.0 + 0.7 * ((weak > 0)::INT + (t_weak > 0)::INT) END AS now
+  FROM met m LEFT JOIN single o ON o.p = m.p AND o.q = m.q AND o.m = x || y LEFT JOIN pairs2 w ON w.p = m.p AND w.q = m.q AND w.f = x[1] || y[1] AND w.l = x[2] || y[2]),
+{stretched("closed")}"""
+
+
+@query(BULGE_SQL)
 def fold_bulge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every duplex of each turn's sequence with at most a bulge of up to three bases and no mismatch."""
     return folding.fold(I.sequences(spark, sf_dir), replace(FOLD, mismatch_max=0))
 
 
-@query()
+@query(MISMATCH_SQL)
 def fold_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every duplex of each turn's sequence with at most three mismatches in a row and no bulge."""
     return folding.fold(I.sequences(spark, sf_dir), replace(FOLD, bulge_max=0))
