@@ -93,6 +93,25 @@ def test_fold_goldens():
     assert {d[0] for d in short} >= {1, 2, 3, 4, 5}
 
 
+def test_fold_and_stitch_counts(spark):
+    """Undominated duplexes of the golden sequence by count and place: none, one, five that stitch into one."""
+    seqs = spark.createDataFrame([(1, SEQ)], "seq_id long, seq string")
+
+    def best(d):
+        d = d.withColumns({"key": F.concat_ws("|", "f_first", "l_last", "l", "r"), "n_pairs": codes.count_kind(F.col("l"), F.col("r"), "pair")})
+        return intervals.undominated(d, "key")
+
+    def fold(depth, bulges, lo, hi, minfold):
+        return best(folding.arms(folding.fold(seqs, folding.FoldOptions(depth, lo, hi, bulges, 0, minfold))).withColumn("strand", F.lit("+")))
+
+    place = lambda d: [tuple(r) for r in d.select("f_first", "f_last", "l_first", "l_last").orderBy("f_first").collect()]
+    assert place(fold(25, 0, 10, 50, -15.0)) == []
+    assert place(fold(25, 1, 10, 50, -15.0)) == [(1, 13, 24, len(SEQ))]
+    five = fold(10, 1, 3, 10**9, -6.0)
+    assert [p[0] for p in place(five)] == [1, 2, 3, 4, 5]
+    assert place(best(stitching.stitch_all(five))) == [(1, 13, 24, len(SEQ))]
+
+
 def _odd_sequences():
     rng = np.random.default_rng(5)
     for n, letters in ((1, "ACGU"), (2, "GC"), (30, "ACGU"), (45, "ACGUN"), (40, "GU"), (60, "ACGU")):
