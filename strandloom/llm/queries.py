@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontaminate, language, neardup, parsing, pieces, quality, sharding, substrings, urls, wavelet
+from strandloom.llm import decontaminate, language, neardup, parsing, pieces, quality, sharding, substrings, urls, variants, wavelet
 from strandloom.session import ship, table
 
 
@@ -55,6 +55,10 @@ def op10_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES = {
         op8_wavelet_matrix,
         op9_nearest_centroids,
         op10_url_models,
+        op11_spelling_variants,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -92,5 +97,22 @@ each AS (SELECT doc_id, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(range
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS k, count(*) AS n FROM each e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = e.doc_id AND g.pos = e.pos) GROUP BY doc_id)
 SELECT words.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)"""
 
+#: The checksum is taken byte by byte, by a table made from its polynomial.
+VARIANTS_SQL = r"""WITH RECURSIVE crc_step(v, c, k) AS (SELECT x, x, 0 FROM range(0, 256) t(x) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY v) AS t FROM crc_step WHERE k = 8),
+runs AS (SELECT doc_id, r, count(*) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL),
+raw AS (SELECT doc_id, r, m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs),
+summed AS (SELECT r, m, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) AS h FROM raw, crc_table),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, m FROM summed),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+outs AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM outs a JOIN outs b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM outs a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM outs a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain(word, place) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.place WHERE form IS NOT NULL),
+ends AS (SELECT chain.word, place AS root FROM chain JOIN forms ON forms.word = place WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
 #: The others depend on hashes, models or alignments; tests hold them against plain Python, round trips or held-out labels.
-ORACLE: dict[str, str] = {"op3_minhash_near_dedup": NEAR_DEDUP_SQL, "op4_repeated_phrase_automata": SUBSTRINGS_SQL}
+ORACLE: dict[str, str] = {"op3_minhash_near_dedup": NEAR_DEDUP_SQL, "op4_repeated_phrase_automata": SUBSTRINGS_SQL, "op11_spelling_variants": VARIANTS_SQL}

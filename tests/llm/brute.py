@@ -1,7 +1,8 @@
 """Plain Python versions of the operators, for small tables."""
 
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UP = {i: i + 32 for i in range(65, 91)}
@@ -57,3 +58,36 @@ def substring_dedup(rows, n=13):
                 gone[p : p + n] = [True] * n
         out[i] = (len(w), sum(gone), [x for x, g in zip(w, gone) if not g])
     return out
+
+
+def spelling(rows, least=7, times=2, drop=31):
+    """word: (form, root, n, n_near, form_n)."""
+    count = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", (t or "").translate(UP)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % drop == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                count[run] += 1
+    count = {w: n for w, n in count.items() if n >= times}
+    near = {w: set() for w in count}
+    holes = defaultdict(set)
+    for w in count:
+        for k in range(len(w)):
+            holes[w[:k], w[k + 1 :]].add(w)
+            if (v := w[:k] + w[k + 1 :]) in count:
+                near[w].add(v)
+                near[v].add(w)
+    for g in holes.values():
+        for a in g:
+            near[a] |= g - {a}
+    form = {w: min(near[w], key=lambda x: (-count[x], x), default=None) for w in count}
+    form = {w: f if f and count[f] >= 10 * count[w] else None for w, f in form.items()}
+    out = {}
+    for w, n in count.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, n, len(near[w]), count[form[w]] if form[w] else None)
+    return out
