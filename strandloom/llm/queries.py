@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontaminate, language, neardup, parsing, pieces, quality, sharding, substrings, urls, variants, wavelet
+from strandloom.llm import decontaminate, language, licences, neardup, parsing, pieces, quality, sharding, substrings, urls, variants, vectors, wavelet
 from strandloom.session import ship, table
 
 
@@ -59,6 +59,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_labels(table(spark, sf_dir, "documents"))
+
+
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +81,8 @@ QUERIES = {
         op9_nearest_centroids,
         op10_url_models,
         op11_spelling_variants,
+        op12_licence_index,
+        op13_gnat_codes,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -114,5 +124,44 @@ chain(word, place) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word,
 ends AS (SELECT chain.word, place AS root FROM chain JOIN forms ON forms.word = place WHERE form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
 
+_rows = lambda rows: ", ".join(str(r) if len(r) > 1 else f"('{r[0]}')" for r in rows)
+LICENCE_SQL = f"""WITH template(t, label, body) AS (VALUES {_rows((t, x.label, x.text) for t, x in enumerate(licences.TEMPLATES))}),
+keys(t, phrase) AS (VALUES {_rows((t, k) for t, x in enumerate(licences.TEMPLATES) for k in x.keys)}),
+phrases(phrase, label) AS (VALUES {_rows(licences.PHRASES)}),
+files AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spots AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM files)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM spots GROUP BY word),
+parts AS (SELECT t, i, string_split(body, ' ')[i + 1] AS word FROM (SELECT t, body, unnest(range(0, len(string_split(body, ' ')))) AS i FROM template)),
+ranked AS (SELECT t, word, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS k FROM (SELECT DISTINCT t, word FROM parts) LEFT JOIN df USING (word)),
+idx AS (SELECT t, word, ln(((SELECT count(*) FROM files) + 1) / (n + 0.5e0)) AS weight FROM ranked WHERE k <= 6),
+total AS (SELECT t, count(*) AS n, sum(weight) AS weight FROM idx GROUP BY t),
+must AS (SELECT t, string_split(phrase, ' ') AS words, (SELECT min(i) FROM (SELECT i, list_slice(string_split(body, ' '), i + 1, i + len(string_split(phrase, ' '))) = string_split(phrase, ' ') AS ok FROM (SELECT body, unnest(range(0, len(string_split(body, ' ')))) AS i)) WHERE ok) AS place FROM keys JOIN template USING (t)),
+votes AS (SELECT DISTINCT s.doc_id, p.t, s.i - p.i AS start, s.word FROM spots s JOIN parts p USING (word) JOIN idx ON idx.t = p.t AND idx.word = s.word JOIN files f ON f.doc_id = s.doc_id
+  WHERE s.i >= p.i AND (SELECT bool_and(list_slice(f.w, s.i - p.i + m.place + 1, s.i - p.i + m.place + len(m.words)) = m.words) FROM must m WHERE m.t = p.t)),
+found AS (SELECT doc_id, t, start, sum(weight) AS weight, count(*) AS n FROM votes JOIN idx USING (t, word) GROUP BY doc_id, t, start),
+more AS (SELECT doc_id, label, found.weight / total.weight AS share FROM found JOIN total USING (t) JOIN template USING (t) WHERE found.n >= least(2, total.n)),
+base AS (SELECT s.doc_id, s.i, label FROM spots s JOIN phrases ON string_split(phrase, ' ')[1] = s.word JOIN files f ON f.doc_id = s.doc_id WHERE list_slice(w, i + 1, i + len(string_split(phrase, ' '))) = string_split(phrase, ' ')),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM more) GROUP BY doc_id),
+s AS (SELECT doc_id, max(share) AS share FROM more GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+round(greatest(coalesce(share, 0e0), CASE WHEN n_base > 0 THEN 0.5e0 ELSE 0e0 END), 6) AS score FROM files LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+CODES_SQL = """WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id AS id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM (SELECT vec_id, v, unnest(range(0, 16)) AS p FROM kept)),
+firsts AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64),
+b0 AS (SELECT p, e, v FROM parts JOIN firsts USING (id)),
+a0 AS (SELECT id, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.id, x.p, x.v, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN b0 b ON b.p = x.p) GROUP BY id, p, v),
+m0 AS (SELECT p, e, k, CAST(floor(sum(v[k]) / count(*)) AS BIGINT) AS c FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS k FROM a0) GROUP BY p, e, k),
+b1 AS (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b0 b LEFT JOIN (SELECT p, e, list(c ORDER BY k) AS v FROM m0 GROUP BY p, e) n USING (p, e)),
+a1 AS (SELECT id, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.id, x.p, x.v, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN b1 b ON b.p = x.p) GROUP BY id, p, v),
+m1 AS (SELECT p, e, k, CAST(floor(sum(v[k]) / count(*)) AS BIGINT) AS c FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS k FROM a1) GROUP BY p, e, k),
+b2 AS (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b1 b LEFT JOIN (SELECT p, e, list(c ORDER BY k) AS v FROM m1 GROUP BY p, e) n USING (p, e)),
+a2 AS (SELECT id, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.id, x.p, x.v, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN b2 b ON b.p = x.p) GROUP BY id, p, v),
+each AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY id),
+whole AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, k)) AS h FROM (SELECT p, e, v[k] AS c, k FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS k FROM b2)))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN each ON id = vec_id CROSS JOIN whole"""
+
 #: The others depend on hashes, models or alignments; tests hold them against plain Python, round trips or held-out labels.
-ORACLE: dict[str, str] = {"op3_minhash_near_dedup": NEAR_DEDUP_SQL, "op4_repeated_phrase_automata": SUBSTRINGS_SQL, "op11_spelling_variants": VARIANTS_SQL}
+ORACLE: dict[str, str] = {"op3_minhash_near_dedup": NEAR_DEDUP_SQL, "op4_repeated_phrase_automata": SUBSTRINGS_SQL, "op11_spelling_variants": VARIANTS_SQL, "op12_licence_index": LICENCE_SQL, "op13_gnat_codes": CODES_SQL}

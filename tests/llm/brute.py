@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small tables."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -91,3 +92,34 @@ def spelling(rows, least=7, times=2, drop=31):
             root = form[root]
         out[w] = (form[w], root, n, len(near[w]), count[form[w]] if form[w] else None)
     return out
+
+
+def vector_codes(rows, parts=16, size=64, rounds=2):
+    """rows: (vec_id, vector or None, label) -> sorted (vec_id, code, error, label_error), and the codebooks."""
+    kept = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted((i, v) for i, v, _ in kept if i is not None)[:size]
+    if not first:
+        return [], []
+    kept = [r for r in kept if len(r[1]) == len(first[0][1])]
+    width = len(first[0][1]) // parts
+    part = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[part(v, p) for _, v in first] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            members = defaultdict(list)
+            for _, v, _ in kept:
+                members[near(part(v, p), book)[1]].append(part(v, p))
+            books[p] = [[sum(c) // len(members[k]) for c in zip(*members[k], strict=True)] if k in members else e for k, e in enumerate(book)]
+    coded = [(i, label, [near(part(v, p), book) for p, book in enumerate(books)]) for i, v, label in kept]
+    by = Counter()
+    for _, label, found in coded:
+        by[label] += sum(d for d, _ in found)
+    return sorted(((i, "".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f), by[label]) for i, label, f in coded), key=str), books
+
+
+def phrase_places(text, phrases):
+    """(words, places of all phrases, labels)."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
+    at = [(i, label) for phrase, label in phrases for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return words, sorted(i for i, _ in at), {label for _, label in at}
