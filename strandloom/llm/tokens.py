@@ -32,6 +32,7 @@ class Memory:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.odd: set[str] = set()  # chunks that ``encode`` has put here
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -52,6 +53,7 @@ class Memory:
         """(ids, offsets of texts in ids). Chunk j has the bytes cuts[j]:cuts[j + 1]; text i has chunks ptr[i]:ptr[i + 1]."""
         n = len(cuts) - 1
         if n <= 0:
+            self.last = np.zeros(0, np.int64)
             return np.zeros(0, np.uint32), np.zeros(len(ptr), np.int64)
         words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         names = words.dictionary.to_pylist()
@@ -63,12 +65,21 @@ class Memory:
         for i in range(0, len(new), 50_000):
             self.add([names[j] for j in new[i : i + 50_000].tolist()])
         own = own[words.indices.to_numpy()]
+        self.last = own
         size = self.size[own]
         ends = np.cumsum(size)
         at = np.repeat(self.start[own] - (ends - size), size) + np.arange(ends[-1])
         return self.flat[at], np.concatenate([[0], ends])[ptr]
 
 
+    def with_odd(self, ptr: np.ndarray) -> np.ndarray:
+        """Which texts of the last call have an odd chunk. ptr: text i had its chunks ptr[i]:ptr[i + 1]."""
+        if not self.odd or not len(self.last):
+            return np.zeros(len(ptr) - 1, bool)
+        n = np.concatenate([[0], np.cumsum(np.isin(self.last, [self.number[c] for c in self.odd]))])[ptr]
+        return n[1:] > n[:-1]
+
+
 def per_worker(key, make: Callable, threads: bool = False):
     """What ``make`` gives, made once in each Python worker and kept until a task of another operator begins there.
 
