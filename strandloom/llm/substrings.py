@@ -35,8 +35,8 @@ from strandloom.llm import words as W
 from strandloom.session import cut, ship
 
 ANCHOR = 5
-#: Windows in a stretch; rows that an anchor may send before it is cut; bytes of a shard's words.
-LONG, HOT, SHARD = 64, 1024, 1 << 20
+#: Windows in a stretch; rows that an anchor may send before it is cut; bytes of a shard's words and places.
+LONG, HOT, SHARD = 64, 1024, 3 << 19
 #: Least and most bits of the filter of shared anchors (32 MB).
 FILTER = (1 << 20, 1 << 28)
 #: Where a stretch stands: the row's document and hash, and its first word's number there.
@@ -239,7 +239,7 @@ def _located(n: int):
         for b in batches:
             key = b.column(0).to_numpy()
             heads = np.flatnonzero(np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])) if len(key) else []
-            more = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) if len(key) else []
+            more = np.cumsum(weight(b)) if len(key) else []
             at = 0
             for k in heads:
                 before = int(more[k - 1]) if k else 0
@@ -255,13 +255,18 @@ def _located(n: int):
                     whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     yield given([whole])
                     keep = _firsts(whole, last)
-                    held, size = [keep], int(pc.sum(pc.binary_length(keep.column(2))).as_py())
+                    held, size = [keep], int(weight(keep).sum())
         if held:
             yield given(held)
 
     return run
 
 
+def weight(b: pa.RecordBatch) -> np.ndarray:
+    """The bytes of each row's words and places."""
+    return sum(pc.binary_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+
+
 def _firsts(b: pa.RecordBatch, key: int) -> pa.RecordBatch:
     """The first row of each different stretch of a key; b is in order of (key, least)."""
     b = b.filter(pa.array(b.column(0).to_numpy() == key))

@@ -1,11 +1,15 @@
 import hashlib
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from strandloom.llm import licences, variants, vectors
+from strandloom.llm import licences, pieces, substrings, variants, vectors
+from strandloom.llm import words as W
 from tests.llm import brute
 from tests.llm.test_operators import ROWS, documents, odd
 
@@ -121,3 +125,45 @@ def test_vector_codes(spark):
     assert coded(spark, few)[0] == brute.vector_codes(few)[0]
     assert coded(spark, [(1, None, 1), (2, [nan] * 16, 1)]) == ([], set())
     assert vectors.vector_codes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_parity_of_a_differing_chunk_anywhere(monkeypatch):
+    """Told for a first, middle, last and only word, in any batch after the one that met it; not for a word that holds it."""
+    codec = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    whole = codec.peer.encode
+
+    def other(given, **options):
+        found = whole(given, **options)
+        return [[*ids, 0] if text.strip() == "zyx" else ids for text, ids in zip(given, found, strict=True)] if isinstance(given, list) else found
+
+    codec.peer = SimpleNamespace(encode=other)
+    texts = ["zyx abc", "abc zyx", "abc zyx abc", "zyx", "abc", "", "azyx zyxa", "abc abc"]
+    for _ in range(2):
+        codec.encode(*W.text_arrays(pa.array(texts)))
+        assert codec.same.tolist() == [False, False, False, False, True, True, True, True]
+    codec.encode(*W.text_arrays(pa.array(["abc", "azyx"])))
+    assert codec.same.tolist() == [True, True]
+    codec.memory.reset()
+    codec.encode(*W.text_arrays(pa.array(["abc", "zyx azyx"])))
+    assert codec.same.tolist() == [True, False]
+
+
+def test_places_of_a_hot_window_are_bounded():
+    """A window in very many batches with many places each: output begins long before the input ends."""
+    words = " ".join(f"w{i}" for i in range(13)).encode()
+    read = 0
+
+    def batches():
+        nonlocal read
+        for k in range(4000):
+            place = np.zeros(500, substrings.PLACE)
+            place["doc"] = np.arange(500) + 500 * k
+            read += 1
+            yield pa.RecordBatch.from_arrays([pa.array([7]), pa.array([500 * k]), pa.array([words]), pa.array([place.tobytes()])], ["key", "least", "words", "places"])
+
+    out, docs = substrings._located(13)(batches()), set()
+    docs.update(next(out).column(0).to_pylist())
+    assert read * 500 * 16 <= 10 * substrings.SHARD
+    for b in out:
+        docs.update(b.column(0).to_pylist())
+    assert docs == set(range(1, 2_000_000))
