@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import cut, ship
+
 
 def _binned(df: DataFrame, first: str, last: str, size: int) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / size), F.floor(F.greatest(first, last) / size))))
@@ -59,30 +64,164 @@ def overlapping_pairs(df: DataFrame, identity: float, key: str, size: int = 50)
     return _pairs(df, identity, key, size).filter(F.col(key) < F.col("_k")).select(F.col(key).alias("key_a"), F.col("_k").alias("key_b"))
 
 
-def undominated(df: DataFrame, key: str, identity: float = 0.99, size: int = 50, everywhere: bool = False) -> DataFrame:
+ARMS = ("f_first", "f_last", "l_first", "l_last")
+#: Rows of a group that are compared in one task; a bin with more is dealt into so many blocks.
+SWEEP = 1 << 13
+
+
+def _beaten(rank: np.ndarray, arms: np.ndarray, by_rank: np.ndarray, by_arms: np.ndarray, identity: float, block: int = 256) -> np.ndarray:
+    """Which rows overlap, on both arms, one of ``by`` of a smaller rank. ``by`` comes in order of rank.
+
+    The best rows come first and a row that is beaten is not looked at again. Ahead of the comparison arms that are apart
+    are left out by the span of the block's arms.
+    """
+    lost = np.zeros(len(rank), bool)
+    open_ = np.arange(len(rank))
+    for at in range(0, len(by_rank), block):
+        if not len(open_):
+            break
+        r, b = by_rank[at : at + block], by_arms[at : at + block]
+        x = arms[open_]
+        near = (rank[open_] > r[0]) & (x[:, 0] <= b[:, 1].max()) & (x[:, 1] >= b[:, 0].min()) & (x[:, 2] <= b[:, 3].max()) & (x[:, 3] >= b[:, 2].min())
+        rows = open_[near]
+        for part in np.array_split(rows, -(-len(rows) // (1 << 13))) if len(rows) else ():
+            y = arms[part]
+            ok = rank[part, None] > r[None]
+            for first, last in ((0, 1), (2, 3)):
+                shared = np.minimum(y[:, None, last], b[None, :, last]) - np.maximum(y[:, None, first], b[None, :, first]) + 1
+                least = np.minimum(y[:, None, last] - y[:, None, first], b[None, :, last] - b[None, :, first]) + 1
+                ok &= shared / least >= identity
+            lost[part[ok.any(1)]] = True
+        open_ = open_[~lost[open_]]
+    return lost
+
+
+#: Groups with at most so many pairs are compared pair by pair in memory, many groups at once; others in order of rank.
+SMALL, AT_ONCE = 1 << 12, 1 << 20
+
+
+def _lost(group: np.ndarray, rank: np.ndarray, arms: np.ndarray, asks: np.ndarray, stored: np.ndarray, identity: float) -> np.ndarray:
+    """Which rows are beaten, of whole groups one after another (``group`` ascends), each in order of rank."""
+    lost = np.zeros(len(group), bool)
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(group))
+    a, s = np.flatnonzero(asks), np.flatnonzero(stored)
+    a_at, a_to, s_at, s_to = np.searchsorted(a, begin), np.searchsorted(a, end), np.searchsorted(s, begin), np.searchsorted(s, end)
+    pairs = (a_to - a_at) * (s_to - s_at)
+    for g in np.flatnonzero(pairs > SMALL):
+        x, y = a[a_at[g] : a_to[g]], s[s_at[g] : s_to[g]]
+        for p, q in ((x, y), (y, x)):
+            lost[p] |= _beaten(rank[p], arms[p], rank[q], arms[q], identity)
+            if len(x) == len(y) and (x == y).all():
+                break
+    few = np.flatnonzero((pairs > 0) & (pairs <= SMALL))
+    for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // AT_ONCE)) + 1):
+        # each asking row against the stored rows of its group
+        rows = a_to[part] - a_at[part]
+        own = np.repeat(part, rows)
+        i = a[np.repeat(a_at[part] - (np.cumsum(rows) - rows), rows) + np.arange(rows.sum())]
+        n = s_to[own] - s_at[own]
+        j = s[np.repeat(s_at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        i = np.repeat(i, n)
+        ok = rank[i] != rank[j]
+        for first, last in ((0, 1), (2, 3)):
+            i, j = i[ok], j[ok]
+            shared = np.minimum(arms[i, last], arms[j, last]) - np.maximum(arms[i, first], arms[j, first]) + 1
+            ok = shared / (np.minimum(arms[i, last] - arms[i, first], arms[j, last] - arms[j, first]) + 1) >= identity
+        i, j = i[ok], j[ok]
+        lost[np.where(rank[i] > rank[j], i, j)] = True
+    return lost
+
+
+def _sweep(rows: DataFrame, by: Sequence[str], key: str, identity: float) -> DataFrame:
+    """The keys that are beaten within their group. ``rows``: (by, key, energy, arms, asks, stored); of a row that asks and one that
+    is stored in one group, if they overlap, the worse one is beaten; a row may be both."""
+    ship(rows.sparkSession)
+
+    def beaten(t: pa.Table) -> pa.Table:
+        differs = lambda c: pc.not_equal(t[c].combine_chunks()[1:], t[c].combine_chunks()[:-1]).to_numpy(zero_copy_only=False)
+        group = np.concatenate([[0], np.cumsum(np.logical_or.reduce([differs(c) for c in by]))])
+        # equal rows of one key have one rank
+        rank = np.concatenate([[0], np.cumsum(np.logical_or.reduce([differs(c) for c in (*by, "energy", key)]))])
+        arms = np.stack([t[c].to_numpy() for c in ARMS], 1)
+        return t.select([key]).filter(pa.array(_lost(group, rank, arms, t["asks"].to_numpy(), t["stored"].to_numpy(), identity))).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # what may go on in the next batch waits: the last group
+            last = np.zeros(b.num_rows, bool)
+            for c in by:
+                last |= pc.not_equal(b.column(c), b.column(c)[-1]).to_numpy(zero_copy_only=False)
+            at = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            same = held and not at and all(held[-1].column(c)[-1] == b.column(c)[0] for c in by)
+            if held and not same:
+                yield from beaten(pa.Table.from_batches([*held, b.slice(0, at)])).to_batches()
+                held = []
+            elif at:
+                yield from beaten(pa.Table.from_batches([b.slice(0, at)])).to_batches()
+            held.append(b.slice(at))
+        if held:
+            yield from beaten(pa.Table.from_batches(held)).to_batches()
+
+    kind = dict(rows.dtypes)[key]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, "energy", key).mapInArrow(run, f"{key} {kind}").distinct()
+
+
+def _dealt(asks: DataFrame, stored: DataFrame, by: Sequence[str], key: str, most: int) -> DataFrame:
+    """Both tables' rows by group and block: those that ask in (their block, every block of the stored), and the other way."""
+    sizes = lambda df, n: df.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias(n))
+    size = sizes(asks, "na").join(sizes(stored, "ns"), list(by))
+    block = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = asks.join(size, list(by)).withColumns({"ba": block("na"), "bs": every("ns"), "asks": F.lit(True), "stored": F.lit(False)})
+    s = stored.join(size, list(by)).withColumns({"ba": every("na"), "bs": block("ns"), "asks": F.lit(False), "stored": F.lit(True)})
+    names = [*by, "ba", "bs", key, "energy", *ARMS, "asks", "stored"]
+    return a.select(*names).unionByName(s.select(*names))
+
+
+def undominated(df: DataFrame, key: str, identity: float = 0.99, size: int = 50, everywhere: bool = False, most: int = SWEEP) -> DataFrame:
     """Drops each duplex that a better one overlaps on both arms: lower energy, or the same and a smaller key.
 
     The rule does not depend on any order of insertion. Rows are compared within a bin of the first arm's start, or with
     ``everywhere`` also across bins: first arms of 2^k to 2^(k+1) bases are kept in bins of that size, and each row looks
     into the bins around it for arms as long as its own or longer, so a long arm does not widen the bins of short ones.
+
+    Of rows with equal arms only the best can stay or beat others, which a grouping finds without a pair. The rest is swept
+    in order of energy inside its bin; of a bin with more than ``most`` rows each block is swept by itself, and only what it
+    leaves is held against the other blocks. No pair of rows is ever a row.
     """
-    better = (F.col("_e") < F.col("energy")) | ((F.col("_e") == F.col("energy")) & (F.col("_k") < F.col(key)))
+    names = [key, "energy", *ARMS]
+    best = df.groupBy("seqname", *ARMS).agg(F.min(F.struct("energy", key)).alias("best"))
+    heads = cut(best.select("seqname", F.col(f"best.{key}").alias(key), F.col("best.energy").alias("energy"), *ARMS))
     if not everywhere:
-        lost = _pairs(df, identity, key, size).filter(better).select(key).distinct()
-        return df.join(lost, key, "left_anti")
-    level = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double"))).cast("int")
-    arm = F.col("f_last") - F.col("f_first") + 1
-    top = df.agg(F.max(level(arm))).first()[0] or 0
-    cols = ("f_first", "f_last", "l_first", "l_last")
-    bin_ = lambda first, k: F.floor(F.col(first) / F.pow(F.lit(2.0), F.col(k) + 1)).cast("long")
-    a = df.select("seqname", key, "energy", *cols, F.explode(F.sequence(level(arm), F.lit(top))).alias("_level"))
-    a = a.withColumn("_bin", F.explode(F.array(*((bin_("f_first", "_level") + d) for d in (-1, 0, 1)))))
-    b = df.select(F.col("seqname").alias("_s"), F.col(key).alias("_k"), F.col("energy").alias("_e"), *(F.col(c).alias(f"_{c}") for c in cols), level(arm).alias("_l")).withColumn("_b", bin_("_f_first", "_l"))
-    near = (reciprocal(F.col("f_first"), F.col("f_last"), F.col("_f_first"), F.col("_f_last")) >= identity) & (reciprocal(F.col("l_first"), F.col("l_last"), F.col("_l_first"), F.col("_l_last")) >= identity)
-    met = a.join(b, (a["seqname"] == b["_s"]) & (a["_level"] == b["_l"]) & (a["_bin"] == b["_b"]) & (a[key] != b["_k"]) & near)
-    # of the two, the worse one goes
-    lost = met.select(F.when(better, F.col(key)).otherwise(F.col("_k")).alias(key)).distinct()
-    return df.join(lost, key, "left_anti")
+        rows = heads.withColumn("bin", F.floor(F.col("f_first") / size))
+        blocks = rows.groupBy("seqname", "bin").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+        rows = cut(rows.join(blocks, ["seqname", "bin"]).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")))
+        own = rows.withColumns({"asks": F.lit(True), "stored": F.lit(True)}).select("seqname", "bin", "block", *names, "asks", "stored")
+        lost = cut(_sweep(own, ("seqname", "bin", "block"), key, identity))
+        left = rows.filter("blocks > 1")
+        every = F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+        asks = left.join(lost, key, "left_anti").withColumns({"other": every, "asks": F.lit(True), "stored": F.lit(False)})
+        kept = left.withColumn("other", every).withColumns({"asks": F.lit(False), "stored": F.lit(True)})
+        met = asks.select("seqname", "bin", F.col("block").alias("a"), F.col("other").alias("b"), *names, "asks", "stored")
+        met = met.unionByName(kept.select("seqname", "bin", F.col("other").alias("a"), F.col("block").alias("b"), *names, "asks", "stored"))
+        if not left.isEmpty():
+            lost = lost.unionByName(_sweep(met, ("seqname", "bin", "a", "b"), key, identity))
+    else:
+        level = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double"))).cast("int")
+        arm = F.col("f_last") - F.col("f_first") + 1
+        top = heads.agg(F.max(level(arm))).first()[0] or 0
+        bin_ = lambda k: F.floor(F.col("f_first") / F.pow(F.lit(2.0), F.col(k) + 1)).cast("long")
+        asks = heads.withColumn("level", F.explode(F.sequence(level(arm), F.lit(top))))
+        asks = asks.withColumn("bin", F.explode(F.array(*((bin_("level") + d) for d in (-1, 0, 1)))))
+        stored = heads.withColumn("level", level(arm)).withColumn("bin", bin_("level"))
+        lost = _sweep(_dealt(asks, stored, ("seqname", "level", "bin"), key, most), ("seqname", "level", "bin", "ba", "bs"), key, identity)
+    kept = heads.join(lost.distinct(), key, "left_anti").select(key)
+    return df.join(kept, key, "left_semi")
 
 
 def collect(df: DataFrame, minlength: int, minenergy: float, lo: int = 1, hi: int | None = None) -> DataFrame:
