@@ -11,7 +11,7 @@ from strandloom.functions import codes
 from strandloom.functions import energy as E
 from strandloom.operators import anomaly, folding, intervals, phylogeny, stitching
 from strandloom.plans import inputs as I
-from strandloom.session import table
+from strandloom.session import cut, table
 from strandloom.sources import maf, newick, regions
 
 QUERIES: dict = {}
@@ -141,7 +141,7 @@ m AS (SELECT chr, island, name, min(pos) AS position, string_agg(seq, '' ORDER B
 SELECT chr, position, name, seq FROM m WHERE length(seq) > 18""")
 def maf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks without reference gaps, adjacent ones joined, absent species as gaps."""
-    blocks = maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir)))
+    blocks = cut(maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir))))  # read several times
     return maf.merge_adjacent(blocks, I.LEAVES).select("chr", "position", F.explode("species").alias("s")).select("chr", "position", "s.name", "s.seq")
 
 
@@ -155,6 +155,7 @@ def species_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _alignment_duplexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, l, r, alignment): each filled block folded on itself: the left half against the reversed right half."""
     blocks = maf.fill_species(maf.without_reference_gaps(maf.parse(I.maf_text(spark, sf_dir))), I.LEAVES)
+    blocks = cut(blocks.select("species", "alignment"))  # parsed once, however often a column is named
     ref = F.translate(F.col("alignment")[0], "T", "U")
     half = F.floor(F.length(F.col("alignment")[0]) / 2).cast("int")
     b = blocks.select(F.concat_ws(":", F.col("species")[0]["chr"], F.col("species")[0]["position"].cast("string")).alias("key"), ref.alias("ref"), half.alias("half"), "alignment")

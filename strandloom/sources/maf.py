@@ -11,35 +11,70 @@ S_LINE = r"^ ?s\s+(\S+)\s+(\d+)\s+(\d+)\s+([+-])\s+(\d+)\s+([ATGCNatgcn-]+)\s*$"
 SPECIES = "struct<name:string,chr:string,position:bigint,strand:string,seq:string>"
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row a block (value), of plain or .gz files: blocks are divided by empty lines."""
-    return spark.read.text(path, lineSep="\n\n")
+#: Lines are told apart, and a block from the next one, whatever ends the lines.
+LINE, NEXT = r"\r?\n", r"\n(?= ?a[ \t])"
+HEAD = r"^ ?a\s+score=(-?[0-9.]+(?:[eE][-+]?\d+)?)"
+
+
+def blocks_of(text: DataFrame) -> DataFrame:
+    """One row a block (value), from texts that were divided where a line begins with ``a``, which went with the division."""
+    whole = F.when(F.col("value").rlike(r"^[ \t]+score="), F.concat(F.lit("a"), "value")).otherwise(F.col("value"))
+    return text.select(F.explode(F.split(whole, NEXT)).alias("value")).filter(F.col("value").rlike(r"(?m)^ ?[a-z]\s"))
+
+
+def read_text(spark: SparkSession, path: str | Sequence[str], chromosomes: Sequence[str] | None = None) -> DataFrame:
+    """One row a block (value), of plain or .gz files.
+
+    A block begins at a line with ``a``, so lines may end in CRLF and blank lines may hold spaces; files are divided at any
+    byte, as Spark's own reader does. With ``chromosomes`` the path is a folder with a file for each (``<chromosome>.maf``, also
+    ``.gz``), and other files are never opened.
+    """
+    reader = spark.read.option("lineSep", "\na")
+    if chromosomes is not None:
+        # a name stands for itself in the filter, whatever it holds
+        plain = lambda c: "".join(f"\\{x}" if x in "\\{}[]*?," else x for x in c)
+        names = sorted({plain(c) for c in chromosomes})
+        if not names:
+            return spark.createDataFrame([], "value string")
+        reader = reader.option("pathGlobFilter", "{" + ",".join(f"{n}.maf,{n}.maf.gz" for n in names) + "}")
+    return blocks_of(reader.text(path if isinstance(path, str) else list(path)))
+
+
+def _lines(blocks: DataFrame) -> DataFrame:
+    """Adds lines (no blank ones and no comments), tokens (those of each line after the first) and head (the score's text)."""
+    lines = F.filter(F.split("value", LINE), lambda x: ~x.rlike(r"^\s*$|^.?#"))
+    rows = blocks.withColumn("lines", lines)
+    tokens = F.transform(F.slice("lines", 2, 1_000_000), lambda x: F.split(F.trim(F.when(x.rlike(S_LINE), x)), r"\s+"))
+    return rows.withColumns({"tokens": tokens, "score": F.regexp_extract(F.try_element_at("lines", F.lit(1)), HEAD, 1).try_cast("double")})
+
+
+def rejected(blocks: DataFrame) -> DataFrame:
+    """(reason, n): how many blocks ``parse`` drops for what they are, not for what is asked of them."""
+    size = F.try_element_at("tokens", F.lit(1))[3].try_cast("bigint")
+    reason = F.when(F.col("score").isNull(), "no score").when(F.size("tokens") < 1, "no sequence").when(F.exists("tokens", lambda t: t.isNull()), "another kind of line").when(size.isNull(), "no size")
+    return _lines(blocks).select(reason.alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def parse(blocks: DataFrame, minlength: int = 1, minscore: float = float("-inf"), keepname: bool = False) -> DataFrame:
     """(block_id, score, species): from text blocks (column value). species: its ``s`` lines in order, the first the reference.
 
     Comment lines (``#`` as first or second character) are dropped. A block goes if it has another kind of line, if its
-    score or its reference's size does not parse, or if either is under its minimum. Bases are upper-cased. A name is
-    ``organism.chromosome``; with ``keepname`` it is kept whole.
+    score or its reference's size does not parse, or if either is under its minimum (``rejected`` counts the former).
+    Bases are upper-cased. A name is ``organism.chromosome``; with ``keepname`` it is kept whole.
     """
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.rlike("^.?#"))
-    ok = F.forall(F.slice("lines", 2, 1_000_000), lambda x: x.rlike(S_LINE)) & (F.size("lines") >= 2)
-    head = F.try_element_at("lines", F.lit(1))
-    score = F.regexp_extract(head, r"^ ?a\s+score=(-?[0-9.]+(?:[eE][-+]?\d+)?)", 1).try_cast("double")
-
-    def one(x: Column) -> Column:
-        part = lambda g: F.regexp_extract(x, S_LINE, g)
-        name = part(1)
-        bits = F.split(name, r"\.")
+
+    def one(t: Column) -> Column:
+        # s, name, position, size, strand, length of the source, bases
+        bits = F.split(t[1], r"\.")
         return F.struct(
-            (name if keepname else bits[0]).alias("name"), F.when(F.size(bits) > 1, F.try_element_at(bits, F.lit(2))).alias("chr"),
-            part(2).try_cast("bigint").alias("position"), part(4).alias("strand"), F.upper(part(6)).alias("seq"),
+            (t[1] if keepname else bits[0]).alias("name"), F.try_element_at(bits, F.lit(2)).alias("chr"),
+            t[2].try_cast("bigint").alias("position"), t[4].alias("strand"), F.upper(t[6]).alias("seq"),
         )
 
-    size = F.regexp_extract(F.try_element_at("lines", F.lit(2)), S_LINE, 3).try_cast("bigint")
-    rows = blocks.withColumn("lines", lines).filter(ok).withColumns({"score": score, "size": size}).filter((F.col("score") >= minscore) & (F.col("size") >= minlength))
-    return rows.select(F.xxhash64("value").alias("block_id"), "score", F.transform(F.slice("lines", 2, 1_000_000), one).alias("species"))
+    size = F.try_element_at("tokens", F.lit(1))[3].try_cast("bigint")
+    ok = (F.size("tokens") >= 1) & F.forall("tokens", lambda t: t.isNotNull())
+    rows = _lines(blocks).filter(ok).filter((F.col("score") >= minscore) & (size >= minlength))
+    return rows.select(F.xxhash64("lines").alias("block_id"), "score", F.transform("tokens", one).alias("species"))
 
 
 def without_reference_gaps(blocks: DataFrame) -> DataFrame:
@@ -47,8 +82,8 @@ def without_reference_gaps(blocks: DataFrame) -> DataFrame:
     ref = F.split(F.col("species")[0]["seq"], "")
 
     def cut(s: Column) -> Column:
-        both = F.zip_with(ref, F.split(s["seq"], ""), lambda r, x: F.struct(r.alias("r"), x.alias("x")))
-        return s.withField("seq", F.array_join(F.transform(F.filter(both, lambda b: b["r"] != "-"), lambda b: b["x"]), ""))
+        letters = F.zip_with(ref, F.split(s["seq"], ""), lambda r, x: F.when(r == "-", "").otherwise(x))
+        return s.withField("seq", F.array_join(letters, ""))
 
     return blocks.withColumn("species", F.transform("species", cut))
 

@@ -9,5 +9,5 @@ from strandloom.sources import maf
 
 def stream_blocks(spark: SparkSession, path: str, minlength: int = 1, minscore: float = float("-inf"), files_a_trigger: int = 16) -> DataFrame:
     """A streaming DataFrame of parsed blocks without reference gaps; merging neighbours needs all blocks, and so a batch."""
-    text = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(path, lineSep="\n\n")
-    return maf.without_reference_gaps(maf.parse(text, minlength, minscore))
+    text = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(path, lineSep="\na")
+    return maf.without_reference_gaps(maf.parse(maf.blocks_of(text), minlength, minscore))
