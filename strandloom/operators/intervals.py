@@ -13,30 +13,99 @@ from pyspark.sql import functions as F
 from strandloom.session import cut, ship
 
 
-def _binned(df: DataFrame, first: str, last: str, size: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / size), F.floor(F.greatest(first, last) / size))))
+#: Rows that look into one cell before it is salted; rows that are broadcast at most.
+HOT, FEW = 1 << 17, 100_000
+
+
+def _level(first: str, last: str, least: int) -> Column:
+    """The smallest k, ``least`` at least, with 2^k at or over the interval's length."""
+    n = F.greatest(F.col(last) - F.col(first) + 1, F.lit(1)).cast("double")
+    return F.greatest(F.ceil(F.log2(n)).cast("int"), F.lit(least))
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at.cast("long"), level)
+
+
+def _asking(df: DataFrame, first: str, last: str, own: Column, levels: Sequence[int], above: bool) -> DataFrame:
+    """Each row at the cells of every level from its own on (or above it) in which an interval that meets it can be: three a level."""
+    to = F.filter(F.array(*(F.lit(k) for k in levels)), lambda k: (k > own) if above else (k >= own))
+    rows = df.withColumn("_level", F.explode(to))
+    upto = _cell(F.greatest(first, last), F.col("_level"))
+    return rows.withColumn("_cell", F.explode(F.sequence(_cell(F.col(first), F.col("_level")) - 1, upto)))
+
+
+def _salted(asks: DataFrame, stored: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both with a _salt: the rows that look into a cell of very many are dealt out, and what it holds goes to each of them."""
+    hot = cut(asks.groupBy(*by).agg(F.count("*").alias("_many")).filter(F.col("_many") > HOT).select(*by, F.ceil(F.col("_many") / HOT).cast("int").alias("_salts")))
+    n = hot.count()
+    if not n:
+        return asks.withColumn("_salt", F.lit(0)), stored.withColumn("_salt", F.lit(0))
+    hot = F.broadcast(hot) if n <= FEW else hot
+    salts = F.coalesce("_salts", F.lit(1))
+    asks = asks.join(hot, list(by), "left").withColumn("_salt", F.pmod(F.xxhash64(*asks.columns), salts).cast("int")).drop("_salts")
+    return asks, stored.join(hot, list(by), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+
+
+def _levels(df: DataFrame, own: Column) -> list[int]:
+    """The levels that there are: 64 at most."""
+    return sorted(r[0] for r in df.select(own.alias("k")).distinct().collect() if r[0] is not None)
+
+
+def _meetings(a: DataFrame, b: DataFrame, size: int, name: str, first: str, last: str) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """(rows of a, rows of b, condition) of the equality joins that find each overlapping pair once; b's columns are prefixed by ``b_``.
+
+    An interval is kept in one cell: of its own size class, where it begins. Of two that overlap the smaller one
+    looks into the cells of the larger one's class around it, so an interval's rows follow the number of classes, never its
+    length.
+    """
+    least = max(size.bit_length() - 1, 0)
+    own_a, own_b = _level(first, last, least), _level(f"b_{first}", f"b_{last}", least)
+    out = []
+    for asks, its_first, its_last, own, n, holds, at, its, m, above in (
+        (a, first, last, own_a, name, b, f"b_{first}", own_b, f"b_{name}", False),
+        (b, f"b_{first}", f"b_{last}", own_b, f"b_{name}", a, first, own_a, name, True),
+    ):
+        levels = _levels(holds, its)
+        if above:
+            levels = [k for k in levels if k > least]
+        if not levels:
+            continue
+        x = _asking(asks, its_first, its_last, own, levels, above).withColumn("_n", F.col(n))
+        y = holds.withColumn("_level", its).withColumns({"_cell": _cell(F.col(at), F.col("_level")), "_n": F.col(m)})
+        x, y = _salted(x, y, ("_n", "_level", "_cell"))
+        left, right = (y, x) if above else (x, y)
+        right = right.select(*(F.col(c).alias(f"_b{c}" if c.startswith("_") else c) for c in right.columns))
+        meet = (F.col(first) <= F.col(f"b_{last}")) & (F.col(f"b_{first}") <= F.col(last))
+        for c in ("_n", "_level", "_cell", "_salt"):
+            meet &= F.col(c) == F.col(f"_b{c}")
+        out.append((left, right, meet))
+    return out
 
 
 def overlap_join(a: DataFrame, b: DataFrame, size: int = 1024, name: str = "seqname", first: str = "first", last: str = "last") -> DataFrame:
     """Pairs of overlapping intervals of one sequence; b's columns come prefixed by ``b_``.
 
-    Both sides are dealt into bins of ``size``, so the join is an equality; a pair counts in the bin where its overlap
-    begins, and so once. A sequence that holds much of the data is still many bins.
+    Equality joins on (sequence, size class, cell); classes go up from ``size``. A sequence that holds much of the data is many
+    cells, a cell into which very many look is salted, and an interval of any length is a few rows.
     """
     b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    x, y = _binned(a, first, last, size), _binned(b, f"b_{first}", f"b_{last}", size).withColumnRenamed("_bin", "_b_bin")
-    meet = (x[name] == y[f"b_{name}"]) & (x["_bin"] == y["_b_bin"]) & (x[first] <= y[f"b_{last}"]) & (y[f"b_{first}"] <= x[last])
-    once = x["_bin"] == F.greatest(F.floor(x[first] / size), F.floor(y[f"b_{first}"] / size))
-    return x.join(y, meet & once).drop("_bin", "_b_bin")
+    names = [*a.columns, *b.columns]
+    found = [x.join(y, meet).select(*names) for x, y, meet in _meetings(a, b, size, name, first, last)]
+    if not found:
+        return a.crossJoin(b.limit(0)).limit(0).select(*names)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def overlaps(a: DataFrame, regions: Sequence[DataFrame], key: str, size: int = 1024, name: str = "seqname", first: str = "first", last: str = "last") -> DataFrame:
     """The rows of a that overlap at least one interval of every table of regions; ``key`` is unique in a."""
     for r in regions:
-        hit = _binned(a.select(key, name, first, last), first, last, size)
-        b = _binned(r.select(F.col(name).alias("_n"), F.col(first).alias("_f"), F.col(last).alias("_l")), "_f", "_l", size).withColumnRenamed("_bin", "_b")
-        ids = hit.join(b, (hit[name] == b["_n"]) & (hit["_bin"] == b["_b"]) & (hit[first] <= b["_l"]) & (b["_f"] <= hit[last]), "left_semi").select(key).distinct()
-        a = a.join(ids, key, "left_semi")
+        b = r.select(*(F.col(c).alias(f"b_{c}") for c in (name, first, last)))
+        ids = [x.join(y, meet, "left_semi").select(key) for x, y, meet in _meetings(a.select(key, name, first, last), b, size, name, first, last)]
+        if not ids:
+            return a.limit(0)
+        ids = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
+        a = a.join(ids.distinct(), key, "left_semi")
     return a
 
 

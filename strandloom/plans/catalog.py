@@ -676,3 +676,26 @@ SELECT concat_ws(chr(9), seqname, f_first - 1, l_last, 'duplex', CAST(CAST(round
 concat_ws(',', f_last - f_first + 1, l_last - l_first + 1), concat_ws(',', 0, l_first - f_first)) AS line FROM c""")
 def bed12_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.bed12(I.duplexes(spark, sf_dir), "duplex")
+
+
+ERF_PART = "(((((1.061405429e0 * t - 1.453152027e0) * t + 1.421413741e0) * t - 0.284496736e0) * t + 0.254829592e0) * t)"
+
+
+@query(f"""WITH {I.IV}, law AS (SELECT n_pairs AS n, avg(energy) AS mean, stddev_pop(energy) AS sd FROM iv GROUP BY 1 HAVING stddev_pop(energy) > 0), m AS (SELECT avg(n_pairs) AS rate FROM iv),
+p AS (SELECT n, mean, sd, exp(-rate + n * ln(rate) - lgamma(n + 1)) AS p FROM law, m), top AS (SELECT 1 - sum(exp(-rate + i * ln(rate) - lgamma(i + 1))) AS rest FROM m, range(0, (SELECT max(n) + 1 FROM law)) r(i)),
+z AS (SELECT key, p, (energy - mean) / (sd * sqrt(2e0)) AS x, 1 / (1 + 0.3275911e0 * abs((energy - mean) / (sd * sqrt(2e0)))) AS t FROM iv JOIN p ON n >= n_pairs),
+s AS (SELECT key, sum(p * (1 + sign(x) * (1 - {ERF_PART} * exp(-x * x))) / 2) AS s FROM z GROUP BY key)
+SELECT iv.key, round(coalesce(s, 0) + rest, 6) AS cdf FROM iv LEFT JOIN s USING (key), top""")
+def duplex_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely a duplex at least as long and as stable is, by the laws of lengths and energies."""
+    rows = I.duplexes(spark, sf_dir).select("key", "n_pairs", "energy")
+    return anomaly.duplex_probabilities(rows, cut(anomaly.duplex_law(rows))).select("key", F.round("cdf", 6).alias("cdf"))
+
+
+@query()
+def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the maximal duplexes under -12 kcal/mol in each document's whole sequence, with bulges and mismatches: how many, and the best."""
+    docs = I.documents_dna(spark, sf_dir).select("doc_id", codes.rna(F.col("seq")).alias("seq"))
+    found = folding.fold(docs, replace(FOLD, minfold=-12.0, maximal=True), "doc_id")
+    least = F.min(F.struct("energy", "i", "k", "l", "r")).alias("m")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), least).select("doc_id", "n", "m.energy", "m.i", "m.k", "m.l", "m.r")

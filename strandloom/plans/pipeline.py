@@ -45,7 +45,7 @@ class PipelineConfig:
 def blocks(text: DataFrame, genes: DataFrame, c: PipelineConfig, conserved: DataFrame | None = None) -> DataFrame:
     """Merged blocks over genes (and conserved regions, widened by the flank), one row a gene and block, on the gene's strand."""
     leaves = newick.parse(c.tree).leaves()
-    read = maf.without_reference_gaps(maf.parse(text, c.minlength, c.minscore))
+    read = cut(maf.without_reference_gaps(maf.parse(text, c.minlength, c.minscore)))  # read several times
     merged = maf.fill_species(maf.merge_adjacent(read, leaves, c.minspecies, c.minlength), leaves)
     n = F.length(F.col("alignment")[0])
     placed = merged.select("block_id", F.col("chr").alias("seqname"), (F.col("position") + c.maf_base).alias("first"), (F.col("position") + c.maf_base + n - 1).alias("last"), "alignment")

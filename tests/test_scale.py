@@ -1,13 +1,18 @@
 """What lets operators grow: bands, bounds, sweeps and equality joins give what the plain rules give."""
 
+import math
+import time
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import energy as E
-from strandloom.operators import folding, intervals, search, stitching
+from strandloom.operators import anomaly, folding, intervals, search, stitching
 from strandloom.plans import catalog
 from strandloom.sources import maf
+from strandloom.streaming import maf_stream
 from tests.walk import traverse as plain_walk
 
 PAIRS = set(E.PAIRS)
@@ -73,6 +78,59 @@ def test_bound_is_never_above_what_is_found():
         assert search.ENDS[tile.pair[a, c]] + tile.reach[2][a, c] + E.INITIATION <= e + search.SLACK
 
 
+def maximal(found, s, o):
+    """Of all duplexes those that no pair goes on from."""
+    pairs = lambda i, k: 1 <= min(i, k) and max(i, k) <= len(s) and s[i - 1] + s[k - 1] in PAIRS
+    out = []
+    for i, k, l, r, e in found:  # noqa: E741
+        n, m = len(l.replace("-", "")), len(r.replace("-", ""))
+        more = pairs(i + n, k - m) and n < o.depth and m < o.depth and k - m - i - 1 >= o.lo
+        if not pairs(i - 1, k + 1) and not more:
+            out.append((i, k, l, r, e))
+    return out
+
+
+def test_maximal_duplexes(spark):
+    """Those of all duplexes that no pair goes on from, in one tile and over the edges of many; few where bases repeat."""
+    rows = random_sequences(9, (30, 75, 140)) + [(7, "GGGACGUAGCAAAAGCUACGUCCC" * 4), (8, "AU" * 60)]
+    o = folding.FoldOptions(12, 3, 60, 2, 2, -2.0)
+    want = sorted((s, *d) for s, t in rows for d in maximal(folding.traverse(t, o), t, o))
+    short = replace(o, maximal=True)
+    assert sorted((s, *d) for s, t in rows for d in folding.traverse(t, short)) == want and len(want) > 100
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    for size in (12, 31, 256):
+        got = folding.fold(df, short, size=size).collect()
+        assert sorted((r["seq_id"], r["i"], r["k"], r["l"], r["r"], r["energy"]) for r in got) == want
+    count = lambda x: len(folding.traverse("AU" * 60, x))
+    assert count(short) * 10 < count(o)
+
+
+def test_intervals_of_all_lengths(spark, monkeypatch):
+    """Against every pair; a very long interval is a few rows, and cells into which many look are salted."""
+    rng = np.random.default_rng(6)
+    mk = lambda n: [(i, f"c{rng.integers(2)}", int(x := rng.integers(-50, 5000)), int(x + rng.choice([-3, 0, 1, 30, 200, 3000, 10**9]))) for i in range(n)]
+    a, b = mk(150), mk(120)
+    x, y = (spark.createDataFrame(r, "id long, seqname string, first long, last long") for r in (a, b))
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] <= q[3] and q[2] <= p[3])
+    for hot in (intervals.HOT, 5):
+        monkeypatch.setattr(intervals, "HOT", hot)
+        assert sorted((r["id"], r["b_id"]) for r in intervals.overlap_join(x, y, 16).collect()) == want
+        assert sorted(r["id"] for r in intervals.overlaps(x, [y], "id", 16).collect()) == sorted({p for p, _ in want})
+    one = spark.createDataFrame([(1, "c0", 5, 10**9)], "id long, seqname string, first long, last long")
+    for p, q in ((one, y), (y, one)):
+        q = q.select(*(F.col(c).alias(f"b_{c}") for c in q.columns))
+        for left, right, _ in intervals._meetings(p, q, 16, "seqname", "first", "last"):
+            assert left.filter("id = 1 and last = 1000000000").count() <= 3 * 31 and right.filter("b_id = 1 and b_last = 1000000000").count() <= 3 * 31
+    assert intervals.overlap_join(x, y.limit(0)).count() == 0 == intervals.overlap_join(x.limit(0), y).count()
+    assert intervals.overlaps(x, [y, y.limit(0)], "id").count() == 0
+
+
+def test_error_function(spark):
+    x = [k / 37 for k in range(-300, 301)]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", anomaly.erf(F.col("x")).alias("y")).collect()
+    assert max(abs(r["y"] - math.erf(r["x"])) for r in got) < 1.5e-7
+
+
 def dominated(rows, identity, same_bin):
     over = lambda a, b, f, l: (min(a[l], b[l]) - max(a[f], b[f]) + 1) / min(a[l] - a[f] + 1, b[l] - b[f] + 1) >= identity  # noqa: E731, E741
     out = set()
@@ -198,3 +256,41 @@ def test_alignments_are_parsed_once(spark, small):
     for name in ("phylo_score", "covariance", "maf_merge", "duplex_alignment"):
         plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract") <= 1 and plan.count("RLIKE") <= 3, name
+
+
+def test_blocks_are_joined_in_a_stream(spark, tmp_path):
+    """Files of shuffled blocks, one a trigger: all that a batch joins, most of it before the end; late blocks are not lost."""
+    rng = np.random.default_rng(8)
+    blocks, at = [], {"chr1": 0, "chr2": 500}
+    for k in range(60):
+        c = f"chr{1 + k % 2}"
+        at[c] += int(rng.choice([0, 0, 0, 7]))
+        n = int(rng.integers(8, 15))
+        seq = "".join(rng.choice(list("ACGT"), n))
+        lines = [f"a score={k}", f"s a.{c} {at[c]} {n} + 9999 {seq}"] + [f"s {x}.q {k} {n} {'+-'[k % 2]} 99 {seq[::-1]}" for x in "bc" if rng.random() < 0.7]
+        blocks.append("\n".join(lines) + "\n")
+        at[c] += n
+    batch = tmp_path / "all.maf"
+    batch.write_text("\n".join(blocks))
+    parsed = maf.without_reference_gaps(maf.parse(maf.read_text(spark, str(batch))))
+    rows = lambda df: sorted((r["chr"], r["position"], [tuple(s) for s in r["species"]]) for r in df.collect())
+    want = rows(maf.merge_adjacent(parsed, ("a", "b", "c")))
+    # shuffled within a short distance
+    order = np.argsort(np.arange(60) + rng.uniform(0, 9, 60))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, part in enumerate(np.array_split(order, 6)):
+        (folder / f"{k}.maf").write_text("\n".join(blocks[i] for i in part))
+    stream = maf_stream.stream_merged(maf_stream.stream_blocks(spark, str(folder), files_a_trigger=1), ("a", "b", "c"), slack=200, quiet_ms=6000)
+    query = stream.writeStream.format("memory").queryName("joined").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        early = None
+        for _ in range(120):
+            time.sleep(1)
+            n = spark.table("joined").count()
+            early = n if n and early is None else early
+            if n >= len(want):
+                break
+        assert rows(spark.table("joined")) == want and 0 < early < len(want)
+    finally:
+        query.stop()
