@@ -35,6 +35,17 @@ def bulge_index(l: Column, r: Column) -> Column:  # noqa: E741
     return F.when(r == "-", code(l)).otherwise(4 + code(r))
 
 
+def packed(l: Column, r: Column) -> Column:  # noqa: E741
+    """A path element in eight bits: the left base's one-hot code above the right one's; a gap has none."""
+    return F.shiftleft(one_hot(l), 4).bitwiseOR(one_hot(r))
+
+
+def unpacked(code: Column) -> tuple[Column, Column]:
+    """The two bases of a packed element."""
+    base = lambda x: F.when(x == 0, "-").otherwise(F.substr(F.lit("ACGU"), F.log2(x.cast("double")).cast("int") + 1, F.lit(1)))
+    return base(F.shiftright(code, 4)), base(code.bitwiseAND(15))
+
+
 def kind(l: Column, r: Column) -> Column:  # noqa: E741
     return F.when((l == "-") | (r == "-"), "bulge").when(F.concat(l, r).isin(*PAIRS), "pair").otherwise("mismatch")
 

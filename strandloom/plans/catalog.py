@@ -47,6 +47,7 @@ def values(rows) -> str:
 @query(f"""WITH {I.PATHS}, e AS (SELECT substr(l, i, 1) AS a, substr(r, i, 1) AS b FROM (SELECT l, r, unnest(range(1, length(l) + 1)) AS i FROM paths)),
 k AS (SELECT a, b, count(*) AS n, CASE WHEN a = '-' THEN 'bulge' WHEN a || b IN {PAIR_LIST} THEN 'pair' ELSE 'mismatch' END AS kind FROM e GROUP BY a, b)
 SELECT a, b, n, kind, b || a AS flipped, CASE WHEN a = '-' THEN 0 ELSE 1 << (instr('ACGU', a) - 1) END AS hot,
+CASE WHEN a = '-' THEN 0 ELSE 16 << (instr('ACGU', a) - 1) END + (1 << (instr('ACGU', b) - 1)) AS packed,
 CASE WHEN a = '-' THEN NULL ELSE 4 * (instr('ACGU', a) - 1) + instr('ACGU', b) END AS pair_index, CASE WHEN a = '-' THEN 4 + instr('ACGU', b) END AS bulge_index,
 a || b IN ('AU','GC','GU') AS purine_pyrimidine FROM k""")
 def pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     gap = a == "-"
     return e.select(
-        "a", "b", "n", codes.kind(a, b).alias("kind"), F.concat("b", "a").alias("flipped"), codes.one_hot(a).alias("hot"), F.when(~gap, codes.pair_index(a, b)).alias("pair_index"),
+        "a", "b", "n", codes.kind(a, b).alias("kind"), F.concat("b", "a").alias("flipped"), codes.one_hot(a).alias("hot"), codes.packed(a, b).alias("packed"), F.when(~gap, codes.pair_index(a, b)).alias("pair_index"),
         F.when(gap, codes.bulge_index(a, b)).alias("bulge_index"), codes.purine_pyrimidine(a, b).alias("purine_pyrimidine"),
     )
 
@@ -536,6 +537,12 @@ def fold_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folding.helices_of(pairs, ["conv_id", "ta", "tb"], other="other", below=-3.0).withColumn("energy", F.round("energy", 4))
 
 
+@query()
+def fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helices under -12 kcal/mol between every two turns of all conversations."""
+    return folding.fold_all(I.sequences(spark, sf_dir), -12.0).withColumn("energy", F.round("energy", 4))
+
+
 #: Up to three bulged bases in a row on one arm, up to three mismatches in a row, arms of up to 50 bases.
 FOLD = folding.FoldOptions(minfold=-1.0)
 

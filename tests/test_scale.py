@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import codes
 from strandloom.functions import energy as E
 from strandloom.operators import anomaly, folding, intervals, search, stitching
 from strandloom.plans import catalog
@@ -38,6 +39,26 @@ def test_banded_pairs_and_helices(spark, monkeypatch, lo, hi):
         assert sorted((r["seq_id"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in got) == found
 
 
+def test_all_sequences_against_all(spark):
+    """200 sequences: the helices of every pair, and no pair without a stem."""
+    rows = random_sequences(4, [int(n) for n in np.random.default_rng(4).integers(1, 40, 198)]) + [(500, "N" * 30), (501, "GGGGCCCCAUNGGGGCCCC")]
+    code = {s: search.CODE[np.frombuffer(t.encode(), np.uint8)] for s, t in rows}
+    df = spark.createDataFrame([*rows, (600, ""), (601, None)], "seq_id long, seq string")
+    for below in (-6.0, -9.5):
+        want, stems, k = set(), set(), folding.least_pairs(below)
+        for x in range(len(rows)):
+            for y in range(x + 1, len(rows)):
+                a, b = rows[x][0], rows[y][0]
+                found = [(a, b, int(i), int(k_), int(n), round(float(e), 6)) for part in folding._helix_rows(code[a], code[b], False, 3, 2000, 99.0) for i, k_, n, e in zip(*part, strict=True)]
+                stems |= {(a, b) for f in found if f[4] >= k}
+                want |= {f for f in found if f[5] < below}
+        got = {(r["key_a"], r["key_b"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in folding.fold_all(df, below).collect()}
+        assert got == want and want
+        assert {tuple(r) for r in folding.stem_pairs(df, below).collect()} == stems
+        assert len(stems) < len(rows) * (len(rows) - 1) / 2
+    assert folding.fold_all(df.limit(0), -6.0).count() == 0
+
+
 def test_bands_of_a_long_sequence_are_short(spark):
     df = spark.createDataFrame([(1, "ACGU" * 50_000)], "seq_id long, seq string")
     r = folding.diagonal_bands(df, ["seq_id"], "seq", 100).agg(F.max(F.length("x")), F.sum(F.length("x")), F.count("*")).first()
@@ -131,6 +152,20 @@ def test_error_function(spark):
     assert max(abs(r["y"] - math.erf(r["x"])) for r in got) < 1.5e-7
 
 
+def test_packed_elements_and_the_order_of_a_collection(spark):
+    rows = [(a, b) for a in "ACGU-" for b in "ACGU-"]
+    df = spark.createDataFrame(rows, "l string, r string").withColumn("code", codes.packed(F.col("l"), F.col("r")))
+    back = codes.unpacked(F.col("code"))
+    got = df.select("l", "r", "code", back[0].alias("a"), back[1].alias("b")).collect()
+    assert all((r["l"], r["r"]) == (r["a"], r["b"]) for r in got) and len({r["code"] for r in got}) == 25
+    assert {(r["l"], r["r"]): r["code"] for r in got}["A", "U"] == 0x18 and {(r["l"], r["r"]): r["code"] for r in got}["-", "G"] == 4
+    rng = np.random.default_rng(1)
+    some = [(f"k{i}", f"c{i % 2}", int(a := rng.integers(0, 9)), int(a + rng.integers(0, 3)), int(b := a + 60 + rng.integers(0, 3)), int(b + rng.integers(0, 3)), -9.0) for i in range(90)]
+    out = intervals.collect(spark.createDataFrame(some, COLS).repartition(4).withColumn("n_pairs", F.lit(9)), 5, -5.0).collect()
+    order = [(r["seqname"], r["f_first"] // 50, r["f_first"], r["f_last"], r["l_first"], r["l_last"]) for r in out]
+    assert len(order) == 90 and order == sorted(order)
+
+
 def dominated(rows, identity, same_bin):
     over = lambda a, b, f, l: (min(a[l], b[l]) - max(a[f], b[f]) + 1) / min(a[l] - a[f] + 1, b[l] - b[f] + 1) >= identity  # noqa: E731, E741
     out = set()
