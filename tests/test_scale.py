@@ -54,7 +54,7 @@ def test_all_sequences_against_all(spark):
                 want |= {f for f in found if f[5] < below}
         got = {(r["key_a"], r["key_b"], r["i"], r["k"], r["n_pairs"], round(r["energy"], 6)) for r in folding.fold_all(df, below).collect()}
         assert got == want and want
-        assert {tuple(r) for r in folding.stem_pairs(df, below).collect()} == stems
+        assert {tuple(r)[:2] for r in folding.stem_pairs(df, below).collect()} == stems
         assert len(stems) < len(rows) * (len(rows) - 1) / 2
     assert folding.fold_all(df.limit(0), -6.0).count() == 0
 
