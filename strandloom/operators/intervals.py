@@ -89,7 +89,8 @@ def overlap_join(a: DataFrame, b: DataFrame, size: int = 1024, name: str = "seqn
     Equality joins on (sequence, size class, cell); classes go up from ``size``. A sequence that holds much of the data is many
     cells, a cell into which very many look is salted, and an interval of any length is a few rows.
     """
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    # both are read several times
+    a, b = cut(a), cut(b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns)))
     names = [*a.columns, *b.columns]
     found = [x.join(y, meet).select(*names) for x, y, meet in _meetings(a, b, size, name, first, last)]
     if not found:
@@ -99,14 +100,15 @@ def overlap_join(a: DataFrame, b: DataFrame, size: int = 1024, name: str = "seqn
 
 def overlaps(a: DataFrame, regions: Sequence[DataFrame], key: str, size: int = 1024, name: str = "seqname", first: str = "first", last: str = "last") -> DataFrame:
     """The rows of a that overlap at least one interval of every table of regions; ``key`` is unique in a."""
+    left = cut(a.select(key, name, first, last))  # read several times
     for r in regions:
-        b = r.select(*(F.col(c).alias(f"b_{c}") for c in (name, first, last)))
-        ids = [x.join(y, meet, "left_semi").select(key) for x, y, meet in _meetings(a.select(key, name, first, last), b, size, name, first, last)]
+        b = cut(r.select(*(F.col(c).alias(f"b_{c}") for c in (name, first, last))).distinct())
+        ids = [x.join(y, meet, "left_semi").select(key) for x, y, meet in _meetings(left, b, size, name, first, last)]
         if not ids:
             return a.limit(0)
         ids = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
-        a = a.join(ids.distinct(), key, "left_semi")
-    return a
+        left = left.join(ids.distinct(), key, "left_semi")
+    return a.join(left.select(key), key, "left_semi")
 
 
 def reciprocal(a_first: Column, a_last: Column, b_first: Column, b_last: Column) -> Column:
