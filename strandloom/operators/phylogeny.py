@@ -170,7 +170,7 @@ def paired_columns(duplexes: DataFrame, key: str) -> DataFrame:
     letters are walked once, and only the columns leave it.
     """
     cells = F.transform(F.zip_with(F.split("l", ""), F.split("r", ""), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x, i: F.struct(i.alias("at"), x["a"].alias("a"), x["b"].alias("b")))
-    rows = duplexes.select(key, cells.alias("cells"), _columns(F.col("alignment")).alias("cols"), F.length(F.replace("l", F.lit("-"), F.lit(""))).alias("n_left"))
+    rows = duplexes.select(key, "l", cells.alias("cells"), _columns(F.col("alignment")).alias("cols"), F.length(F.replace("l", F.lit("-"), F.lit(""))).alias("n_left"))
     right = F.reverse(F.slice("cols", F.col("n_left") + 1, F.greatest(F.size("cols") - F.col("n_left"), F.lit(0))))
 
     def side(own: str, other: str, cols: Column) -> Column:
@@ -179,7 +179,8 @@ def paired_columns(duplexes: DataFrame, key: str) -> DataFrame:
         return F.filter(met, lambda x: x["at"].isNotNull() & (x["other"] != "-"))
 
     both = F.zip_with(side("a", "b", F.slice("cols", 1, F.col("n_left"))), side("b", "a", right), lambda x, y: F.struct(x["at"].alias("at"), x["c"].alias("first"), y["c"].alias("last")))
-    return rows.filter("size(cells) > 0").select(key, F.explode(both).alias("x")).select(key, "x.*")
+    # an empty arm splits into one empty letter, which is no element
+    return rows.filter("l <> ''").select(key, F.explode(both).alias("x")).select(key, "x.*")
 
 
 def duplex_scores(duplexes: DataFrame, key: str, single: Node, paired: Node) -> DataFrame:
